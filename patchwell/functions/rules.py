@@ -199,11 +199,12 @@ def is_secret_comment(content: Column, kind: Column) -> Column:
     return chain.otherwise(False)
 
 
-def _secret_text(kind: Column, pick: Callable[[tuple[str, str, str]], Column]) -> Column:
+def _secret_text(kind: Column, part: int) -> Column:
+    """Text before the label (0), after it (1) or the suggestion (2) of a class."""
     chain = None
     for name, texts in fv.SECRET_TEXTS.items():
-        value = pick(texts)
-        chain = F.when(kind == name, value) if chain is None else chain.when(kind == name, value)
+        same = kind == name
+        chain = F.when(same, texts[part]) if chain is None else chain.when(same, texts[part])
     return chain
 
 
@@ -226,13 +227,12 @@ def _secret_rules() -> list[Rule]:
             & secret_label(n.content, n.secret_class).isNotNull()
             & ~is_secret_comment(n.content, n.secret_class),
             severity=text("error"),
-            message=lambda n: _secret_text(
-                n.secret_class,
-                lambda t: F.concat(
-                    F.lit(t[0]), secret_label(n.content, n.secret_class), F.lit(t[1])
-                ),
+            message=lambda n: F.concat(
+                _secret_text(n.secret_class, 0),
+                secret_label(n.content, n.secret_class),
+                _secret_text(n.secret_class, 1),
             ),
-            suggestion=lambda n: _secret_text(n.secret_class, lambda t: F.lit(t[2])),
+            suggestion=lambda n: _secret_text(n.secret_class, 2),
             fix_kind=in_code(text("move-to-env")),
             fix_label=in_code(lambda n: F.concat(F.lit("Move to .env as "), env_key(n.content))),
             fix_env_key=in_code(lambda n: env_key(n.content)),

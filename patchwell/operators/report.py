@@ -123,12 +123,14 @@ def _note_lines(found: DataFrame) -> DataFrame:
     )
 
 
-def report_parts(files: DataFrame, found: DataFrame) -> DataFrame:
+def report_parts(
+    files: DataFrame, found: DataFrame, part_lines: int = PART_LINES
+) -> DataFrame:
     """Parts of all reports; ``files`` are tallied, ``found`` has file order."""
     lines = (
         _frame(report_sizes(files)).unionByName(_file_lines(files)).unionByName(_note_lines(found))
     )
-    part = F.floor((F.col("position") - 1) / F.lit(PART_LINES)).cast("bigint")
+    part = F.floor((F.col("position") - 1) / F.lit(part_lines)).cast("bigint")
     in_order = F.array_sort(F.collect_list(F.struct("position", "text")))
     return (
         lines.withColumn("part", part)
