@@ -4,15 +4,17 @@ A rule is a set of functions from a ``Line`` (the columns of an added line and
 the gates of its file) to Columns. All rules are evaluated in one pass; adding
 one means adding a ``Rule`` to the list, no UDF is involved.
 
-Every ``hit`` starts with a gate of the file and a literal search on the raw
-bytes, so the (costlier) regular expression only runs on lines that can match.
+A rule has two tests. ``hint`` is cheap (a gate of the file and a literal search
+on the raw bytes) and true on every line the rule can hit; it filters the lines
+inside whole-stage code small enough for the JIT compiler. ``hit`` is exact and
+only runs on what is left.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 from operator import or_
 
 from pyspark.sql import Column
@@ -41,6 +43,25 @@ class Line:
         names = ("content", "is_code", "is_python", "is_typescript", "is_script", "secret_class")
         return Line(*(F.col(n) for n in names))
 
+    # expressions that several parts of a rule share, built once
+    @cached_property
+    def secret_label(self) -> Column:
+        return secret_label(self.content, self.secret_class)
+
+    @cached_property
+    def env_key(self) -> Column:
+        return F.when(self.secret_class == "code", env_key(self.content))
+
+    @cached_property
+    def directive(self) -> Column:
+        return capture(self.content, fv.TS_DIRECTIVE, 1)
+
+    @cached_property
+    def python_breakpoint(self) -> Column:
+        return matches(self.content, fv.SET_TRACE_CALL) | matches(
+            self.content, fv.BREAKPOINT_CALL
+        )
+
 
 def text(value: str) -> Expr:
     return lambda line: F.lit(value)
@@ -56,6 +77,7 @@ class Rule:
 
     name: str
     analyzer: str
+    hint: Expr
     hit: Expr
     severity: Expr
     message: Expr
@@ -74,10 +96,8 @@ def _console_rules() -> list[Rule]:
         Rule(
             "console-script",
             "console-log",
-            hit=lambda n: n.is_code
-            & ~n.is_python
-            & n.content.contains("console.")
-            & matches(n.content, fv.CONSOLE_CALL),
+            hint=lambda n: n.is_code & n.content.contains("console."),
+            hit=lambda n: n.is_code & ~n.is_python & matches(n.content, fv.CONSOLE_CALL),
             severity=text("warning"),
             message=lambda n: F.concat(
                 F.lit("console."), capture(n.content, fv.CONSOLE_CALL, 1), F.lit(" left in code")
@@ -89,8 +109,8 @@ def _console_rules() -> list[Rule]:
         Rule(
             "console-python",
             "console-log",
+            hint=lambda n: n.is_python & n.content.contains("print"),
             hit=lambda n: n.is_python
-            & n.content.contains("print")
             & matches(n.content, fv.PRINT_CALL)
             & ~matches(n.content, fv.HASH_COMMENT),
             severity=text("warning"),
@@ -102,21 +122,13 @@ def _console_rules() -> list[Rule]:
     ]
 
 
-def _python_breakpoint(n: Line) -> Column:
-    return (n.content.contains("pdb.set_trace") & matches(n.content, fv.SET_TRACE_CALL)) | (
-        n.content.contains("breakpoint") & matches(n.content, fv.BREAKPOINT_CALL)
-    )
-
-
 def _debugger_rules() -> list[Rule]:
     return [
         Rule(
             "debugger-script",
             "debugger",
-            hit=lambda n: n.is_code
-            & ~n.is_python
-            & n.content.contains("debugger")
-            & matches(n.content, fv.DEBUGGER_WORD),
+            hint=lambda n: n.is_code & n.content.contains("debugger"),
+            hit=lambda n: n.is_code & ~n.is_python & matches(n.content, fv.DEBUGGER_WORD),
             severity=text("error"),
             message=text(fv.DEBUGGER_MESSAGE),
             suggestion=text(fv.DEBUGGER_SUGGESTION),
@@ -126,7 +138,8 @@ def _debugger_rules() -> list[Rule]:
         Rule(
             "debugger-python-call",
             "debugger",
-            hit=lambda n: n.is_python & _python_breakpoint(n),
+            hint=lambda n: n.is_python & contains_any(n.content, ("pdb", "breakpoint")),
+            hit=lambda n: n.is_python & n.python_breakpoint,
             severity=text("error"),
             message=text(fv.BREAKPOINT_MESSAGE),
             suggestion=text(fv.BREAKPOINT_SUGGESTION),
@@ -136,10 +149,10 @@ def _debugger_rules() -> list[Rule]:
         Rule(
             "debugger-python-import",
             "debugger",
+            hint=lambda n: n.is_python & n.content.contains("pdb"),
             hit=lambda n: n.is_python
-            & n.content.contains("pdb")
             & matches(n.content, fv.PDB_IMPORT)
-            & ~_python_breakpoint(n),
+            & ~n.python_breakpoint,
             severity=text("warning"),
             message=text(fv.PDB_IMPORT_MESSAGE),
             suggestion=text(fv.PDB_IMPORT_SUGGESTION),
@@ -150,26 +163,21 @@ def _debugger_rules() -> list[Rule]:
 
 
 # Literals of which at least one occurs in every line that a secret pattern can
-# match (in any letter case for those of a class).
-CLASS_HINTS = {
-    "code": ("key", "secret", "token", "passw", "pwd", "bearer"),
-    "env": ("secret", "token", "passw", "pwd", "key", "database_url"),
-    "yaml": ("passw", "secret", "token", "key", "authorization", "bearer", "value:"),
-    "docker": ("secret", "token", "passw", "pwd", "key", "curl"),
-    "sql": ("passw", "identified", "pwd", "://"),
-    "json": ("key", "secret", "token", "passw", "pwd", "auth", "://"),
-}
-UNIVERSAL_HINTS = (
-    "AKIA",
-    "sk-",
-    "_live_",
-    "_test_",
-    "ghp_",
-    "PRIVATE KEY",
-    "eyJ",
-    "xox",
-    "SG.",
+# match: in any letter case for the patterns of a class, as it is for the others.
+CLASS_HINTS = (
+    "key",
+    "secret",
+    "token",
+    "passw",
+    "pwd",
+    "bearer",
+    "auth",
+    "identified",
+    "curl",
+    "value:",
+    "://",
 )
+UNIVERSAL_HINTS = ("AKIA", "sk-", "_live_", "_test_", "ghp_", "eyJ", "xox", "SG.")
 
 
 def secret_label(content: Column, kind: Column) -> Column:
@@ -184,11 +192,16 @@ def secret_label(content: Column, kind: Column) -> Column:
 
     own = None
     for name, patterns in fv.SECRET_PATTERNS.items():
-        hint = matches(content, "|".join(CLASS_HINTS[name]), any_case=True)
-        scan = F.when(hint, first(patterns))
+        scan = first(patterns)
         own = F.when(kind == name, scan) if own is None else own.when(kind == name, scan)
-    universal = F.when(contains_any(content, UNIVERSAL_HINTS), first(fv.UNIVERSAL_SECRETS))
-    return F.coalesce(own, universal)
+    return F.coalesce(own, first(fv.UNIVERSAL_SECRETS))
+
+
+def may_hold_secret(content: Column) -> Column:
+    """False only on lines that no secret pattern of any class matches."""
+    return matches(content, "|".join(CLASS_HINTS), any_case=True) | contains_any(
+        content, UNIVERSAL_HINTS
+    )
 
 
 def is_secret_comment(content: Column, kind: Column) -> Column:
@@ -216,26 +229,24 @@ def env_key(content: Column) -> Column:
 
 
 def _secret_rules() -> list[Rule]:
-    def in_code(value: Expr) -> Expr:
-        return lambda n: F.when(n.secret_class == "code", value(n))
-
     return [
         Rule(
             "secrets",
             "secrets",
+            hint=lambda n: n.secret_class.isNotNull() & may_hold_secret(n.content),
             hit=lambda n: n.secret_class.isNotNull()
-            & secret_label(n.content, n.secret_class).isNotNull()
+            & n.secret_label.isNotNull()
             & ~is_secret_comment(n.content, n.secret_class),
             severity=text("error"),
             message=lambda n: F.concat(
                 _secret_text(n.secret_class, 0),
-                secret_label(n.content, n.secret_class),
+                n.secret_label,
                 _secret_text(n.secret_class, 1),
             ),
             suggestion=lambda n: _secret_text(n.secret_class, 2),
-            fix_kind=in_code(text("move-to-env")),
-            fix_label=in_code(lambda n: F.concat(F.lit("Move to .env as "), env_key(n.content))),
-            fix_env_key=in_code(lambda n: env_key(n.content)),
+            fix_kind=lambda n: F.when(n.env_key.isNotNull(), "move-to-env"),
+            fix_label=lambda n: F.concat(F.lit("Move to .env as "), n.env_key),
+            fix_env_key=lambda n: n.env_key,
         )
     ]
 
@@ -252,6 +263,7 @@ def _todo_rules() -> list[Rule]:
         Rule(
             "todos",
             "todos",
+            hint=lambda n: n.is_code & matches(n.content, fv.TODO_NOTE, any_case=True),
             hit=lambda n: n.is_code & matches(n.content, fv.TODO_NOTE, any_case=True),
             severity=text("info"),
             message=message,
@@ -265,9 +277,8 @@ def _type_any_rules() -> list[Rule]:
         Rule(
             "type-any",
             "type-any",
-            hit=lambda n: n.is_typescript
-            & n.content.contains("any")
-            & matches(n.content, fv.ANY_TYPE),
+            hint=lambda n: n.is_typescript & n.content.contains("any"),
+            hit=lambda n: n.is_typescript & matches(n.content, fv.ANY_TYPE),
             severity=text("warning"),
             message=text(fv.ANY_MESSAGE),
             suggestion=text(fv.ANY_SUGGESTION),
@@ -276,29 +287,25 @@ def _type_any_rules() -> list[Rule]:
 
 
 def _directive_rules() -> list[Rule]:
-    def directive(n: Line) -> Column:
-        return capture(n.content, fv.TS_DIRECTIVE, 1)
-
     return [
         Rule(
             "ts-directive",
             "ts-directive",
-            hit=lambda n: n.is_script
-            & n.content.contains("@ts-")
-            & matches(n.content, fv.TS_DIRECTIVE),
-            severity=lambda n: F.when(directive(n) == "nocheck", "error").otherwise("warning"),
+            hint=lambda n: n.is_script & n.content.contains("@ts-"),
+            hit=lambda n: n.is_script & matches(n.content, fv.TS_DIRECTIVE),
+            severity=lambda n: F.when(n.directive == "nocheck", "error").otherwise("warning"),
             message=lambda n: F.concat(
-                F.lit("@ts-"), directive(n), F.lit(" suppresses type checking")
+                F.lit("@ts-"), n.directive, F.lit(" suppresses type checking")
             ),
             suggestion=lambda n: F.when(
-                directive(n) == "expect-error", fv.EXPECT_ERROR_SUGGESTION
+                n.directive == "expect-error", fv.EXPECT_ERROR_SUGGESTION
             ).otherwise(
                 F.concat(
-                    F.lit("Remove @ts-"), directive(n), F.lit(" and fix the type error instead.")
+                    F.lit("Remove @ts-"), n.directive, F.lit(" and fix the type error instead.")
                 )
             ),
             fix_kind=text("remove-line"),
-            fix_label=lambda n: F.concat(F.lit("Remove @ts-"), directive(n), F.lit(" comment")),
+            fix_label=lambda n: F.concat(F.lit("Remove @ts-"), n.directive, F.lit(" comment")),
         )
     ]
 
@@ -316,8 +323,8 @@ def line_rules(settings: ReviewSettings) -> list[Rule]:
     return [rule for enabled, make in switches if enabled for rule in make()]
 
 
-def any_hit(rules: list[Rule], line: Line) -> Column:
-    return reduce(or_, [r.hit(line) for r in rules], F.lit(False))
+def any_hint(rules: list[Rule], line: Line) -> Column:
+    return reduce(or_, [r.hint(line) for r in rules], F.lit(False))
 
 
 # --- the large-block rule looks at a hunk, not a line -------------------------
@@ -327,8 +334,18 @@ LARGE_FUNCTIONS = "large-functions"
 
 def block_name(first_lines: Column) -> Column:
     """Name of the function that seems to start in the text, else 'anonymous'."""
-    names = [F.nullif(capture(first_lines, fv.FUNCTION_NAME, i), F.lit("")) for i in (1, 2, 3)]
-    return F.coalesce(*names, F.lit("anonymous"))
+
+    def name(text: Column) -> Column:
+        first, second, third = (capture(text, fv.FUNCTION_NAME, i) for i in (1, 2, 3))
+        return (
+            F.when(first != "", first)
+            .when(second != "", second)
+            .when(third != "", third)
+            .otherwise("anonymous")
+        )
+
+    # as a lambda, so that the text is put together once for all groups
+    return F.transform(F.array(first_lines), name)[0]
 
 
 def large_block_message(added: Column, name: Column) -> Column:

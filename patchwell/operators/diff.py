@@ -29,6 +29,18 @@ STATUS_HEADER = r"(?:^|\n)(new file mode|deleted file mode|rename from)"
 BLOCK = 256
 #: ``src_ord`` is the channel's rank times this, plus the position
 RANK_STEP = 1 << 40
+#: columns of a section or snapshot as merging reads them
+SECTION = (
+    "repo",
+    "review_id",
+    "path",
+    "status",
+    "src_rank",
+    "src_ord",
+    "first_ord",
+    "additions",
+    "deletions",
+)
 #: rank from which a source is a snapshot and not a diff
 FIRST_SNAPSHOT_RANK = len(fv.CHANNELS)
 
@@ -171,25 +183,24 @@ def file_sections(raw_diffs: DataFrame) -> DataFrame:
     )
 
 
+def _with_counts(sections: DataFrame) -> DataFrame:
+    """Sections with their added and removed lines, without exploding lines."""
+    text = F.array_join(_hunk_texts(F.col("section")), "\n")
+    return sections.withColumn("hunk_text", text).select(
+        *sections.columns,
+        occurrences(F.col("hunk_text"), "\n+", "\n").alias("additions"),
+        occurrences(F.col("hunk_text"), "\n-", "\n").alias("deletions"),
+    )
+
+
 def _hunk_texts(section: Column) -> Column:
     pieces = F.split(F.concat(F.lit("\n"), section), HUNK_BREAK, -1)
     return F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
 
 
 def section_rows(sections: DataFrame) -> DataFrame:
-    """One row per section with its line counts, without exploding lines."""
-    text = F.array_join(_hunk_texts(F.col("section")), "\n")
-    return sections.withColumn("hunk_text", text).select(
-        "repo",
-        "review_id",
-        "path",
-        "status",
-        "src_rank",
-        "src_ord",
-        "first_ord",
-        occurrences(F.col("hunk_text"), "\n+", "\n").alias("additions"),
-        occurrences(F.col("hunk_text"), "\n-", "\n").alias("deletions"),
-    )
+    """One row per section with its line counts."""
+    return _with_counts(sections).select(*SECTION)
 
 
 # --- hunks and lines ----------------------------------------------------------
@@ -260,14 +271,12 @@ def snapshot_hunks(snapshots: DataFrame, origins: tuple[str, ...] = fv.ORIGINS)
 
 def snapshot_rows(snapshots: DataFrame) -> DataFrame:
     """``section_rows`` of snapshots: every line of the content is an addition."""
+    return _counted_snapshots(snapshots).select(*SECTION)
+
+
+def _counted_snapshots(snapshots: DataFrame) -> DataFrame:
     return snapshot_hunks(snapshots).select(
-        "repo",
-        "review_id",
-        "path",
-        "status",
-        "src_rank",
-        "src_ord",
-        "first_ord",
+        "*",
         F.col("new_count").alias("additions"),
         F.lit(0).cast("bigint").alias("deletions"),
     )
@@ -364,8 +373,11 @@ def added_lines(lines: DataFrame) -> DataFrame:
 # --- lines as the rules read them ---------------------------------------------
 
 
-def _with_gates(hunks: DataFrame) -> DataFrame:
-    return hunks.select("*", *gates(F.col("path")))
+def _with_gates(files: DataFrame, keep_all: bool) -> DataFrame:
+    gated = files.select("*", *gates(F.col("path")))
+    if keep_all:
+        return gated
+    return gated.filter(is_scanned(F.col("is_code"), F.col("secret_class")))
 
 
 def _block_columns(added: Column, first_lines: Column, threshold: int) -> list[Column]:
@@ -383,11 +395,11 @@ def reviewable_diff_lines(
     """Lines of diffs with file gates and the large-block columns of their hunk.
 
     Files no rule looks at are dropped before their lines are exploded. With
-    ``keep_all`` every section stays, with a row of nulls if it has no lines.
+    ``keep_all`` every section stays, with its line counts, and with a row of
+    nulls if it has no lines.
     """
-    hunks = _with_gates(diff_hunks(sections, keep_empty=keep_all))
-    if not keep_all:
-        hunks = hunks.filter(is_scanned(F.col("is_code"), F.col("secret_class")))
+    counted = _with_counts(sections) if keep_all else sections
+    hunks = diff_hunks(_with_gates(counted, keep_all), keep_empty=keep_all)
     added = occurrences(F.col("hunk"), "\n+", "\n")
     head = F.slice(
         F.filter(F.slice(F.split("hunk", "\n", -1), F.lit(2), F.lit(2147483646)), _is_parsed),
@@ -403,9 +415,8 @@ def reviewable_snapshot_lines(
     snapshots: DataFrame, threshold: int, keep_all: bool = False
 ) -> DataFrame:
     """``reviewable_diff_lines`` for snapshots."""
-    hunks = _with_gates(snapshot_hunks(snapshots))
-    if not keep_all:
-        hunks = hunks.filter(is_scanned(F.col("is_code"), F.col("secret_class")))
+    counted = _counted_snapshots(snapshots) if keep_all else snapshot_hunks(snapshots)
+    hunks = _with_gates(counted, keep_all)
     first_lines = F.substring_index("hunk", "\n", fv.FUNCTION_NAME_LINES)
     sized = hunks.select("*", *_block_columns(F.col("new_count"), first_lines, threshold))
     return snapshot_lines(sized)

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patchwell.functions import fixed_values as fv
 from patchwell.functions import rules as R
 from patchwell.operators.diff import (
+    SECTION,
     file_sections,
     reviewable_diff_lines,
     reviewable_snapshot_lines,
@@ -115,88 +114,97 @@ def _block_finding(threshold: int) -> Column:
     )
 
 
-def static_findings(lines: DataFrame, settings: ReviewSettings = DEFAULTS) -> DataFrame:
-    """Findings of every enabled rule on ``reviewable_lines``.
+def _candidates(lines: DataFrame, settings: ReviewSettings, keep: Column) -> DataFrame:
+    """Lines on which a rule may fire, and those in ``keep``."""
+    hinted = _is_added() & R.any_hint(R.line_rules(settings), R.Line.of_columns())
+    large = _starts_large_block() if settings.large_functions else F.lit(False)
+    return lines.filter(hinted | large | keep)
 
-    Lines without a hit (almost all) leave at a plain filter; messages and fixes
-    are only built for the rest. The line text itself does not leave this stage.
-    """
+
+def _found(settings: ReviewSettings) -> Column:
+    """Findings of every enabled rule on a line, as an array."""
     line = R.Line.of_columns()
-    rules = R.line_rules(settings)
-    hits = lines.filter(
-        (_is_added() & R.any_hit(rules, line))
-        | (_starts_large_block() if settings.large_functions else F.lit(False))
-    )
-    found = [F.when(_is_added() & r.hit(line), _line_finding(r, line)) for r in rules]
-    if settings.large_functions:
-        found.append(F.when(_starts_large_block(), _block_finding(settings.large_hunk)))
-    if not found:
-        found = [F.when(F.lit(False), _block_finding(settings.large_hunk))]
-    spread = hits.select(
-        "repo",
-        "review_id",
-        "path",
-        "src_rank",
-        "src_ord",
-        "hunk_idx",
-        F.coalesce("pos", F.lit(0).cast("bigint")).alias("pos"),
-        F.explode(F.array_compact(F.array(*found))).alias("f"),
-    )
-    return spread.select(
-        "repo",
-        "review_id",
-        "path",
-        "src_rank",
-        "src_ord",
-        "hunk_idx",
-        "pos",
+    added = _is_added()
+    found = [
+        F.when(added & rule.hit(line), _line_finding(rule, line))
+        for rule in R.line_rules(settings)
+    ]
+    # with every rule off the array keeps its type
+    large = _starts_large_block() if settings.large_functions else F.lit(False)
+    found.append(F.when(large, _block_finding(settings.large_hunk)))
+    return F.array_compact(F.array(*found))
+
+
+def _as_findings(rows: DataFrame) -> DataFrame:
+    own = ("repo", "review_id", "path", "src_rank", "src_ord", "hunk_idx", "pos")
+    return rows.select(
+        *own,
         *[
             F.lit("static").alias(c) if c == "source" else F.col(f"f.{c}").alias(c)
-            for c in FINDING_COLUMNS[7:]
+            for c in FINDING_COLUMNS
+            if c not in own
         ],
     )
 
 
-def tallied_rows(lines: DataFrame, settings: ReviewSettings = DEFAULTS) -> DataFrame:
-    """One row per section or snapshot with line counts and findings by severity.
+def static_findings(lines: DataFrame, settings: ReviewSettings = DEFAULTS) -> DataFrame:
+    """Findings of every enabled rule on ``reviewable_lines``.
 
-    Takes ``reviewable_lines(..., keep_all=True)``, so a review's counts, risks
-    and score come from a single scan of the diff texts. Nothing but the hits and
-    severities of the rules is evaluated.
+    Almost all lines leave at a filter of cheap tests; exact patterns, messages
+    and fixes are only evaluated on the rest. The line text itself does not leave
+    this stage.
     """
-    line = R.Line.of_columns()
-    rules = R.line_rules(settings)
-
-    def per_line(severity: str) -> Column:
-        parts = [
-            F.when(_is_added() & r.hit(line) & (r.severity(line) == severity), 1).otherwise(0)
-            for r in rules
-        ]
-        if severity == "warning" and settings.large_functions:
-            parts.append(F.when(_starts_large_block(), 1).otherwise(0))
-        return reduce(lambda a, b: a + b, parts, F.lit(0))
-
-    severities = {"errors": "error", "warnings": "warning", "infos": "info"}
-    flagged = lines.select(
-        "repo",
-        "review_id",
-        "path",
-        "status",
-        "src_rank",
-        "src_ord",
-        "first_ord",
-        F.col("line_type"),
-        *[per_line(s).alias(name) for name, s in severities.items()],
+    return _as_findings(
+        _candidates(lines, settings, F.lit(False)).select(
+            "repo",
+            "review_id",
+            "path",
+            "src_rank",
+            "src_ord",
+            "hunk_idx",
+            F.coalesce("pos", F.lit(0).cast("bigint")).alias("pos"),
+            F.explode(_found(settings)).alias("f"),
+        )
+    )
+
+
+def scan(
+    raw_diffs: DataFrame, snapshots: DataFrame, settings: ReviewSettings = DEFAULTS
+) -> DataFrame:
+    """Sections and their findings from one read of the diff texts.
+
+    A row is a section or snapshot with its line counts and one finding ``f``, or
+    none; every section has at least one row. Everything a review needs derives
+    from this (small) table.
+    """
+    lines = reviewable_lines(raw_diffs, snapshots, settings, keep_all=True)
+    zero = F.lit(0).cast("bigint")
+    first = (F.coalesce("hunk_idx", zero) == 0) & (F.coalesce("pos", zero) == 0)
+    return _candidates(lines, settings, first).select(
+        *SECTION,
+        F.coalesce("hunk_idx", zero).alias("hunk_idx"),
+        F.coalesce("pos", zero).alias("pos"),
+        F.explode_outer(_found(settings)).alias("f"),
     )
-    keys = ["repo", "review_id", "path", "status", "src_rank", "src_ord", "first_ord"]
-    sums = [F.sum(c).cast("bigint").alias(c) for c in severities]
-    counted = flagged.groupBy(*keys).agg(
-        F.count_if(F.col("line_type") == "added").alias("additions"),
-        F.count_if(F.col("line_type") == "removed").alias("deletions"),
-        *sums,
+
+
+def scanned_findings(scanned: DataFrame) -> DataFrame:
+    """The findings of a scan."""
+    return _as_findings(scanned.filter(F.col("f").isNotNull()))
+
+
+def tallied_rows(scanned: DataFrame) -> DataFrame:
+    """One row per section or snapshot of a scan, with findings by severity."""
+
+    def of(severity: str) -> Column:
+        return F.count_if(F.col("f.severity") == severity)
+
+    return scanned.groupBy(*SECTION).agg(
+        of("error").alias("errors"),
+        of("warning").alias("warnings"),
+        of("info").alias("infos"),
+        F.count("f").alias("findings"),
     )
-    total = F.col("errors") + F.col("warnings") + F.col("infos")
-    return counted.withColumn("findings", total)
 
 
 def reviewed_findings(found: DataFrame, files: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from patchwell.operators.findings import (
     number_findings,
     reviewable_lines,
     reviewed_findings,
+    scan,
+    scanned_findings,
     static_findings,
     tallied_rows,
 )
@@ -21,7 +23,6 @@ from patchwell.operators.scoring import (
     file_risk,
     review_rollup,
     severity_tallies,
-    with_tallies,
 )
 from patchwell.settings import DEFAULTS, ReviewSettings
 from patchwell.sources.tables import settle, write_findings, write_history
@@ -52,10 +53,14 @@ def _answers(inputs: ReviewInputs) -> DataFrame | None:
 
 def review_files(inputs: ReviewInputs, settings: ReviewSettings = DEFAULTS) -> DataFrame:
     """Changed files with counts, findings by severity and risk, in one scan."""
-    lines = reviewable_lines(inputs.raw_diffs, inputs.snapshots, settings, keep_all=True)
-    answers = _answers(inputs)
+    return _files(scan(inputs.raw_diffs, inputs.snapshots, settings), _answers(inputs), settings)
+
+
+def _files(
+    scanned: DataFrame, answers: DataFrame | None, settings: ReviewSettings
+) -> DataFrame:
     extra = None if answers is None else severity_tallies(answers)
-    files = merge_files(tallied_rows(lines, settings), (*COUNTS, *TALLIES), extra)
+    files = merge_files(tallied_rows(scanned), (*COUNTS, *TALLIES), extra)
     return file_risk(files, settings)
 
 
@@ -78,12 +83,16 @@ def run_review(
 ) -> dict[str, DataFrame]:
     """Review everything and write findings, files, reviews and history.
 
-    Findings are settled once: ids, risks, scores and reports all start from
-    that small table, so no rule runs twice.
+    The diffs are read once: ids, risks, scores and reports all start from the
+    settled scan, which is as small as the findings and files are.
     """
-    found = settle(review_findings(inputs, settings))
-    merged = changed_files(inputs.raw_diffs, inputs.snapshots)
-    files = settle(file_risk(with_tallies(merged, found), settings))
+    scanned = settle(scan(inputs.raw_diffs, inputs.snapshots, settings))
+    answers = _answers(inputs)
+    files = settle(_files(scanned, answers, settings))
+    found = scanned_findings(scanned)
+    if answers is not None:
+        found = found.unionByName(answers)
+    found = settle(reviewed_findings(found, files))
     reports = markdown_reports(inputs.reviews, files, found)
     reviews = settle(
         review_rollup(files, inputs.reviews, settings).join(reports, "review_id", "left")
