@@ -152,9 +152,7 @@ SELECT review_id, path, CAST(greatest(0, line - 1) AS BIGINT) AS start_line,
   message || CASE WHEN coalesce(suggestion, '') = '' THEN '' ELSE {NL} || '💡 ' || suggestion END
     AS message
 FROM found_both""",
-    "status": "",
 }
-del BODIES["status"]
 
 # --- proximity: a line opens a group if no line of its file is up to 5 before it
 
@@ -370,6 +368,14 @@ FROM found_ai"""
 BODIES["ai_review_rollup"] = rollup("risky_both")
 
 
+ARRIVED = ("console", "debugger", "todos", "any", "directive")
+BODIES["streamed_findings"] = "\nUNION ALL ".join(
+    f"SELECT review_id, path, CAST(line AS BIGINT) AS line, severity, rule, message"
+    f" FROM arrived_{name}"
+    for name in ARRIVED
+)
+
+
 def oracle_sql() -> dict[str, str]:
     out = {}
     for name, body in BODIES.items():

@@ -561,6 +561,20 @@ STEPS.add(
         f"'Remove @ts-' || {DIRECTIVE} || ' comment'",
     ),
 )
+STEPS.add(
+    "f_checked",
+    f"""
+SELECT review_id, path, 0 AS file_ord, rank * {STEP} + section_seq AS src_ord, hunk_idx, pos,
+  line_number, content, {has('path', fv.CODE_FILE)} AS is_code,
+  {has('path', fv.PYTHON_FILE)} AS is_python,
+  {has('path', fv.TYPESCRIPT_FILE)} AS is_typescript, {has('path', fv.SCRIPT_FILE)} AS is_script
+FROM f_lines WHERE line_type = 'added'""",
+)
+for _name in ("found_console", "found_debugger", "found_todos", "found_any", "found_directive"):
+    STEPS.add(
+        _name.replace("found", "arrived"),
+        STEPS.bodies[_name].replace("FROM checked", "FROM f_checked"),
+    )
 ALL_FOUND = (
     "found_console",
     "found_debugger",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -14,7 +15,8 @@ from patchwell.operators import diff, findings, history, locate, merge, prompts,
 from patchwell.plans.review import ReviewInputs, review_files, review_findings, review_rows
 from patchwell.settings import ReviewSettings
 from patchwell.sources import derived
-from patchwell.sources.tables import settle
+from patchwell.sources.tables import settle, shared_folder
+from patchwell.streaming import arrivals
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -447,3 +449,31 @@ def llm_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ai_review_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reviews with the assistant's findings counted in."""
     return review_rows(inputs(spark, sf_dir, answers=True), SETTINGS)
+
+
+# --- streams ------------------------------------------------------------------
+
+
+@query
+def streamed_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of a stream in which every document arrives as a diff of its own."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    arriving = (
+        spark.readStream.schema("doc_id bigint, text string, source string")
+        .option("pathGlobFilter", "documents.parquet")
+        .parquet(sf_dir)
+    )
+    parts = derived.sections(derived.as_files(arriving))
+    diffs = parts.withColumn("channel", F.lit("staged")).withColumnRenamed("section", "raw_diff")
+    settings = replace(SETTINGS, secrets=False, large_functions=False)
+    found = arrivals.arriving_findings(diffs, settings)
+    written = (
+        found.select("review_id", "path", "line", "severity", "rule", "message")
+        .writeStream.format("parquet")
+        .option("checkpointLocation", f"{folder}/state")
+        .option("path", f"{folder}/findings")
+        .trigger(availableNow=True)
+        .start()
+    )
+    written.awaitTermination()
+    return spark.read.parquet(f"{folder}/findings")

@@ -58,7 +58,11 @@ def _pick(values: tuple[str, ...], index: Column) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with the review, path and lines they stand for."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
+    return as_files(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def as_files(docs: DataFrame) -> DataFrame:
+    """A table or stream of documents as files under review."""
     i = F.col("doc_id")
 
     def line(x: Column, pos: Column) -> Column:

@@ -84,8 +84,14 @@ def settle(df: DataFrame) -> DataFrame:
     shared folder in ``spark.checkpoint.dir``; only where that is unset (local
     tests) a temporary one is used.
     """
-    context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None):
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="patchwell-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder, set on the context if it is not yet."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="patchwell-"))
+    return context.getCheckpointDir()
