@@ -210,21 +210,30 @@ def review_prompts(
 
 # --- answers ------------------------------------------------------------------
 
-ANSWER_SCHEMA = "array<struct<line:string,severity:string,message:string,suggestion:string>>"
-
-
 def parsed_answers(responses: DataFrame) -> DataFrame:
-    """Items of each answer's array; an answer that is not valid JSON gives none."""
+    """Items of each answer's array; an answer that is not valid JSON gives none.
+
+    Items other than objects have no fields; a JSON null voids the whole answer.
+    """
     widest = F.regexp_extract("response", r"(?s)\[.*\]", 0)
-    # the variant parser is strict about what follows the array, as JSON is
-    valid = F.try_parse_json(F.col("answer")).isNotNull()
-    items = F.from_json("answer", ANSWER_SCHEMA, {"allowSingleQuotes": "false"})
-    usable = F.when(~F.exists("items", lambda x: x.isNull()), F.col("items"))
+    # Parsers stop at the end of the first value. What follows the array would have
+    # to close or continue an object and also an array, which no text does.
+    answer = F.col("answer")
+    as_field = F.try_parse_json(F.concat(F.lit('{"items":'), answer, F.lit("}")))
+    as_element = F.try_parse_json(F.concat(F.lit("["), answer, F.lit("]")))
+    valid = as_field.isNotNull() & as_element.isNotNull()
+    items = F.try_parse_json(answer).cast("array<variant>")
+    usable = F.when(~F.exists("items", lambda x: F.is_variant_null(x)), F.col("items"))
+    fields = [
+        F.try_variant_get(F.col("item"), f"$.{name}", "string").alias(name)
+        for name in ("line", "severity", "message", "suggestion")
+    ]
     return (
         responses.withColumn("answer", widest)
         .filter((F.col("answer") != "") & valid)
         .withColumn("items", items)
         .select("review_id", "path", F.posexplode(usable).alias("item_no", "item"))
+        .select("review_id", "path", "item_no", *fields)
     )
 
 
@@ -235,11 +244,11 @@ def assistant_findings(responses: DataFrame) -> DataFrame:
     a line that is no whole number is dropped. Severities are kept as answered.
     """
     items = parsed_answers(responses)
-    line = F.col("item.line").try_cast("bigint")
+    line = F.col("line").try_cast("bigint")
     given = (
         (line != 0)
-        & (F.coalesce("item.severity", F.lit("")) != "")
-        & (F.coalesce("item.message", F.lit("")) != "")
+        & (F.coalesce("severity", F.lit("")) != "")
+        & (F.coalesce("message", F.lit("")) != "")
     )
     none = F.lit(None).cast("string")
     last = F.lit(len(fv.ANALYZERS)).cast("bigint")
@@ -254,13 +263,13 @@ def assistant_findings(responses: DataFrame) -> DataFrame:
         F.col("item_no").cast("bigint").alias("pos"),
         line.alias("line"),
         F.lit(None).cast("bigint").alias("end_line"),
-        F.col("item.severity").alias("severity"),
+        F.col("severity").alias("severity"),
         F.lit("ai").alias("source"),
         F.lit(fv.AI_ANALYZER).alias("analyzer"),
         last.alias("analyzer_ord"),
         F.lit(fv.AI_ANALYZER).alias("rule"),
-        F.col("item.message").alias("message"),
-        F.col("item.suggestion").alias("suggestion"),
+        F.col("message").alias("message"),
+        F.col("suggestion").alias("suggestion"),
         *[
             none.alias(c)
             for c in (
