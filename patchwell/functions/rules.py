@@ -14,14 +14,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import cached_property, reduce
-from operator import or_
+from functools import cached_property
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from patchwell.functions import fixed_values as fv
-from patchwell.functions.text import capture, contains_any, matches, trim
+from patchwell.functions.dialect import java
+from patchwell.functions.text import capture, contains_any, contains_any_case, matches, trim
 from patchwell.settings import ReviewSettings
 
 Expr = Callable[["Line"], Column]
@@ -177,7 +177,10 @@ CLASS_HINTS = (
     "value:",
     "://",
 )
-UNIVERSAL_HINTS = ("AKIA", "sk-", "_live_", "_test_", "ghp_", "eyJ", "xox", "SG.")
+#: characters that assign a value, and the one word that does so without any;
+#: only a Dockerfile can also set a value with a space
+ASSIGNMENT_HINTS = ("=", ":", "'", "earer")
+UNIVERSAL_HINTS = ("AKIA", "sk-", "_live_", "_test_", "ghp_", "PRIVATE KEY", "eyJ", "xox", "SG.")
 
 
 def secret_label(content: Column, kind: Column) -> Column:
@@ -194,12 +197,14 @@ def secret_label(content: Column, kind: Column) -> Column:
     for name, patterns in fv.SECRET_PATTERNS.items():
         scan = first(patterns)
         own = F.when(kind == name, scan) if own is None else own.when(kind == name, scan)
-    return F.coalesce(own, first(fv.UNIVERSAL_SECRETS))
+    universal = F.when(contains_any(content, UNIVERSAL_HINTS), first(fv.UNIVERSAL_SECRETS))
+    return F.coalesce(own, universal)
 
 
-def may_hold_secret(content: Column) -> Column:
-    """False only on lines that no secret pattern of any class matches."""
-    return matches(content, "|".join(CLASS_HINTS), any_case=True) | contains_any(
+def may_hold_secret(content: Column, kind: Column) -> Column:
+    """False only on lines that no secret pattern of the class matches."""
+    assigns = (kind == "docker") | contains_any(content, ASSIGNMENT_HINTS)
+    return (assigns & contains_any_case(content, CLASS_HINTS)) | contains_any(
         content, UNIVERSAL_HINTS
     )
 
@@ -233,7 +238,7 @@ def _secret_rules() -> list[Rule]:
         Rule(
             "secrets",
             "secrets",
-            hint=lambda n: n.secret_class.isNotNull() & may_hold_secret(n.content),
+            hint=lambda n: n.secret_class.isNotNull() & may_hold_secret(n.content, n.secret_class),
             hit=lambda n: n.secret_class.isNotNull()
             & n.secret_label.isNotNull()
             & ~is_secret_comment(n.content, n.secret_class),
@@ -251,6 +256,9 @@ def _secret_rules() -> list[Rule]:
     ]
 
 
+TODO_HINTS = ("todo", "fixme", "hack", "xxx", "bug")
+
+
 def _todo_rules() -> list[Rule]:
     def message(n: Line) -> Column:
         tag = F.upper(capture(n.content, fv.TODO_NOTE, 1, any_case=True))
@@ -263,7 +271,7 @@ def _todo_rules() -> list[Rule]:
         Rule(
             "todos",
             "todos",
-            hint=lambda n: n.is_code & matches(n.content, fv.TODO_NOTE, any_case=True),
+            hint=lambda n: n.is_code & contains_any_case(n.content, TODO_HINTS),
             hit=lambda n: n.is_code & matches(n.content, fv.TODO_NOTE, any_case=True),
             severity=text("info"),
             message=message,
@@ -323,10 +331,6 @@ def line_rules(settings: ReviewSettings) -> list[Rule]:
     return [rule for enabled, make in switches if enabled for rule in make()]
 
 
-def any_hint(rules: list[Rule], line: Line) -> Column:
-    return reduce(or_, [r.hint(line) for r in rules], F.lit(False))
-
-
 # --- the large-block rule looks at a hunk, not a line -------------------------
 
 LARGE_FUNCTIONS = "large-functions"
@@ -336,6 +340,7 @@ def block_name(first_lines: Column) -> Column:
     """Name of the function that seems to start in the text, else 'anonymous'."""
 
     def name(text: Column) -> Column:
+        # the groups are those of the one match found, so they are read from it alone
         first, second, third = (capture(text, fv.FUNCTION_NAME, i) for i in (1, 2, 3))
         return (
             F.when(first != "", first)
@@ -344,8 +349,9 @@ def block_name(first_lines: Column) -> Column:
             .otherwise("anonymous")
         )
 
-    # as a lambda, so that the text is put together once for all groups
-    return F.transform(F.array(first_lines), name)[0]
+    found = F.regexp_substr(first_lines, F.lit(java(fv.FUNCTION_NAME)))
+    # as a lambda, so that the (costly) search runs once for all groups
+    return F.transform(F.array(F.coalesce(found, F.lit(""))), name)[0]
 
 
 def large_block_message(added: Column, name: Column) -> Column:

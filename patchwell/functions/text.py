@@ -32,6 +32,15 @@ def contains_any(text: Column, needles: tuple[str, ...]) -> Column:
     return reduce(or_, [text.contains(n) for n in needles])
 
 
+def contains_any_case(text: Column, needles: tuple[str, ...]) -> Column:
+    """Whether ``text`` in lower case holds one of the literals.
+
+    Several times faster than a case-insensitive alternation; as a lambda, so
+    that the text is lowered once.
+    """
+    return F.exists(F.array(F.lower(text)), lambda low: contains_any(low, needles))
+
+
 def occurrences(text: Column, needle: str, shorter: str) -> Column:
     """How often ``needle`` occurs; ``shorter`` is one byte shorter than it."""
     less = F.replace(text, F.lit(needle), F.lit(shorter))

@@ -67,9 +67,16 @@ def _line_after(section: Column, marker: str) -> Column:
 
 
 def section_path(section: Column) -> Column:
-    """Path of a section, null if it is binary or names none."""
-    first_new_side = F.regexp_extract(section, r"(?:^|\n)\+\+\+ (b/|/dev/null)", 1)
-    has_old_side = section.rlike(r"(?:^|\n)--- a/")
+    """Path of a section, null if it is binary or names none.
+
+    Nearly always the lines before the first hunk decide; only where they do not
+    is the (long) rest of the section looked at.
+    """
+    head = F.substring_index(section, "\n@@ ", 1)
+    new_side, old_side = r"(?:^|\n)\+\+\+ (b/|/dev/null)", r"(?:^|\n)--- a/"
+    first_of_head = F.regexp_extract(head, new_side, 1)
+    first_new_side = F.regexp_extract(section, new_side, 1)
+    has_old_side = section.rlike(old_side)
     has_new_side = section.rlike(r"(?:^|\n)\+\+\+ b/")
     git_line = F.regexp_extract(section, r"(?:^|\n)(diff --git [^\n]*)", 1)
     any_but_break = r"[^\n\r  ]+"
@@ -77,13 +84,17 @@ def section_path(section: Column) -> Column:
         git_line, rf"diff --git a/{any_but_break} b/({any_but_break})", 1
     )
     path = (
-        F.when(first_new_side == "b/", _line_after(section, r"\+\+\+ b/"))
+        F.when(first_of_head == "b/", _line_after(head, r"\+\+\+ b/"))
+        .when((first_of_head == "/dev/null") & head.rlike(old_side), _line_after(head, "--- a/"))
+        .when(first_new_side == "b/", _line_after(section, r"\+\+\+ b/"))
         .when((first_new_side == "/dev/null") & has_old_side, _line_after(section, "--- a/"))
         .when((first_new_side == "/dev/null") & has_new_side, _line_after(section, r"\+\+\+ b/"))
         .otherwise(from_git_line)
     )
     is_binary = section.contains("Binary files") & section.rlike(r"(?:^|\n)Binary files")
-    return F.when(~is_binary & (path != ""), path)
+    # as an array, so that the path is extracted once
+    named = F.filter(F.array(path), lambda p: p != "")
+    return F.when(~is_binary, F.try_element_at(named, F.lit(1)))
 
 
 def section_status(section: Column) -> Column:
@@ -109,18 +120,38 @@ def _repeated_paths(paths: Column) -> Column:
     Git names a path once per diff, so this is null nearly always and costs one
     hash-set pass; only a diff with repeats pays for looking them up.
     """
-    live = F.array_compact(paths)
-    distinct = F.array_distinct(live)
-    repeats = F.filter(distinct, lambda p: F.size(F.filter(live, lambda q: q == p)) > 1)
-    spans = F.transform(
-        repeats,
-        lambda p: record(
-            path=p,
-            first=F.array_position(paths, p) - 1,
-            last=F.size(paths) - F.array_position(F.reverse(paths), p),
-        ),
-    )
-    return F.when(F.size(distinct) < F.size(live), spans)
+
+    def spans(live: Column) -> Column:
+        distinct = F.array_distinct(live)
+        repeats = F.filter(distinct, lambda p: F.size(F.filter(live, lambda q: q == p)) > 1)
+        located = F.transform(
+            repeats,
+            lambda p: record(
+                path=p,
+                first=F.array_position(paths, p) - 1,
+                last=F.size(paths) - F.array_position(F.reverse(paths), p),
+            ),
+        )
+        return F.when(F.size(distinct) < F.size(live), located)
+
+    # as a lambda, so that the paths are compacted once
+    return F.transform(F.array(F.array_compact(paths)), spans)[0]
+
+
+def _section_texts(raw_diff: Column) -> Column:
+    """Sections of the trimmed text.
+
+    The start is trimmed before the split and the end after it, on the last
+    section alone: trimming the end reads all of the text it is given.
+    """
+
+    def ends_trimmed(parts: Column) -> Column:
+        last = F.size(parts) - 1
+        return F.transform(parts, lambda x, i: F.when(i == last, trim(x)).otherwise(x))
+
+    # as a lambda, so that the text is split once
+    parts = F.split(F.ltrim(raw_diff, F.lit(fv.WHITE_SPACE)), SECTION_BREAK, -1)
+    return F.transform(F.array(parts), ends_trimmed)[0]
 
 
 def diff_sections(raw_diffs: DataFrame) -> DataFrame:
@@ -129,9 +160,7 @@ def diff_sections(raw_diffs: DataFrame) -> DataFrame:
         "repo",
         "review_id",
         "channel",
-        F.posexplode(F.split(trim(F.col("raw_diff")), SECTION_BREAK, -1)).alias(
-            "section_seq", "section"
-        ),
+        F.posexplode(_section_texts(F.col("raw_diff"))).alias("section_seq", "section"),
     )
 
 
@@ -145,14 +174,16 @@ def file_sections(raw_diffs: DataFrame) -> DataFrame:
         "repo",
         "review_id",
         source_rank(F.col("channel"), fv.CHANNELS).alias("src_rank"),
-        F.split(trim(F.col("raw_diff")), SECTION_BREAK, -1).alias("parts"),
+        _section_texts(F.col("raw_diff")).alias("parts"),
     )
     named = parts.withColumn("paths", F.transform("parts", section_path))
-    spread = named.select(
+    # looked up per diff, below the explode; only the (rare) repeats go with a section
+    repeated = named.withColumn("repeats", _repeated_paths(F.col("paths")))
+    spread = repeated.select(
         "repo",
         "review_id",
         "src_rank",
-        _repeated_paths(F.col("paths")).alias("repeats"),
+        "repeats",
         F.posexplode(F.arrays_zip("parts", "paths")).alias("section_seq", "part"),
     ).filter(F.col("part.paths").isNotNull())
     span = F.when(
@@ -194,8 +225,11 @@ def _with_counts(sections: DataFrame) -> DataFrame:
 
 
 def _hunk_texts(section: Column) -> Column:
-    pieces = F.split(F.concat(F.lit("\n"), section), HUNK_BREAK, -1)
-    return F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
+    return _after_first(F.split(F.concat(F.lit("\n"), section), HUNK_BREAK, -1))
+
+
+def _after_first(items: Column) -> Column:
+    return F.slice(items, 2, 1 << 30)
 
 
 def section_rows(sections: DataFrame) -> DataFrame:
@@ -248,7 +282,6 @@ def diff_hunks(sections: DataFrame, keep_empty: bool = False) -> DataFrame:
 
 def snapshot_hunks(snapshots: DataFrame, origins: tuple[str, ...] = fv.ORIGINS) -> DataFrame:
     """A snapshot as an added file with a single hunk that adds every line."""
-    lines = F.split("content", "\n", -1)
     rank = source_rank(F.col("origin"), origins, FIRST_SNAPSHOT_RANK)
     zero = F.lit(0).cast("bigint")
     return snapshots.filter(F.col("origin").isin(*origins)).select(
@@ -264,7 +297,7 @@ def snapshot_hunks(snapshots: DataFrame, origins: tuple[str, ...] = fv.ORIGINS)
         zero.alias("old_start"),
         zero.alias("old_count"),
         F.lit(1).cast("bigint").alias("new_start"),
-        F.size(lines).cast("bigint").alias("new_count"),
+        (occurrences(F.col("content"), "\n", "") + 1).alias("new_count"),
         F.col("content").alias("hunk"),
     )
 
@@ -300,8 +333,7 @@ def _blocks(lines: Column, marks: Column, start: Column) -> Column:
 
 
 def _with_body(hunks: DataFrame) -> DataFrame:
-    lines = F.split("hunk", "\n", -1)
-    body = F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))
+    body = _after_first(F.split("hunk", "\n", -1))
     marks = F.transform("body", lambda x: F.when(_is_counted(x), "1").otherwise("0"))
     return hunks.withColumn("body", body).withColumn("marks", F.array_join(marks, ""))
 
@@ -314,8 +346,11 @@ def number_before(first: Column, marks: Column, index: Column) -> Column:
 
 def hunk_blocks(hunks: DataFrame) -> DataFrame:
     """Hunks with their lines as an array of numbered blocks."""
-    bodied = _with_body(hunks)
-    return bodied.withColumn("blocks", _blocks(F.col("body"), F.col("marks"), F.col("new_start")))
+    return _with_body(hunks).withColumn("blocks", _block_array())
+
+
+def _block_array() -> Column:
+    return _blocks(F.col("body"), F.col("marks"), F.col("new_start"))
 
 
 def diff_lines(hunks: DataFrame, keep_empty: bool = False) -> DataFrame:
@@ -328,7 +363,9 @@ def diff_lines(hunks: DataFrame, keep_empty: bool = False) -> DataFrame:
     explode = F.explode_outer if keep_empty else F.explode
     posexplode = F.posexplode_outer if keep_empty else F.posexplode
     carried = [c for c in hunks.columns if c != "hunk"]
-    blocks = hunk_blocks(hunks).select(*carried, explode("blocks").alias("block"))
+    # exploding the expression, not a column of it, keeps Spark from deriving a filter
+    # that would evaluate it twice more
+    blocks = _with_body(hunks).select(*carried, explode(_block_array()).alias("block"))
     spread = blocks.select(
         *carried,
         F.col("block.first_pos").alias("first_pos"),
@@ -402,7 +439,7 @@ def reviewable_diff_lines(
     hunks = diff_hunks(_with_gates(counted, keep_all), keep_empty=keep_all)
     added = occurrences(F.col("hunk"), "\n+", "\n")
     head = F.slice(
-        F.filter(F.slice(F.split("hunk", "\n", -1), F.lit(2), F.lit(2147483646)), _is_parsed),
+        F.filter(_after_first(F.split("hunk", "\n", -1)), _is_parsed),
         1,
         fv.FUNCTION_NAME_LINES,
     )

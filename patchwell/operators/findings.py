@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -116,7 +119,9 @@ def _block_finding(threshold: int) -> Column:
 
 def _candidates(lines: DataFrame, settings: ReviewSettings, keep: Column) -> DataFrame:
     """Lines on which a rule may fire, and those in ``keep``."""
-    hinted = _is_added() & R.any_hint(R.line_rules(settings), R.Line.of_columns())
+    line = R.Line.of_columns()
+    hints = [rule.hint(line) for rule in R.line_rules(settings)]
+    hinted = _is_added() & reduce(or_, hints, F.lit(False))
     large = _starts_large_block() if settings.large_functions else F.lit(False)
     return lines.filter(hinted | large | keep)
 
@@ -126,7 +131,7 @@ def _found(settings: ReviewSettings) -> Column:
     line = R.Line.of_columns()
     added = _is_added()
     found = [
-        F.when(added & rule.hit(line), _line_finding(rule, line))
+        F.when(added & rule.hint(line) & rule.hit(line), _line_finding(rule, line))
         for rule in R.line_rules(settings)
     ]
     # with every rule off the array keeps its type

@@ -244,19 +244,22 @@ def test_only_added_lines_and_covered_snapshots(spark):
     ]
 
 
-PATTERNS = [p for own in fv.SECRET_PATTERNS.values() for p in own] + list(fv.UNIVERSAL_SECRETS)
+PATTERNS = [(k, p) for k, own in fv.SECRET_PATTERNS.items() for p in own] + [
+    ("code", p) for p in fv.UNIVERSAL_SECRETS
+]
 
 
-@pytest.mark.parametrize("pattern", PATTERNS, ids=lambda p: p.label)
-@settings(max_examples=20, deadline=None, suppress_health_check=list(HealthCheck))
+@pytest.mark.parametrize(("kind", "pattern"), PATTERNS, ids=lambda p: getattr(p, "label", p))
+@settings(max_examples=40, deadline=None, suppress_health_check=list(HealthCheck))
 @given(data=st.data())
-def test_hints_hold_for_whatever_a_secret_pattern_matches(pattern, data):
+def test_hints_hold_for_whatever_a_secret_pattern_matches(kind, pattern, data):
+    # ASCII letters only: ECMAScript folds no others onto them
     flags = re.IGNORECASE | re.ASCII if pattern.any_case else re.ASCII
     line = data.draw(st.from_regex(re.compile(pattern.regex, flags)))
-    # ASCII letters only: ECMAScript folds no others onto them
     if re.search(pattern.regex, line, flags):
-        lower = any(h in line.lower() for h in rules.CLASS_HINTS)
-        assert lower or any(h in line for h in rules.UNIVERSAL_HINTS)
+        assigns = kind == "docker" or any(h in line for h in rules.ASSIGNMENT_HINTS)
+        own = assigns and any(h in line.lower() for h in rules.CLASS_HINTS)
+        assert own or any(h in line for h in rules.UNIVERSAL_HINTS)
 
 
 def test_dialects_spell_out_what_differs():
