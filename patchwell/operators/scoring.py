@@ -29,13 +29,6 @@ def severity_tallies(found: DataFrame) -> DataFrame:
     )
 
 
-def with_tallies(files: DataFrame, found: DataFrame) -> DataFrame:
-    """Files with the counts of a findings table; 0 where a file has none."""
-    tallies = ("errors", "warnings", "infos", "findings")
-    joined = files.join(severity_tallies(found), ["review_id", "path"], "left")
-    return joined.fillna(0, list(tallies))
-
-
 def file_risk(files: DataFrame, settings: ReviewSettings = DEFAULTS) -> DataFrame:
     """Risk level of tallied files; the first condition that holds decides."""
     changed = F.col("additions") + F.col("deletions")

@@ -12,7 +12,13 @@ from pyspark.sql import functions as F
 from patchwell.functions.paths import gates
 from patchwell.functions.text import trim
 from patchwell.operators import diff, findings, history, locate, merge, prompts, report, scoring
-from patchwell.plans.review import ReviewInputs, review_files, review_findings, review_rows
+from patchwell.plans.review import (
+    ReviewInputs,
+    review_files,
+    review_findings,
+    review_rows,
+    review_tables,
+)
 from patchwell.settings import ReviewSettings
 from patchwell.sources import derived
 from patchwell.sources.tables import settle, shared_folder
@@ -74,11 +80,6 @@ def _changed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.changed_files(given.raw_diffs, given.snapshots)
 
 
-def _found(spark: SparkSession, sf_dir: str, answers: bool = False) -> DataFrame:
-    """Findings, settled because several branches start from them."""
-    return settle(review_findings(inputs(spark, sf_dir, answers), SETTINGS))
-
-
 # --- sources ------------------------------------------------------------------
 
 
@@ -201,7 +202,8 @@ def all_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def finding_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    numbered = findings.number_findings(_found(spark, sf_dir))
+    _, found = review_tables(inputs(spark, sf_dir), SETTINGS)
+    numbered = findings.number_findings(found)
     return numbered.select("review_id", "finding_id", "path", "line", "rule")
 
 
@@ -250,24 +252,21 @@ def empty_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def files_by_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = settle(review_files(inputs(spark, sf_dir), SETTINGS))
+    files, _ = review_tables(inputs(spark, sf_dir), SETTINGS)
     return scoring.files_by_risk(files).select("review_id", "path", "risk", "position")
 
 
 @query
 def markdown_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = inputs(spark, sf_dir)
-    found = _found(spark, sf_dir)
-    files = settle(scoring.with_tallies(merge.changed_files(given.raw_diffs, given.snapshots), found))
+    files, found = review_tables(given, SETTINGS)
     return report.markdown_reports(given.reviews, files, found)
 
 
 @query
 def report_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports in parts of eight lines."""
-    given = inputs(spark, sf_dir)
-    found = _found(spark, sf_dir)
-    files = settle(scoring.with_tallies(merge.changed_files(given.raw_diffs, given.snapshots), found))
+    files, found = review_tables(inputs(spark, sf_dir), SETTINGS)
     parts = report.report_parts(files, found, part_lines=8)
     return parts.withColumn("section", F.col("section").cast("bigint"))
 
@@ -285,10 +284,7 @@ def change_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def findings_by_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The errors, with the place of their file in risk order."""
-    given = inputs(spark, sf_dir)
-    found = _found(spark, sf_dir)
-    merged = merge.changed_files(given.raw_diffs, given.snapshots)
-    files = settle(scoring.file_risk(scoring.with_tallies(merged, found), SETTINGS))
+    files, found = review_tables(inputs(spark, sf_dir), SETTINGS)
     listed = scoring.findings_list(found, scoring.files_by_risk(files), "error")
     return listed.select("review_id", "file_position", "path", "line", "analyzer", "message")
 

@@ -9,14 +9,12 @@ from pyspark.sql import functions as F
 
 from patchwell.operators.findings import (
     number_findings,
-    reviewable_lines,
     reviewed_findings,
     scan,
     scanned_findings,
-    static_findings,
     tallied_rows,
 )
-from patchwell.operators.merge import COUNTS, TALLIES, changed_files, merge_files
+from patchwell.operators.merge import COUNTS, TALLIES, merge_files
 from patchwell.operators.prompts import answered_files, assistant_findings
 from patchwell.operators.report import markdown_reports
 from patchwell.operators.scoring import (
@@ -65,12 +63,19 @@ def _files(
 
 
 def review_findings(inputs: ReviewInputs, settings: ReviewSettings = DEFAULTS) -> DataFrame:
-    """Findings of all rules and answers on the files as merged."""
-    found = static_findings(reviewable_lines(inputs.raw_diffs, inputs.snapshots, settings), settings)
-    answers = _answers(inputs)
+    """Findings of all rules and answers on the files as merged.
+
+    Findings and files come from one settled scan, so the diffs are read once.
+    """
+    scanned = settle(scan(inputs.raw_diffs, inputs.snapshots, settings))
+    return _findings(scanned, _answers(inputs), merge_files(tallied_rows(scanned)))
+
+
+def _findings(scanned: DataFrame, answers: DataFrame | None, files: DataFrame) -> DataFrame:
+    found = scanned_findings(scanned)
     if answers is not None:
         found = found.unionByName(answers)
-    return reviewed_findings(found, changed_files(inputs.raw_diffs, inputs.snapshots))
+    return reviewed_findings(found, files)
 
 
 def review_rows(inputs: ReviewInputs, settings: ReviewSettings = DEFAULTS) -> DataFrame:
@@ -78,21 +83,25 @@ def review_rows(inputs: ReviewInputs, settings: ReviewSettings = DEFAULTS) -> Da
     return review_rollup(review_files(inputs, settings), inputs.reviews, settings)
 
 
+def review_tables(
+    inputs: ReviewInputs, settings: ReviewSettings = DEFAULTS
+) -> tuple[DataFrame, DataFrame]:
+    """Files and findings of all reviews, both settled, from one read of the diffs."""
+    scanned = settle(scan(inputs.raw_diffs, inputs.snapshots, settings))
+    answers = _answers(inputs)
+    files = settle(_files(scanned, answers, settings))
+    return files, settle(_findings(scanned, answers, files))
+
+
 def run_review(
     inputs: ReviewInputs, out: str, settings: ReviewSettings = DEFAULTS
 ) -> dict[str, DataFrame]:
     """Review everything and write findings, files, reviews and history.
 
     The diffs are read once: ids, risks, scores and reports all start from the
-    settled scan, which is as small as the findings and files are.
+    settled tables, which are as small as the findings and files are.
     """
-    scanned = settle(scan(inputs.raw_diffs, inputs.snapshots, settings))
-    answers = _answers(inputs)
-    files = settle(_files(scanned, answers, settings))
-    found = scanned_findings(scanned)
-    if answers is not None:
-        found = found.unionByName(answers)
-    found = settle(reviewed_findings(found, files))
+    files, found = review_tables(inputs, settings)
     reports = markdown_reports(inputs.reviews, files, found)
     reviews = settle(
         review_rollup(files, inputs.reviews, settings).join(reports, "review_id", "left")
