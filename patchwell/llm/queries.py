@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from patchwell.llm import chat, decontaminate, packing, sharding, simhash, suffix_dedup
+from patchwell.llm import chat, decontaminate, lm_scoring, packing, sharding, simhash, suffix_dedup
 from patchwell.llm.common import table
 
 SHARDS = 24
@@ -17,6 +17,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_simhash": op3_simhash,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_chat_formatting": op8_chat_formatting,
