@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from patchwell.llm import chat, decontaminate, lm_scoring, packing, sharding, simhash, suffix_dedup
+from patchwell.llm import ann, chat, decontaminate, lm_scoring, packing, sharding, simhash, suffix_dedup
 from patchwell.llm.common import table
 
 SHARDS = 24
@@ -25,6 +26,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeats(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -49,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_lm_scoring": op2_lm_scoring,
     "op3_simhash": op3_simhash,
+    "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_packing": op9_packing,
