@@ -161,7 +161,7 @@ def evidence_tables(rows: DataFrame, n: int) -> dict[str, DataFrame]:
         table = written(_soft_counts(some, [key], n), key)
         values = table.count() + 1
         totals = np.nan_to_num(np.array(_soft_counts(some, [], n).first()[0], float))
-        log = F.zip_with("sums", _numbers(totals), lambda s, t, values=values: F.log((s + 1) / (t + values)))
+        log = F.zip_with("sums", _numbers(totals), lambda s, t: F.log((s + 1) / (t + values)))
         out[key] = table.select(key, log.alias(f"{key}_log"))
     return out
 
