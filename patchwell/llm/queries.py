@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from patchwell.llm import ann, chat, decontaminate, language, lm_scoring, packing, sharding, simhash, suffix_dedup
+from patchwell.llm import ann, chat, decontaminate, html_extract, language, lm_scoring, packing, sharding, simhash, suffix_dedup
 from patchwell.llm.common import table
 
 SHARDS = 24
@@ -30,6 +30,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.documents_languages(table(spark, sf_dir, "documents"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_lm_scoring": op2_lm_scoring,
     "op3_simhash": op3_simhash,
     "op4_language_id": op4_language_id,
+    "op5_html_extraction": op5_html_extraction,
     "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_chat_formatting": op8_chat_formatting,
