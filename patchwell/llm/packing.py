@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -45,18 +46,19 @@ class WordTokenizer:
 
     The tokenizer drops white space and lets no token cross it, so a text's ids are those of its
     words, one after the other. A word that is not known yet is split once more into runs of
-    small letters and others; runs of small letters skip the tokenizer's normalizer, which leaves
-    them as they are. The caches are emptied when they reach ``cache_words``."""
+    small letters and others, which are words too; runs of small letters skip the tokenizer's
+    normalizer, which leaves them as they are. The cache is emptied at ``cache_words``."""
 
     #: White space in the tokenizer's and in Python's eyes; other kinds stay inside a word.
     SPACE = re.compile(r"[ \t\n\r]+")
+    OTHER_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
     #: Words of characters that no normal form changes and whose small forms do not depend on
     #: their neighbours; without the apostrophe, which the tokenizer joins to some letters.
     LATIN = re.compile(r"[\x00-&(-\x7fÀ-ÖØ-öø-ÿ]*")
     PLAIN = re.compile(r"[a-zß-öø-ÿ]+")
     RUNS = re.compile(r"[a-zß-öø-ÿ]+|[^a-zß-öø-ÿ]+")
 
-    def __init__(self, path: str, cache_words: int = 600_000) -> None:
+    def __init__(self, path: str, cache_words: int = 1_000_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
@@ -66,36 +68,37 @@ class WordTokenizer:
         self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.cache_words = cache_words
         self.words: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.SPACE.split(x) for x in texts]
+        split = [self.SPACE.split(x) if self.OTHER_SPACE.search(x) else x.split() for x in texts]
         if len(self.words) > self.cache_words:
             self.words.clear()
-            self.runs.clear()
-        new = {w for words in split for w in words if w not in self.words}
+        new = set().union(*split).difference(self.words)
         if new:
-            self._learn(list(new))
+            self._learn(new)
         get = self.words.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
-    def _learn(self, words: list[str]) -> None:
-        splits, whole = {}, []
+    def _learn(self, words: set[str]) -> None:
+        plain, other, splits = set(), set(), []
         for word in words:
-            if self.LATIN.fullmatch(word) and "<|" not in word:
-                splits[word] = self.RUNS.findall(word.lower())
+            if self.PLAIN.fullmatch(word):
+                plain.add(word)
+            elif self.LATIN.fullmatch(word) and "<|" not in word:
+                splits.append((word, self.RUNS.findall(word.lower())))
             else:
-                whole.append(word)
-        fresh = list({x for runs in splits.values() for x in runs if x not in self.runs})
-        plain = [x for x in fresh if self.PLAIN.match(x)]
-        other = [x for x in fresh if not self.PLAIN.match(x)]
-        for some, tokenizer, cache in ((plain, self.bare, self.runs), (other, self.full, self.runs), (whole, self.full, self.words)):
+                other.add(word)
+        for _, runs in splits:
+            for x in runs:
+                if x not in self.words:
+                    (plain if self.PLAIN.match(x) else other).add(x)
+        for some, tokenizer in ((list(plain), self.bare), (list(other), self.full)):
             for at in range(0, len(some), 10_000):
                 part = some[at : at + 10_000]
                 for word, found in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                    cache[word] = np.array(found.ids, "<u4").tobytes()
-        for word, runs in splits.items():
-            self.words[word] = b"".join([self.runs[x] for x in runs])
+                    self.words[word] = array("I", found.ids).tobytes()
+        for word, runs in splits:
+            self.words[word] = b"".join([self.words[x] for x in runs])
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
