@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes that one block of documents holds on average.
 BLOCK_BYTES = 8 << 20
+#: Text bytes below which a block is not worth a task.
+LEAST_BYTES = 256 << 10
 
 
 def utf8(name: str) -> Column:
@@ -28,9 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def block_count(docs: DataFrame, text: str, block_bytes: int = BLOCK_BYTES) -> int:
-    """So many blocks that each holds about ``block_bytes`` of text."""
+    """So many blocks that each holds about ``block_bytes`` of text; of a small table as many as
+    Spark deals rows to, so that all tasks have some."""
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    return max(1, math.ceil(total / block_bytes))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, math.ceil(total / block_bytes), min(tasks, math.ceil(total / LEAST_BYTES)))
 
 
 def block_of(column: str, blocks: int) -> Column:

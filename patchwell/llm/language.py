@@ -13,16 +13,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patchwell.llm.common import utf8, written
 
 GRAM = 4
 BUCKET_BITS = 15
-#: Labelled rows of each language that the text model is fitted on at most.
+#: Labelled rows of each language that the text model is fitted on, on average at most.
 SAMPLE_ROWS = 2_000
-#: Languages told apart at most: those with the most labelled rows in the sample.
+#: Languages told apart at most: those with the most labelled rows.
 LANGUAGES = 64
 #: Overlapping grams repeat each other's evidence, so each counts for a part.
 GRAM_WEIGHT = 1 / GRAM
@@ -68,11 +68,18 @@ def _portions(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> TextModel:
-    """Fits on at most ``sample_rows`` rows ``text, language`` of each language, chosen by a hash of the
-    text. What reaches the driver is bounded by languages and buckets."""
-    rows = labelled.select(utf8("text").alias("text"), "language").where("language is not null and length(text) > 0")
-    order = Window.partitionBy("language").orderBy(F.xxhash64("text"), "text")
-    sample = rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample_rows)
+    """Fits on about ``sample_rows`` rows ``key, text, language`` of each language, chosen by a hash of
+    the key: each row by itself, so nothing is sorted or moved. What reaches the driver is bounded
+    by languages and buckets."""
+    rows = labelled.select("key", utf8("text").alias("text"), "language").where("language is not null")
+    common = labelled.where("language is not null").groupBy("language").count()
+    common = {x[0]: x[1] for x in common.orderBy(F.desc("count"), "language").limit(LANGUAGES).collect()}
+    if not common:
+        return TextModel([], np.zeros((1 << BUCKET_BITS, 0), np.float32))
+    languages = sorted(common)
+    rates = F.create_map(*(F.lit(x) for k in languages for x in (k, min(1.0, sample_rows / common[k]))))
+    share = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / float(1 << 30)
+    sample = rows.where(share < F.coalesce(F.try_element_at(rates, F.col("language")), F.lit(0.0)))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,9 +96,7 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> TextModel:
                     [pa.array([language] * n, pa.string()), pa.array(used), pa.array(sums[used])], names=["language", "bucket", "n"]
                 )
 
-    common = sample.groupBy("language").count().orderBy(F.desc("count"), "language").limit(LANGUAGES)
-    languages = sorted(x.language for x in common.collect())
-    grams = sample.where(F.col("language").isin(languages)).select("text", "language").mapInArrow(count, "language string, bucket long, n long")
+    grams = sample.select("text", "language").mapInArrow(count, "language string, bucket long, n long")
     counts = np.zeros((1 << BUCKET_BITS, len(languages)))
     for language, bucket, n in grams.groupBy("language", "bucket").agg(F.sum("n")).collect():
         counts[bucket, languages.index(language)] = n
@@ -225,13 +230,15 @@ def suffix_of(url: str) -> Column:
 
 def identify(rows: DataFrame, key: str, labelled: DataFrame | None = None) -> DataFrame:
     """``key, language, probability, text_language, declared, grams, recognised`` for rows of
-    ``key, text, declared, host, suffix``. ``labelled`` (``text, language``) trains the text model; by
+    ``key, text, declared, host, suffix``. ``labelled`` (``key, text, language``) trains the text model; by
     default the rows themselves do, with the declared values as labels.
 
     Null and empty texts have no grams and are not recognised; null hosts share one prior; null
     declared values and suffixes are no evidence; repeated rows each get theirs; an empty table
     gives no rows."""
-    model = fit(rows.select("text", F.col("declared").alias("language")) if labelled is None else labelled)
+    if labelled is None:
+        labelled = rows.select(F.col(key).alias("key"), "text", F.col("declared").alias("language"))
+    model = fit(labelled)
     rows = rows.select(key, "declared", "host", "suffix", utf8("text").alias("_utf8"))
     found = fuse(written(text_evidence(rows, model), "evidence"), model)
     return found.select(key, "language", "probability", "text_language", "declared", "grams", "recognised")
