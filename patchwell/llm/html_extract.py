@@ -26,7 +26,7 @@ from patchwell.llm.language import host_of
 
 #: A branch below this importance is cut.
 THRESHOLD = 0.25
-#: Share of a node's importance that its children's importance makes up, each child less.
+#: Share of a node's importance that comes from below if it has one child; to the power of their number.
 GAMMA = 0.9
 #: Pages of a host that a path must be on for its importance to say anything.
 LEAST_PAGES = 5
@@ -38,6 +38,8 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small"
     " span strike strong sub sup time tt u var wbr".split()
 )
+#: Elements that neither end a paragraph nor a block.
+INSIDE_TEXT = INLINE | RAW | VOID | {"button", "label", "select", "textarea", "input"}
 #: Elements whose name says that they frame the page.
 FRAME = frozenset("nav footer header aside form menu".split())
 CONTENT = frozenset("article main".split())
@@ -98,7 +100,7 @@ def parse(html: str) -> Node:
         if token[1]:
             _close(stack, name)
             continue
-        if name not in INLINE:
+        if name == "hr" or name not in INSIDE_TEXT:
             _close_paragraph(stack)
         if name in CLOSES:
             _close_open(stack, CLOSES[name])
@@ -179,8 +181,7 @@ def blocks(node: Node) -> list[str]:
         elif x.name == "br":
             run.append(" ")
         else:
-            inline = x.name in INLINE
-            if not inline:
+            if x.name == "hr" or x.name not in INSIDE_TEXT:
                 end()
                 todo.append(("end", None))
             todo += [("in", c) for c in reversed(x.children)]
@@ -190,13 +191,12 @@ def blocks(node: Node) -> list[str]:
 
 def _walk(root: Node) -> Iterator[Node]:
     """All block elements that may hold text, parents first, with their paths as 64-bit numbers."""
-    todo = [(root, "")]
+    todo = [(root, 0)]
     while todo:
         node, above = todo.pop()
-        path = f"{above}/{node.name}.{node.style}"
-        node.path = _number(path)
+        node.path = _number(f"{above}/{node.name}.{node.style}")
         yield node
-        todo += [(c, path) for c in node.children if isinstance(c, Node) and c.name not in SKIPPED and c.name not in INLINE]
+        todo += [(c, node.path) for c in _own_children(node)]
 
 
 def _number(text: str) -> int:
@@ -272,8 +272,8 @@ def importances(observed: DataFrame, least_pages: int = LEAST_PAGES) -> DataFram
 
 
 def _composite(root: Node, tree: dict[int, tuple[float, float | None]]) -> dict[int, float]:
-    """Importance of each node by its identity: its own presentations and, more so the more children
-    it has, the mean of theirs. Unknown paths count as important."""
+    """Importance of each node by its identity: the mean of its children's and, more so the more
+    children it has, that of its own presentations. Unknown paths count as important."""
     order = list(_walk(root))
     out: dict[int, float] = {}
     for node in reversed(order):
@@ -282,7 +282,7 @@ def _composite(root: Node, tree: dict[int, tuple[float, float | None]]) -> dict[
         if not children:
             out[id(node)] = 1.0 if reads is None and node.path not in tree else (reads if reads is not None else looks)
         else:
-            own = GAMMA ** len(children)
+            own = 1 - GAMMA ** len(children)
             out[id(node)] = own * looks + (1 - own) * sum(children) / len(children)
     return out
 
@@ -298,25 +298,31 @@ def main_text(html: str, tree: dict[int, tuple[float, float | None]], threshold:
     articles = [n for n in _walk(root) if n.name in CONTENT and not n.frames]
     keep: list[str] = []
 
-    def prune(node: Node, inside: bool) -> Node | None:
-        inside = inside or node.name in CONTENT
+    def stays(node: Node, inside: bool) -> bool:
         frames = node.frames or (node.name in FRAME and not (inside and node.name == "header"))
-        weight = 0.1 if frames else 1.0
         value = importance.get(id(node), 1.0)
         if inside and not frames:
             value = max(value, threshold)
-        if node.name not in ("root", "html", "body") and value * weight < threshold:
+        return node.name in ("root", "html", "body") or value * (0.1 if frames else 1.0) >= threshold
+
+    def prune(top: Node, inside: bool) -> Node | None:
+        """The branch without branches that do not stay; a rule marks where one stood."""
+        if not stays(top, inside):
             return None
-        out = Node(node.name, node.style)
-        for c in node.children:
-            if isinstance(c, str):
-                out.children.append(c)
-            elif c.name in SKIPPED:
-                continue
-            elif (kept := prune(c, inside)) is not None:
-                out.children.append(kept)
-            else:
-                out.children.append(Node("hr"))  # what stood on both sides stays apart
+        out = Node(top.name, top.style)
+        todo = [(top, out, inside or top.name in CONTENT)]
+        while todo:
+            node, copy, inside = todo.pop()
+            for c in node.children:
+                if isinstance(c, str):
+                    copy.children.append(c)
+                elif c.name in SKIPPED:
+                    continue
+                elif stays(c, within := inside or c.name in CONTENT):
+                    copy.children.append(Node(c.name, c.style))
+                    todo.append((c, copy.children[-1], within))
+                else:
+                    copy.children.append(Node("hr"))
         return out
 
     if articles:
