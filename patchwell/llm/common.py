@@ -6,6 +6,8 @@ import math
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -63,6 +65,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_kept: dict[str, Any] = {}
+
+
+def kept(name: str, build: Callable[[], Any]) -> Any:
+    """The one thing that a worker process keeps from task to task; asking for another one
+    drops it."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = build()
+    return _kept[name]
+
+
+def make_room() -> None:
+    """Called by tasks that need memory themselves: workers outlive the jobs they served."""
+    _kept.clear()
+
+
 def spread(total: np.ndarray) -> np.ndarray:
     """Start of each run of the given lengths laid end to end, and the end of the last."""
     return np.concatenate([np.zeros(1, np.int64), np.cumsum(total, dtype=np.int64)])

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patchwell.llm.common import mix, spread, utf8
+from patchwell.llm.common import make_room, mix, spread, utf8
 
 WINDOW = 13
 #: Text bytes of test items that one broadcast set may hold; more are scanned in several passes.
@@ -139,6 +139,7 @@ def _scan_pass(docs: DataFrame, items: list[tuple[str, bytes]], window: int) ->
     )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         for batch in batches:
             texts = batch.column("_utf8").to_pylist()
             kept = batch.drop_columns(["_utf8"])

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from patchwell.llm.common import utf8, written
+from patchwell.llm.common import make_room, utf8, written
 
 GRAM = 4
 BUCKET_BITS = 15
@@ -109,6 +109,7 @@ def text_evidence(rows: DataFrame, model: TextModel) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(model)  # bounded by languages and buckets
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         log = shared.value.log
         for batch in batches:
             n = batch.num_rows

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from patchwell.llm.common import block_count, block_of, mix, utf8, written
+from patchwell.llm.common import block_count, block_of, kept, mix, utf8, written
 
 EM_ROUNDS = 4
 #: Weight of the vocabulary's own scores against the expected counts, in pieces.
@@ -180,16 +180,9 @@ class Model:
         return np.log10((counts + 0.5) / (self.tokens + 0.5 * (self.types + 1)))
 
 
-_lattices: dict[int, Lattice] = {}
-
-
 def _lattice(pieces: list[bytes]) -> Lattice:
     """Built once in a worker process for each vocabulary."""
-    key = hash(tuple(pieces))
-    if key not in _lattices:
-        _lattices.clear()
-        _lattices[key] = Lattice(pieces)
-    return _lattices[key]
+    return kept(f"lattice of {hash(tuple(pieces))}", lambda: Lattice(pieces))
 
 
 def words_of(text: bytes) -> list[bytes]:

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from patchwell.llm.common import written
+from patchwell.llm.common import kept, written
 
 END_ID = 1
 #: Pieces that are packed with each other, on average.
@@ -58,7 +58,7 @@ class WordTokenizer:
     PLAIN = re.compile(r"[a-zß-öø-ÿ]+")
     RUNS = re.compile(r"[a-zß-öø-ÿ]+|[^a-zß-öø-ÿ]+")
 
-    def __init__(self, path: str, cache_words: int = 1_000_000) -> None:
+    def __init__(self, path: str, cache_words: int = 800_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
@@ -101,16 +101,6 @@ class WordTokenizer:
             self.words[word] = b"".join([self.words[x] for x in runs])
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
-
-
-def _tokenizer(path: str) -> WordTokenizer:
-    """One for each worker process, so that its cache outlives a task."""
-    if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
-    return _tokenizers[path]
-
-
 PIECES = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -124,7 +114,7 @@ def pieces(docs: DataFrame, path: str | None = None, size: int = 2048, ids: bool
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer = _tokenizer(path)
+        tokenizer = kept(f"words of {path}", lambda: WordTokenizer(path))
         for batch in batches:
             texts = [x or "" for x in batch["text"]]
             for group, keys in _portions(texts, batch["doc_id"].tolist()):

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patchwell.llm.common import mix, utf8, written
+from patchwell.llm.common import make_room, mix, utf8, written
 from patchwell.llm.components import components
 
 BITS = 64
@@ -54,6 +54,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         for batch in batches:
             found = np.array([fingerprint(x.as_py()) for x in batch.column("text")], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], schema=schema)

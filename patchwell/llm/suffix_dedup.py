@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from patchwell.llm.common import BLOCK_BYTES, block_count, block_of, mix, spread, utf8
+from patchwell.llm.common import BLOCK_BYTES, block_count, block_of, make_room, mix, spread, utf8
 
 LENGTH = 200
 #: Window starts whose anchors are computed at once.
@@ -121,6 +121,7 @@ class Block:
     """Documents of one block end to end, with their stretches."""
 
     def __init__(self, docs: pa.Table, length: int) -> None:
+        make_room()
         _, texts = _in_order(docs)
         sizes = np.array([len(x) for x in texts], np.int64)
         self.data = np.frombuffer(b"".join(texts), np.uint8)
