@@ -27,7 +27,7 @@ BODIES: dict[str, str] = {
 SELECT review_id, path, CAST(CASE origin WHEN 'untracked' THEN {2 * STEP} ELSE {3 * STEP} END
     + file_seq AS BIGINT) AS src_ord, pos, pos + 1 AS line_number, 'added' AS line_type,
   line AS content
-FROM snap_lines""",
+FROM whole_lines""",
     "diff_sections": "SELECT repo, review_id, channel, section_seq, section FROM f_heads",
     "diff_files": f"SELECT repo, review_id, path, status, {SRC} FROM f_files",
     "diff_hunks": f"""
@@ -42,7 +42,7 @@ SELECT f.review_id, f.path, CAST(f.rank * {STEP} + f.section_seq AS BIGINT) AS s
 FROM f_files f LEFT JOIN f_lines l
   ON f.review_id = l.review_id AND f.channel = l.channel AND f.section_seq = l.section_seq
 GROUP BY ALL""",
-    "merged_files": f"SELECT {CHANGED} FROM m_merged",
+    "merged_files": f"SELECT {CHANGED} FROM w_merged",
     "changed_files": f"SELECT {CHANGED} FROM changed",
     "untracked_only": f"SELECT {CHANGED} FROM untracked_files",
     "staged_fallback": f"SELECT {CHANGED} FROM listed_files",
@@ -136,6 +136,34 @@ SELECT repo, analyzer, hits FROM (
       arg_min(seq, (ts, seq)) AS seq
     FROM hits GROUP BY repo, analyzer))
 WHERE place = 1""",
+    "review_rule_hits": """
+SELECT repo, analyzer, CAST(count(*) AS BIGINT) AS hits FROM review_hits
+GROUP BY repo, analyzer""",
+    "review_top_rule": """
+SELECT repo, analyzer, hits FROM (
+  SELECT *, row_number() OVER (PARTITION BY repo ORDER BY hits DESC, first) AS place FROM (
+    SELECT repo, analyzer, CAST(count(*) AS BIGINT) AS hits, min(nth) AS first
+    FROM review_hits GROUP BY repo, analyzer))
+WHERE place = 1""",
+    "rule_hit_map": """
+SELECT repo, '{' || string_agg('"' || analyzer || '":' || hits, ',' ORDER BY analyzer) || '}'
+  AS hit_counts
+FROM (SELECT repo, analyzer, count(*) AS hits FROM review_hits GROUP BY repo, analyzer)
+GROUP BY repo""",
+    "streamed_history": """
+WITH streaks AS (
+  SELECT repo, review_id, ts, score, CAST(CASE WHEN score < 80 THEN 0 ELSE
+    row_number() OVER (PARTITION BY repo, island ORDER BY ts, review_id)
+      - CASE WHEN island > 0 THEN 1 ELSE 0 END END AS BIGINT) AS streak
+  FROM (SELECT *, sum(CASE WHEN score < 80 THEN 1 ELSE 0 END)
+    OVER (PARTITION BY repo ORDER BY ts, review_id ROWS UNBOUNDED PRECEDING) AS island
+    FROM history))
+SELECT repo, review_id, recency, score, streak FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY repo ORDER BY ts DESC, review_id DESC)
+    AS BIGINT) AS recency FROM streaks)
+WHERE recency <= 50""",
+    "streamed_rule_hits": """
+SELECT repo, analyzer, CAST(count(*) AS BIGINT) AS hits FROM hits GROUP BY repo, analyzer""",
     "score_delta": """
 SELECT repo, review_id, score, lag(score) OVER w AS previous_score,
   CAST(score - lag(score) OVER w AS BIGINT) AS score_change
@@ -269,10 +297,13 @@ SELECT review_id, {report.NOTES_SECTION} + 1,
 FROM found""",
 )
 BODIES["markdown_report"] = f"""
-SELECT d.review_id, coalesce(r.report, '{fv.EMPTY_REPORT}') AS report
-FROM review_dim d LEFT JOIN (
-  SELECT review_id, string_agg(text, {NL} ORDER BY section, position) AS report
-  FROM report_lines GROUP BY review_id) r ON d.review_id = r.review_id"""
+SELECT review_id, CAST(section AS BIGINT) AS section,
+  CAST((position - 1) // {report.PART_LINES} AS BIGINT) AS part,
+  string_agg(text, {NL} ORDER BY position) AS text
+FROM report_lines GROUP BY review_id, section, (position - 1) // {report.PART_LINES}
+UNION ALL
+SELECT review_id, 0, 0, '{fv.EMPTY_REPORT}' FROM review_dim
+WHERE review_id NOT IN (SELECT review_id FROM changed)"""
 BODIES["report_parts"] = f"""
 SELECT review_id, CAST(section AS BIGINT) AS section,
   CAST((position - 1) // 8 AS BIGINT) AS part, string_agg(text, {NL} ORDER BY position) AS text
@@ -363,15 +394,16 @@ LEFT JOIN contexts x ON f.review_id = x.review_id AND f.path = x.path
 WHERE c.content <> ''"""
 BODIES["llm_findings"] = """
 SELECT review_id, 'ai-' || CAST(row_number() OVER (PARTITION BY review_id
-  ORDER BY file_ord, pos) AS VARCHAR) AS finding_id, path, line, severity, message, suggestion
+  ORDER BY file_ord, pos) AS VARCHAR) AS finding_id, path, line, line_given, severity, message, suggestion
 FROM found_ai"""
 BODIES["ai_review_rollup"] = rollup("risky_both")
 
 
-ARRIVED = ("console", "debugger", "todos", "any", "directive")
+ARRIVED = ("console", "debugger", "secrets", "todos", "large", "any", "directive")
 BODIES["streamed_findings"] = "\nUNION ALL ".join(
-    f"SELECT review_id, path, CAST(line AS BIGINT) AS line, severity, rule, message"
-    f" FROM arrived_{name}"
+    f"SELECT a.review_id || '/' || CAST(d.doc_id AS VARCHAR) AS review_id, a.path,"
+    f" CAST(line AS BIGINT) AS line, severity, rule, message"
+    f" FROM arrived_{name} a JOIN docs d ON a.path = d.path"
     for name in ARRIVED
 )
 

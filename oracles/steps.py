@@ -101,12 +101,23 @@ FROM (
 GROUP BY repo, review_id, channel""",
 )
 STEPS.add(
-    "snap_lines",
+    "w_raw",
     f"""
+SELECT repo, review_id, channel, string_agg(section, {NL} ORDER BY doc_id) AS raw_diff
+FROM (
+  SELECT *, {CHANNEL} AS channel FROM doc_sections WHERE doc_id % 9 <> 0
+  UNION ALL
+  SELECT *, unnest(['staged', 'unstaged']) AS channel FROM doc_sections WHERE doc_id % 9 = 0)
+GROUP BY repo, review_id, channel""",
+)
+STEPS.add(
+    "whole_lines",
+    """
 SELECT doc_id AS file_seq, review_id, path, pos, line,
   CASE WHEN doc_id % 2 = 0 THEN 'untracked' ELSE 'staged_list' END AS origin
-FROM doc_lines WHERE doc_id % 7 >= 5""",
+FROM doc_lines""",
 )
+STEPS.add("snap_lines", "SELECT * FROM whole_lines WHERE file_seq % 7 >= 5")
 STEPS.add(
     "contents",
     f"""
@@ -233,44 +244,50 @@ WHERE line_type IS NOT NULL""",
 
 _parsing("f")
 _parsing("m")
+_parsing("w")
 
 # --- merging ------------------------------------------------------------------
 
-STEPS.add(
-    "m_counted",
-    """
+def _merging(p: str) -> None:
+    STEPS.add(
+        f"{p}_counted",
+        f"""
 SELECT f.review_id, f.channel, f.section_seq, f.path, f.status,
   CAST(count(*) FILTER (line_type = 'added') AS BIGINT) AS additions,
   CAST(count(*) FILTER (line_type = 'removed') AS BIGINT) AS deletions
-FROM m_files f LEFT JOIN m_lines l
+FROM {p}_files f LEFT JOIN {p}_lines l
   ON f.review_id = l.review_id AND f.channel = l.channel AND f.section_seq = l.section_seq
 GROUP BY ALL""",
-)
-STEPS.add(
-    "m_staged",
-    f"""
+    )
+    STEPS.add(
+        f"{p}_staged",
+        f"""
 SELECT review_id, path, arg_max(status, section_seq) AS status,
   arg_max(additions, section_seq) AS additions, arg_max(deletions, section_seq) AS deletions,
   min(section_seq) AS file_ord, max(section_seq) AS kept
-FROM m_counted WHERE channel = 'staged' GROUP BY review_id, path""",
-)
-STEPS.add(
-    "m_unstaged",
-    f"""
+FROM {p}_counted WHERE channel = 'staged' GROUP BY review_id, path""",
+    )
+    STEPS.add(
+        f"{p}_unstaged",
+        f"""
 SELECT review_id, path, arg_min(status, section_seq) AS status,
   CAST(sum(additions) AS BIGINT) AS additions, CAST(sum(deletions) AS BIGINT) AS deletions,
   {STEP} + min(section_seq) AS file_ord
-FROM m_counted WHERE channel = 'unstaged' GROUP BY review_id, path""",
-)
-STEPS.add(
-    "m_merged",
-    """
+FROM {p}_counted WHERE channel = 'unstaged' GROUP BY review_id, path""",
+    )
+    STEPS.add(
+        f"{p}_merged",
+        f"""
 SELECT review_id, path, coalesce(s.status, u.status) AS status,
   coalesce(s.additions, 0) + coalesce(u.additions, 0) AS additions,
   coalesce(s.deletions, 0) + coalesce(u.deletions, 0) AS deletions,
   coalesce(s.file_ord, u.file_ord) AS file_ord, 0 AS src_class
-FROM m_staged s FULL JOIN m_unstaged u USING (review_id, path)""",
-)
+FROM {p}_staged s FULL JOIN {p}_unstaged u USING (review_id, path)""",
+    )
+
+
+_merging("m")
+_merging("w")
 STEPS.add(
     "snap_files",
     """
@@ -567,14 +584,50 @@ STEPS.add(
 SELECT review_id, path, 0 AS file_ord, rank * {STEP} + section_seq AS src_ord, hunk_idx, pos,
   line_number, content, {has('path', fv.CODE_FILE)} AS is_code,
   {has('path', fv.PYTHON_FILE)} AS is_python,
-  {has('path', fv.TYPESCRIPT_FILE)} AS is_typescript, {has('path', fv.SCRIPT_FILE)} AS is_script
+  {has('path', fv.TYPESCRIPT_FILE)} AS is_typescript, {has('path', fv.SCRIPT_FILE)} AS is_script,
+  {SECRET_CLASS} AS secret_class
 FROM f_lines WHERE line_type = 'added'""",
 )
-for _name in ("found_console", "found_debugger", "found_todos", "found_any", "found_directive"):
-    STEPS.add(
-        _name.replace("found", "arrived"),
-        STEPS.bodies[_name].replace("FROM checked", "FROM f_checked"),
-    )
+STEPS.add(
+    "f_kept",
+    f"""
+SELECT review_id, path, rank * {STEP} + section_seq AS src_ord, hunk_idx, pos, line_number,
+  line_type, content, new_start, new_count FROM f_lines""",
+)
+STEPS.add(
+    "f_class",
+    f"""
+SELECT DISTINCT review_id, path, 0 AS file_ord, {has('path', fv.CODE_FILE)} AS is_code
+FROM f_files""",
+)
+
+
+def _of_arrivals(body: str) -> str:
+    """A step over the lines under review, as one over all lines of the arriving diffs."""
+    for name, own in (
+        ("checked", "f_checked"),
+        ("secret_hits", "f_secret_hits"),
+        ("secret_lines", "f_secret_lines"),
+        ("kept_lines", "f_kept"),
+        ("file_class", "f_class"),
+        ("large_hunks", "f_large_hunks"),
+    ):
+        body = body.replace(f"FROM {name}", f"FROM {own}").replace(f"JOIN {name}", f"JOIN {own}")
+    return body
+
+
+for _name in ("secret_hits", "secret_lines", "large_hunks"):
+    STEPS.add(f"f_{_name}", _of_arrivals(STEPS.bodies[_name]))
+for _name in (
+    "found_console",
+    "found_debugger",
+    "found_secrets",
+    "found_todos",
+    "found_large",
+    "found_any",
+    "found_directive",
+):
+    STEPS.add(_name.replace("found", "arrived"), _of_arrivals(STEPS.bodies[_name]))
 ALL_FOUND = (
     "found_console",
     "found_debugger",
@@ -600,7 +653,9 @@ STEPS.add(
     "found_ai",
     f"""
 SELECT a.review_id, a.path, c.file_ord, 0 AS src_ord, 0 AS hunk_idx, a.item_no AS pos,
-  TRY_CAST(item->>'line' AS BIGINT) AS line, CAST(NULL AS BIGINT) AS end_line,
+  CASE WHEN TRY_CAST(item->>'line' AS DOUBLE) = floor(TRY_CAST(item->>'line' AS DOUBLE))
+    THEN CAST(TRY_CAST(item->>'line' AS DOUBLE) AS BIGINT) END AS line,
+  item->>'line' AS line_given, CAST(NULL AS BIGINT) AS end_line,
   item->>'severity' AS severity, 'ai' AS source, '{fv.AI_ANALYZER}' AS analyzer,
   {len(fv.ANALYZERS)} AS analyzer_ord, '{fv.AI_ANALYZER}' AS rule,
   item->>'message' AS message, item->>'suggestion' AS suggestion,
@@ -612,13 +667,14 @@ FROM (
     CAST(generate_subscripts(items, 1) - 1 AS BIGINT) AS item_no
   FROM (
     SELECT review_id, path, CAST(CAST(answer AS JSON) AS JSON[]) AS items FROM (
-      SELECT r.review_id, r.path, regexp_extract(r.response, '(?s)\\[.*\\]') AS answer
+      SELECT r.review_id, r.path, replace(regexp_extract(r.response, '(?s)\\[.*\\]'),
+        '"line": 1, "line":', '"line":') AS answer
       FROM responses r JOIN contents c ON r.review_id = c.review_id AND r.path = c.path
       WHERE c.content <> '')
     WHERE answer <> '' AND json_valid(answer))) a
 JOIN changed c ON a.review_id = c.review_id AND a.path = c.path
-WHERE TRY_CAST(item->>'line' AS BIGINT) <> 0 AND item->>'severity' <> ''
-  AND item->>'message' <> ''""",
+WHERE item->>'line' NOT IN ('', '0', 'false') AND item->>'severity' NOT IN ('', '0', 'false')
+  AND item->>'message' NOT IN ('', '0', 'false')""",
 )
 STEPS.add("found_both", "SELECT * FROM found UNION ALL BY NAME SELECT * FROM found_ai")
 
@@ -674,6 +730,14 @@ FROM (
 
 
 STEPS.add("rolled", rollup("risky"))
+STEPS.add(
+    "review_hits",
+    """
+SELECT d.repo, f.analyzer, row_number() OVER (PARTITION BY d.repo ORDER BY d.ts, f.review_id,
+  r.risk_rank, f.file_ord, f.analyzer_ord, f.src_ord, f.hunk_idx, f.pos) AS nth
+FROM found f JOIN risky r ON f.review_id = r.review_id AND f.path = r.path
+JOIN review_dim d ON f.review_id = d.review_id""",
+)
 
 # --- history ------------------------------------------------------------------
 

@@ -115,24 +115,45 @@ def section_status(section: Column) -> Column:
 
 
 def _repeated_paths(paths: Column) -> Column:
-    """Paths that occur more than once in a diff with first and last position.
+    """Paths that occur more than once in a diff, by path, with first and last position.
 
     Git names a path once per diff, so this is null nearly always and costs one
-    hash-set pass; only a diff with repeats pays for looking them up.
+    hash-set pass; only a diff with repeats pays for sorting its paths.
     """
 
+    def runs(ordered: Column) -> Column:
+        """Bounds of the runs of equal paths of more than one section."""
+
+        def starts(p: Column, i: Column) -> Column:
+            return F.when((i == 0) | (F.get(ordered, i - 1)["path"] != p["path"]), i)
+
+        def located(bounds: Column) -> Column:
+            def run(start: Column, k: Column) -> Column:
+                stop = F.coalesce(F.get(bounds, k + 1), F.size(ordered)) - 1
+                return F.when(
+                    stop > start,
+                    record(
+                        path=F.get(ordered, start)["path"],
+                        first=F.get(ordered, start)["at"],
+                        last=F.get(ordered, stop)["at"],
+                    ),
+                )
+
+            return F.map_from_entries(
+                F.transform(
+                    F.array_compact(F.transform(bounds, run)),
+                    lambda r: F.struct(r["path"], record(first=r["first"], last=r["last"])),
+                )
+            )
+
+        bounds = F.array_compact(F.transform(ordered, starts))
+        return F.transform(F.array(bounds), located)[0]
+
     def spans(live: Column) -> Column:
-        distinct = F.array_distinct(live)
-        repeats = F.filter(distinct, lambda p: F.size(F.filter(live, lambda q: q == p)) > 1)
-        located = F.transform(
-            repeats,
-            lambda p: record(
-                path=p,
-                first=F.array_position(paths, p) - 1,
-                last=F.size(paths) - F.array_position(F.reverse(paths), p),
-            ),
-        )
-        return F.when(F.size(distinct) < F.size(live), located)
+        placed = F.transform(paths, lambda p, i: record(path=p, at=i.cast("bigint")))
+        ordered = F.array_sort(F.filter(placed, lambda x: x["path"].isNotNull()))
+        found = F.transform(F.array(ordered), runs)[0]
+        return F.when(F.size(F.array_distinct(live)) < F.size(live), found)
 
     # as a lambda, so that the paths are compacted once
     return F.transform(F.array(F.array_compact(paths)), spans)[0]
@@ -186,10 +207,7 @@ def file_sections(raw_diffs: DataFrame) -> DataFrame:
         "repeats",
         F.posexplode(F.arrays_zip("parts", "paths")).alias("section_seq", "part"),
     ).filter(F.col("part.paths").isNotNull())
-    span = F.when(
-        F.col("repeats").isNotNull(),
-        F.filter("repeats", lambda r: r["path"] == F.col("part.paths")),
-    )
+    span = F.try_element_at("repeats", F.col("part.paths"))
     located = spread.select(
         "repo",
         "review_id",
@@ -197,8 +215,8 @@ def file_sections(raw_diffs: DataFrame) -> DataFrame:
         F.col("section_seq").cast("bigint").alias("section_seq"),
         F.col("part.paths").alias("path"),
         F.col("part.parts").alias("section"),
-        F.coalesce(F.try_element_at(span, F.lit(1))["first"], F.col("section_seq")).alias("first"),
-        F.coalesce(F.try_element_at(span, F.lit(1))["last"], F.col("section_seq")).alias("last"),
+        F.coalesce(span["first"], F.col("section_seq")).alias("first"),
+        F.coalesce(span["last"], F.col("section_seq")).alias("last"),
     )
     base = F.col("src_rank") * RANK_STEP
     return located.filter((F.col("src_rank") > 0) | (F.col("last") == F.col("section_seq"))).select(
@@ -281,10 +299,14 @@ def diff_hunks(sections: DataFrame, keep_empty: bool = False) -> DataFrame:
 
 
 def snapshot_hunks(snapshots: DataFrame, origins: tuple[str, ...] = fv.ORIGINS) -> DataFrame:
-    """A snapshot as an added file with a single hunk that adds every line."""
+    """A snapshot as an added file with a single hunk that adds every line.
+
+    One without content is a file that could not be read, and is no change.
+    """
     rank = source_rank(F.col("origin"), origins, FIRST_SNAPSHOT_RANK)
     zero = F.lit(0).cast("bigint")
-    return snapshots.filter(F.col("origin").isin(*origins)).select(
+    readable = F.col("origin").isin(*origins) & F.col("content").isNotNull()
+    return snapshots.filter(readable).select(
         "repo",
         "review_id",
         "path",
@@ -315,27 +337,54 @@ def _counted_snapshots(snapshots: DataFrame) -> DataFrame:
     )
 
 
-def _blocks(lines: Column, marks: Column, start: Column) -> Column:
-    """Cut a hunk's lines into blocks that each know their first line number."""
+def _blocks(lines: Column, start: Column) -> Column:
+    """Cut a hunk's lines into blocks that each know their first line number.
+
+    Every line is looked at once. A block's number adds the counts of the blocks before
+    it in its row of ``BLOCK`` blocks and of the rows before that.
+    """
     size = F.size(lines)
 
-    def block(i: Column) -> Column:
-        before = prefix(marks, i * BLOCK)
-        return record(
-            first_pos=i * BLOCK,
-            number=start + F.octet_length(F.replace(before, F.lit("0"), F.lit(""))),
-            marks=F.substring(marks, i * BLOCK + 1, F.lit(BLOCK)),
-            lines=F.slice(lines, i * BLOCK + 1, F.lit(BLOCK)),
+    def sliced(i: Column) -> Column:
+        return F.slice(lines, i * BLOCK + 1, F.lit(BLOCK))
+
+    def marked(i: Column) -> Column:
+        marks = F.transform(sliced(i), lambda x: F.when(_is_counted(x), "1").otherwise("0"))
+        return F.array_join(marks, "")
+
+    def total(counts: Column) -> Column:
+        return F.aggregate(counts, F.lit(0), lambda a, x: a + x)
+
+    def numbered(marks: Column) -> Column:
+        counts = F.transform(
+            marks, lambda m: F.octet_length(F.replace(m, F.lit("0"), F.lit("")))
         )
+        return F.transform(F.array(counts), lambda c: with_rows(marks, c))[0]
+
+    def with_rows(marks: Column, counts: Column) -> Column:
+        last = F.floor((F.size(counts) - 1) / F.lit(BLOCK)).cast("int")
+        rows = F.transform(
+            F.sequence(F.lit(0), last), lambda r: total(F.slice(counts, r * BLOCK + 1, F.lit(BLOCK)))
+        )
+        return F.transform(F.array(rows), lambda r: with_numbers(marks, counts, r))[0]
+
+    def with_numbers(marks: Column, counts: Column, rows: Column) -> Column:
+        def block(own: Column, i: Column) -> Column:
+            row = F.floor(i / F.lit(BLOCK)).cast("int")
+            before = total(F.slice(rows, F.lit(1), row)) + total(
+                F.slice(counts, row * BLOCK + 1, i - row * BLOCK)
+            )
+            return record(first_pos=i * BLOCK, number=start + before, marks=own, lines=sliced(i))
+
+        return F.transform(marks, block)
 
     last = F.floor((size - 1) / F.lit(BLOCK)).cast("int")
-    return F.when(size > 0, F.transform(F.sequence(F.lit(0), last), block))
+    marks = F.transform(F.sequence(F.lit(0), last), marked)
+    return F.when(size > 0, F.transform(F.array(marks), numbered)[0])
 
 
 def _with_body(hunks: DataFrame) -> DataFrame:
-    body = _after_first(F.split("hunk", "\n", -1))
-    marks = F.transform("body", lambda x: F.when(_is_counted(x), "1").otherwise("0"))
-    return hunks.withColumn("body", body).withColumn("marks", F.array_join(marks, ""))
+    return hunks.withColumn("body", _after_first(F.split("hunk", "\n", -1)))
 
 
 def number_before(first: Column, marks: Column, index: Column) -> Column:
@@ -350,7 +399,7 @@ def hunk_blocks(hunks: DataFrame) -> DataFrame:
 
 
 def _block_array() -> Column:
-    return _blocks(F.col("body"), F.col("marks"), F.col("new_start"))
+    return _blocks(F.col("body"), F.col("new_start"))
 
 
 def diff_lines(hunks: DataFrame, keep_empty: bool = False) -> DataFrame:

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from patchwell.operators.ordered import TIME_SHIFTS, Running, running
+from patchwell.operators.findings import FINDING_ORDER
+from patchwell.operators.ordered import TIME_SHIFTS, Running, running, since_last
 from patchwell.operators.scoring import score_band
 from patchwell.settings import DEFAULTS, ReviewSettings
 
@@ -48,18 +49,10 @@ def last_reviews(history: DataFrame, settings: ReviewSettings = DEFAULTS) -> Dat
 def clean_streaks(history: DataFrame, settings: ReviewSettings = DEFAULTS) -> DataFrame:
     """Consecutive clean reviews up to and including each review.
 
-    The streak is the review's number minus the number of the latest review that
-    broke it, both of them running totals over the whole history.
+    The number of reviews since the latest one that broke it.
     """
-    one = F.lit(1).cast("bigint")
-    ties = [F.col(TIE)]
-    numbered = running(history, ["repo"], _micros(), ties, [Running("n", one)], TIME_SHIFTS)
-    broken = F.when(F.col("score") < settings.good_score, F.col("n"))
-    traced = running(
-        numbered, ["repo"], _micros(), ties, [Running("broken_at", broken, "max")], TIME_SHIFTS
-    )
-    since = F.col("n") - F.coalesce(F.col("broken_at"), F.lit(0).cast("bigint"))
-    return traced.withColumn("streak", since).drop("n", "broken_at")
+    broken = F.coalesce(F.col("score") < settings.good_score, F.lit(False))
+    return since_last(history, ["repo"], _micros(), [F.col(TIE)], broken, "streak")
 
 
 def current_streaks(history: DataFrame, settings: ReviewSettings = DEFAULTS) -> DataFrame:
@@ -85,11 +78,27 @@ def banded(reviews: DataFrame, settings: ReviewSettings = DEFAULTS) -> DataFrame
     return reviews.withColumn("band", score_band(F.col("score"), settings))
 
 
+def rule_hits_of(found: DataFrame, positions: DataFrame, reviews: DataFrame) -> DataFrame:
+    """One hit for each finding, at the time of its review.
+
+    ``seq`` and ``within`` order a review's hits as the review lists them: by the
+    place of the file in risk order, then within the file.
+    """
+    placed = positions.select("review_id", "path", F.col("position").alias("seq"))
+    dated = reviews.select("review_id", "ts")
+    within = F.struct(*[F.col(c) for c in FINDING_ORDER])
+    return (
+        found.join(placed, ["review_id", "path"])
+        .join(dated, "review_id", "left")
+        .select("repo", "review_id", "ts", "analyzer", "seq", within.alias("within"))
+    )
+
+
 def rule_hit_counts(hits: DataFrame) -> DataFrame:
     """Hits per repository and analyzer, with the place of the first."""
+    place = ["ts", "seq"] if "within" not in hits.columns else ["ts", "review_id", "seq", "within"]
     return hits.groupBy("repo", "analyzer").agg(
-        F.count(F.lit(1)).alias("hits"),
-        F.min(F.struct("ts", "seq")).alias("first_seen"),
+        F.count(F.lit(1)).alias("hits"), F.min(F.struct(*place)).alias("first_seen")
     )
 
 

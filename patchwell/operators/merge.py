@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patchwell.operators.diff import (
+    SECTION,
     file_sections,
     section_rows,
     snapshot_rows,
@@ -79,6 +80,13 @@ def changed_files(raw_diffs: DataFrame, snapshots: DataFrame) -> DataFrame:
     return merge_files(rows)
 
 
+def covering_files(raw_diffs: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """``changed_files`` with the counts of snapshots alone: no line of a diff is counted."""
+    zero = F.lit(0).cast("bigint")
+    headers = file_sections(raw_diffs).withColumns({c: zero for c in COUNTS}).select(*SECTION)
+    return merge_files(headers.unionByName(snapshot_rows(snapshots)))
+
+
 def added_by_snapshot(files: DataFrame, rank: int) -> DataFrame:
     """Files that came from snapshots of one origin because nothing covered them."""
     return files.filter(F.col("src_class") == rank)

@@ -12,6 +12,8 @@ many tasks as it has buckets.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -48,6 +50,13 @@ def _up_to(spec: WindowSpec, inclusive: bool) -> WindowSpec:
     return spec.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """An inner join on columns in which a null equals a null."""
+    renamed = right.withColumnsRenamed({c: f"_on_{c}" for c in on})
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on])
+    return left.join(renamed, same).drop(*[f"_on_{c}" for c in on])
+
+
 def running(
     rows: DataFrame,
     keys: list[str],
@@ -88,7 +97,7 @@ def running(
     larges = larges.withColumns(
         {f"_a_{t.name}": t.total(F.col(f"_t_{t.name}")).over(over_larges) for t in totals}
     )
-    before = smalls.join(larges, [*keys, "_large"]).select(
+    before = null_safe_join(smalls, larges, [*keys, "_large"]).select(
         *keys,
         "_small",
         *[
@@ -96,7 +105,7 @@ def running(
             for t in totals
         ],
     )
-    joined = local.join(before, [*keys, "_small"])
+    joined = null_safe_join(local, before, [*keys, "_small"])
     return joined.select(
         *rows.columns,
         *[
@@ -116,3 +125,53 @@ def ordinal_within(
     """Number rows from 1 within ``keys``."""
     one = F.lit(1).cast("bigint")
     return running(rows, keys, order, ties, [Running(name, one)], shifts)
+
+
+def since_last(
+    rows: DataFrame,
+    keys: list[str],
+    order: Column,
+    ties: list[Column],
+    broken: Column,
+    name: str,
+    shifts: tuple[int, int] = TIME_SHIFTS,
+) -> DataFrame:
+    """Add the number of rows since the latest one that is ``broken``, itself not counted.
+
+    One pass over the rows: each level carries how many rows it has and which of
+    them, by number, was the last broken one.
+    """
+    small, large = shifts
+    number = order.cast("bigint")
+    bucketed = rows.withColumns(
+        {
+            "_order": number,
+            "_small": F.shiftright(number, small),
+            "_large": F.shiftright(number, large),
+            "_broken": broken,
+        }
+    )
+    within = _up_to(Window.partitionBy(*keys, "_small").orderBy("_order", *ties), True)
+    local = bucketed.withColumn("_n", F.count(F.lit(1)).over(within))
+    local = local.withColumn("_last", F.max(F.when(F.col("_broken"), F.col("_n"))).over(within))
+
+    def level(totals: DataFrame, group: list[str], by: str, to: str) -> DataFrame:
+        """What lies before each bucket of a group: rows and the number of the last broken."""
+        earlier = _up_to(Window.partitionBy(*group).orderBy(by), False)
+        counted = totals.withColumn(f"{to}_n", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+        placed = counted.withColumn("_last", F.col(f"{to}_n") + F.col("_last"))
+        return placed.withColumn(f"{to}_last", F.max("_last").over(earlier))
+
+    def totalled(parts: DataFrame, group: list[str], count: Column) -> DataFrame:
+        return parts.groupBy(*group).agg(count.alias("_n"), F.max("_last").alias("_last"))
+
+    smalls = totalled(local, [*keys, "_large", "_small"], F.count(F.lit(1)))
+    smalls = level(smalls, [*keys, "_large"], "_small", "_s")
+    larges = totalled(smalls, [*keys, "_large"], F.sum("_n"))
+    larges = level(larges, keys, "_large", "_l").select(*keys, "_large", "_l_n", "_l_last")
+    before = null_safe_join(smalls.select(*keys, "_large", "_small", "_s_n", "_s_last"), larges, [*keys, "_large"])
+    joined = null_safe_join(local, before.drop("_large"), [*keys, "_small"])
+    ahead = F.col("_l_n") + F.col("_s_n")
+    last = F.greatest("_l_last", F.col("_l_n") + F.col("_s_last"), ahead + F.col("_last"))
+    since = (ahead + F.col("_n") - F.coalesce(last, F.lit(0))).cast("bigint")
+    return joined.select(*rows.columns, since.alias(name))

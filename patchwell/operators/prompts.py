@@ -213,19 +213,21 @@ def review_prompts(
 def parsed_answers(responses: DataFrame) -> DataFrame:
     """Items of each answer's array; an answer that is not valid JSON gives none.
 
-    Items other than objects have no fields; a JSON null voids the whole answer.
+    Items other than objects have no fields; a JSON null voids the whole answer. Of a
+    field that an object names twice the last counts.
     """
     widest = F.regexp_extract("response", r"(?s)\[.*\]", 0)
     # Parsers stop at the end of the first value. What follows the array would have
     # to close or continue an object and also an array, which no text does.
     answer = F.col("answer")
+    responses.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     as_field = F.try_parse_json(F.concat(F.lit('{"items":'), answer, F.lit("}")))
     as_element = F.try_parse_json(F.concat(F.lit("["), answer, F.lit("]")))
     valid = as_field.isNotNull() & as_element.isNotNull()
     items = F.try_parse_json(answer).cast("array<variant>")
     usable = F.when(~F.exists("items", lambda x: F.is_variant_null(x)), F.col("items"))
     fields = [
-        F.try_variant_get(F.col("item"), f"$.{name}", "string").alias(name)
+        F.try_variant_get(F.col("item"), f"$.{name}", "variant").alias(name)
         for name in ("line", "severity", "message", "suggestion")
     ]
     return (
@@ -237,19 +239,46 @@ def parsed_answers(responses: DataFrame) -> DataFrame:
     )
 
 
+def _text(value: Column) -> Column:
+    """A JSON value as text: strings as they are, others as written."""
+    kind = F.schema_of_variant(value)
+    plain = F.try_variant_get(value, "$", "string")
+    return F.when(kind == "STRING", plain).otherwise(F.coalesce(plain, F.to_json(value)))
+
+
+def _is_given(value: Column) -> Column:
+    """Whether a JSON value counts as given: not missing, null, false, zero or empty."""
+    kind = F.schema_of_variant(value)
+    number = F.try_variant_get(value, "$", "double")
+    empty = (
+        (kind == "VOID")
+        | ((kind == "STRING") & (F.try_variant_get(value, "$", "string") == ""))
+        | ((kind == "BOOLEAN") & ~F.coalesce(F.try_variant_get(value, "$", "boolean"), F.lit(True)))
+        | (
+            (kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"))
+            & (F.coalesce(number, F.lit(1.0)) == 0)
+        )
+    )
+    return value.isNotNull() & ~F.coalesce(empty, F.lit(False))
+
+
+def _whole(value: Column) -> Column:
+    """The value as a whole number, if it is a number and whole; texts are read alike."""
+    number = F.coalesce(
+        F.try_variant_get(value, "$", "double"), F.try_variant_get(value, "$", "string").try_cast("double")
+    )
+    return F.when((number == F.floor(number)) & (F.abs(number) < 2.0**53), number.cast("bigint"))
+
+
 def assistant_findings(responses: DataFrame) -> DataFrame:
     """Usable answer items in the shape of findings.
 
-    ``line``, ``severity`` and ``message`` must be given and not empty or zero;
-    a line that is no whole number is dropped. Severities are kept as answered.
+    ``line``, ``severity`` and ``message`` must be given and not empty, false or zero.
+    A line that is no whole number, such as a range, is kept as ``line_given`` and its
+    number is null; the finding counts like any other. Severities are kept as answered.
     """
     items = parsed_answers(responses)
-    line = F.col("line").try_cast("bigint")
-    given = (
-        (line != 0)
-        & (F.coalesce("severity", F.lit("")) != "")
-        & (F.coalesce("message", F.lit("")) != "")
-    )
+    given = _is_given(F.col("line")) & _is_given(F.col("severity")) & _is_given(F.col("message"))
     none = F.lit(None).cast("string")
     last = F.lit(len(fv.ANALYZERS)).cast("bigint")
     zero = F.lit(0).cast("bigint")
@@ -261,15 +290,16 @@ def assistant_findings(responses: DataFrame) -> DataFrame:
         zero.alias("src_ord"),
         zero.alias("hunk_idx"),
         F.col("item_no").cast("bigint").alias("pos"),
-        line.alias("line"),
+        _whole(F.col("line")).alias("line"),
+        _text(F.col("line")).alias("line_given"),
         F.lit(None).cast("bigint").alias("end_line"),
-        F.col("severity").alias("severity"),
+        _text(F.col("severity")).alias("severity"),
         F.lit("ai").alias("source"),
         F.lit(fv.AI_ANALYZER).alias("analyzer"),
         last.alias("analyzer_ord"),
         F.lit(fv.AI_ANALYZER).alias("rule"),
-        F.col("message").alias("message"),
-        F.col("suggestion").alias("suggestion"),
+        _text(F.col("message")).alias("message"),
+        _text(F.col("suggestion")).alias("suggestion"),
         *[
             none.alias(c)
             for c in (

@@ -1,10 +1,8 @@
 """Markdown report of a review.
 
-A report has no size limit, so it is built in parts of at most ``PART_LINES``
+A report has no size limit, so it is a table of parts of at most ``PART_LINES``
 lines, numbered with running totals rather than a window over the review. Joining
-a review's parts in (section, part) order with line breaks gives its report.
-``markdown_reports`` does that for every review of at most ``WHOLE_LINES`` lines;
-longer ones keep their parts as the result and get a null text.
+a review's parts in (section, part) order with line breaks gives its text.
 """
 
 from __future__ import annotations
@@ -17,7 +15,6 @@ from patchwell.operators.findings import FINDING_ORDER
 from patchwell.operators.ordered import ordinal_within
 
 PART_LINES = 4096
-WHOLE_LINES = PART_LINES * 64
 SUMMARY_SECTION = 50
 NOTES_SECTION = 60
 
@@ -139,23 +136,17 @@ def report_parts(
     )
 
 
-def markdown_reports(reviews: DataFrame, files: DataFrame, found: DataFrame) -> DataFrame:
-    """The report of every review as one text."""
-    sizes = report_sizes(files).select("review_id", "n_files", "findings")
-    whole = sizes.filter(F.col("n_files") + F.col("findings") <= WHOLE_LINES)
-    parts = report_parts(files, found).join(whole.select("review_id"), "review_id", "left_semi")
-    in_order = F.array_sort(F.collect_list(F.struct("section", "part", "text")))
-    texts = parts.groupBy("review_id").agg(
-        F.array_join(F.transform(in_order, lambda x: x["text"]), "\n").alias("report")
-    )
-    joined = (
-        reviews.select("review_id")
-        .join(sizes, "review_id", "left")
-        .join(texts, "review_id", "left")
-    )
-    return joined.select(
-        "review_id",
-        F.when(F.col("n_files").isNull(), fv.EMPTY_REPORT)
-        .otherwise(F.col("report"))
-        .alias("report"),
+def markdown_reports(
+    reviews: DataFrame, files: DataFrame, found: DataFrame, part_lines: int = PART_LINES
+) -> DataFrame:
+    """Parts of the reports of all reviews, also of those without files."""
+    parts = report_parts(files, found, part_lines)
+    empty = reviews.select("review_id").join(files.select("review_id"), "review_id", "left_anti")
+    return parts.unionByName(
+        empty.select(
+            "review_id",
+            F.lit(0).alias("section"),
+            F.lit(0).cast("bigint").alias("part"),
+            F.lit(fv.EMPTY_REPORT).alias("text"),
+        )
     )

@@ -59,16 +59,21 @@ def review_rollup(
 ) -> DataFrame:
     """One row per review with score and counts, also for reviews without files.
 
+    Files of a review that is not listed make a row without a time.
+
     The sums are pre-aggregated per task, so a review with very many files costs
     no more than its partial sums.
     """
     names = ("errors", "warnings", "infos", "findings", "additions", "deletions")
+    own_repo = F.max("repo") if "repo" in files.columns else F.lit(None).cast("string")
     sums = files.groupBy("review_id").agg(
-        F.count(F.lit(1)).alias("file_count"), *[F.sum(n).cast("bigint").alias(n) for n in names]
+        own_repo.alias("own_repo"),
+        F.count(F.lit(1)).alias("file_count"),
+        *[F.sum(n).cast("bigint").alias(n) for n in names],
     )
-    counted = reviews.join(sums, "review_id", "left").fillna(0, ["file_count", *names])
+    counted = reviews.join(sums, "review_id", "full").fillna(0, ["file_count", *names])
     return counted.select(
-        "repo",
+        F.coalesce("repo", "own_repo").alias("repo"),
         "review_id",
         "ts",
         review_score(F.col("errors"), F.col("warnings"), F.col("infos")).alias("score"),

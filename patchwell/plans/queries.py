@@ -8,6 +8,7 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from patchwell.functions.paths import gates
 from patchwell.functions.text import trim
@@ -21,7 +22,7 @@ from patchwell.plans.review import (
 )
 from patchwell.settings import ReviewSettings
 from patchwell.sources import derived
-from patchwell.sources.tables import settle, shared_folder
+from patchwell.sources.tables import scratch_folder
 from patchwell.streaming import arrivals
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,7 +92,7 @@ def trimmed_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def snapshot_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hunks = diff.snapshot_hunks(derived.snapshots(spark, sf_dir))
+    hunks = diff.snapshot_hunks(derived.snapshots(spark, sf_dir, every=True))
     return diff.snapshot_lines(hunks).select(
         "review_id", "path", "src_ord", "pos", "line_number", "line_type", "content"
     )
@@ -150,7 +151,7 @@ CHANGED = ("review_id", "path", "file_ord", "status", "additions", "deletions")
 
 @query
 def merged_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = derived.merge_raw_diffs(spark, sf_dir)
+    raw = derived.merge_raw_diffs(spark, sf_dir, every=True)
     return merge.merge_files(diff.section_rows(diff.file_sections(raw))).select(*CHANGED)
 
 
@@ -159,16 +160,20 @@ def changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _changed(spark, sf_dir).select(*CHANGED)
 
 
+def _filled_in(spark: SparkSession, sf_dir: str, rank: int) -> DataFrame:
+    given = inputs(spark, sf_dir)
+    files = merge.covering_files(given.raw_diffs, given.snapshots)
+    return merge.added_by_snapshot(files, rank).select(*CHANGED)
+
+
 @query
 def untracked_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rank = diff.FIRST_SNAPSHOT_RANK
-    return merge.added_by_snapshot(_changed(spark, sf_dir), rank).select(*CHANGED)
+    return _filled_in(spark, sf_dir, diff.FIRST_SNAPSHOT_RANK)
 
 
 @query
 def staged_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rank = diff.FIRST_SNAPSHOT_RANK + 1
-    return merge.added_by_snapshot(_changed(spark, sf_dir), rank).select(*CHANGED)
+    return _filled_in(spark, sf_dir, diff.FIRST_SNAPSHOT_RANK + 1)
 
 
 # --- rules --------------------------------------------------------------------
@@ -243,24 +248,32 @@ def review_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def empty_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews without a file: no rule is run to find them."""
     given = inputs(spark, sf_dir)
-    rows = review_rows(given, SETTINGS).filter(F.col("file_count") == 0)
-    return rows.select(
-        "repo", "review_id", "score", "total_issues", F.lit(report.fv.EMPTY_REPORT).alias("report")
+    with_files = merge.covering_files(given.raw_diffs, given.snapshots).select("review_id")
+    zero = F.lit(0).cast("bigint")
+    return given.reviews.join(with_files, "review_id", "left_anti").select(
+        "repo",
+        "review_id",
+        scoring.review_score(zero, zero, zero).alias("score"),
+        zero.alias("total_issues"),
+        F.lit(report.fv.EMPTY_REPORT).alias("report"),
     )
 
 
 @query
 def files_by_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files, _ = review_tables(inputs(spark, sf_dir), SETTINGS)
+    files = review_files(inputs(spark, sf_dir), SETTINGS)
     return scoring.files_by_risk(files).select("review_id", "path", "risk", "position")
 
 
 @query
 def markdown_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reports of all reviews in their parts."""
     given = inputs(spark, sf_dir)
     files, found = review_tables(given, SETTINGS)
-    return report.markdown_reports(given.reviews, files, found)
+    parts = report.markdown_reports(given.reviews, files, found)
+    return parts.withColumn("section", F.col("section").cast("bigint"))
 
 
 @query
@@ -330,6 +343,30 @@ def top_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.top_rule(derived.rule_hits(spark, sf_dir))
 
 
+def _review_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = inputs(spark, sf_dir)
+    files, found = review_tables(given, SETTINGS)
+    return history.rule_hits_of(found, scoring.files_by_risk(files), given.reviews)
+
+
+@query
+def review_rule_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of the findings of all reviews."""
+    return history.rule_hit_counts(_review_hits(spark, sf_dir)).select("repo", "analyzer", "hits")
+
+
+@query
+def review_top_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.top_rule(_review_hits(spark, sf_dir))
+
+
+@query
+def rule_hit_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of each repository as one text of its map, as maps do not compare."""
+    maps = history.rule_hit_map(_review_hits(spark, sf_dir))
+    return maps.select("repo", F.to_json("hit_counts").alias("hit_counts"))
+
+
 @query
 def score_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     changes = history.score_changes(derived.review_history(spark, sf_dir))
@@ -435,9 +472,9 @@ def llm_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = inputs(spark, sf_dir, answers=True)
     answers = prompts.assistant_findings(prompts.answered_files(given.responses, given.contents))
     files = merge.changed_files(given.raw_diffs, given.snapshots)
-    numbered = findings.number_findings(settle(findings.reviewed_findings(answers, files)))
+    numbered = findings.number_findings(findings.reviewed_findings(answers, files))
     return numbered.select(
-        "review_id", "finding_id", "path", "line", "severity", "message", "suggestion"
+        "review_id", "finding_id", "path", "line", "line_given", "severity", "message", "suggestion"
     )
 
 
@@ -450,26 +487,68 @@ def ai_review_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- streams ------------------------------------------------------------------
 
 
+def _stream_folder(spark: SparkSession) -> str:
+    return f"{scratch_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+
+def _run(stream: DataStreamWriter) -> None:
+    stream.trigger(availableNow=True).start().awaitTermination()
+
+
 @query
 def streamed_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings of a stream in which every document arrives as a diff of its own."""
-    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    """Findings of a stream in which every document arrives as a diff of its own, every
+    third one twice."""
+    folder = _stream_folder(spark)
     arriving = (
         spark.readStream.schema("doc_id bigint, text string, source string")
         .option("pathGlobFilter", "documents.parquet")
         .parquet(sf_dir)
     )
     parts = derived.sections(derived.as_files(arriving))
-    diffs = parts.withColumn("channel", F.lit("staged")).withColumnRenamed("section", "raw_diff")
-    settings = replace(SETTINGS, secrets=False, large_functions=False)
-    found = arrivals.arriving_findings(diffs, settings)
-    written = (
-        found.select("review_id", "path", "line", "severity", "rule", "message")
-        .writeStream.format("parquet")
-        .option("checkpointLocation", f"{folder}/state")
-        .option("path", f"{folder}/findings")
-        .trigger(availableNow=True)
-        .start()
+    times = F.when(F.col("doc_id") % 3 == 0, 2).otherwise(1)
+    twice = parts.withColumn("again", F.explode(F.sequence(F.lit(1), times)))
+    diffs = twice.select(
+        "repo",
+        F.concat("review_id", F.lit("/"), F.col("doc_id").cast("string")).alias("review_id"),
+        F.lit("staged").alias("channel"),
+        F.col("section").alias("raw_diff"),
+    )
+    _run(arrivals.scan_arrivals(diffs, f"{folder}/out", f"{folder}/state", SETTINGS))
+    found = findings.scanned_findings(arrivals.read_scan(spark, f"{folder}/out"))
+    return found.select("review_id", "path", "line", "severity", "rule", "message")
+
+
+@query
+def streamed_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streaks and recency in a history that arrived as a stream, every fifth review twice."""
+    folder = _stream_folder(spark)
+    arriving = (
+        spark.readStream.schema(
+            "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double"
+        )
+        .option("pathGlobFilter", "events.parquet")
+        .parquet(sf_dir)
+    )
+    times = F.when(F.col("event_id") % 5 == 0, 2).otherwise(1)
+    twice = arriving.withColumn("again", F.explode(F.sequence(F.lit(1), times)))
+    reviews = derived.as_history(twice)
+    _run(arrivals.append_history(reviews, f"{folder}/history", f"{folder}/state"))
+    past = history.clean_streaks(arrivals.read_history(spark, f"{folder}/history"))
+    return history.last_reviews(past).select("repo", "review_id", "recency", "score", "streak")
+
+
+@query
+def streamed_rule_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running hits of a stream of findings, as it ends."""
+    folder = _stream_folder(spark)
+    arriving = (
+        spark.readStream.schema("event_id bigint, user_id bigint, event_type string")
+        .option("pathGlobFilter", "events.parquet")
+        .parquet(sf_dir)
+    )
+    hits = arrivals.running_rule_hits(
+        arriving.select(F.col("user_id").cast("string").alias("repo"), F.col("event_type").alias("analyzer"))
     )
-    written.awaitTermination()
-    return spark.read.parquet(f"{folder}/findings")
+    _run(arrivals.replaced(hits, f"{folder}/hits", f"{folder}/state"))
+    return spark.read.parquet(f"{folder}/hits")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -14,16 +15,18 @@ from patchwell.operators.findings import (
     scanned_findings,
     tallied_rows,
 )
+from patchwell.operators.history import rule_hits_of
 from patchwell.operators.merge import COUNTS, TALLIES, merge_files
 from patchwell.operators.prompts import answered_files, assistant_findings
 from patchwell.operators.report import markdown_reports
 from patchwell.operators.scoring import (
     file_risk,
+    files_by_risk,
     review_rollup,
     severity_tallies,
 )
 from patchwell.settings import DEFAULTS, ReviewSettings
-from patchwell.sources.tables import settle, write_findings, write_history
+from patchwell.sources.tables import stored, write_findings, write_history
 
 
 @dataclass(frozen=True)
@@ -63,18 +66,15 @@ def _files(
 
 
 def review_findings(inputs: ReviewInputs, settings: ReviewSettings = DEFAULTS) -> DataFrame:
-    """Findings of all rules and answers on the files as merged.
-
-    Findings and files come from one settled scan, so the diffs are read once.
-    """
-    scanned = settle(scan(inputs.raw_diffs, inputs.snapshots, settings))
+    """Findings of all rules and answers on the files as merged."""
+    scanned = scan(inputs.raw_diffs, inputs.snapshots, settings)
     return _findings(scanned, _answers(inputs), merge_files(tallied_rows(scanned)))
 
 
 def _findings(scanned: DataFrame, answers: DataFrame | None, files: DataFrame) -> DataFrame:
     found = scanned_findings(scanned)
     if answers is not None:
-        found = found.unionByName(answers)
+        found = found.unionByName(answers, allowMissingColumns=True)
     return reviewed_findings(found, files)
 
 
@@ -86,31 +86,57 @@ def review_rows(inputs: ReviewInputs, settings: ReviewSettings = DEFAULTS) -> Da
 def review_tables(
     inputs: ReviewInputs, settings: ReviewSettings = DEFAULTS
 ) -> tuple[DataFrame, DataFrame]:
-    """Files and findings of all reviews, both settled, from one read of the diffs."""
-    scanned = settle(scan(inputs.raw_diffs, inputs.snapshots, settings))
+    """Files and findings of all reviews from one read of the diffs.
+
+    These are plans. What several branches read is marked to be kept when it is first
+    computed, and computed again where an executor is lost; ``run_review`` stores it.
+    """
+    scanned = scan(inputs.raw_diffs, inputs.snapshots, settings).persist()
     answers = _answers(inputs)
-    files = settle(_files(scanned, answers, settings))
-    return files, settle(_findings(scanned, answers, files))
+    files = _files(scanned, answers, settings).persist()
+    return files, _findings(scanned, answers, files).persist()
 
 
 def run_review(
-    inputs: ReviewInputs, out: str, settings: ReviewSettings = DEFAULTS
+    inputs: ReviewInputs,
+    out: str,
+    settings: ReviewSettings = DEFAULTS,
+    run_id: str | None = None,
 ) -> dict[str, DataFrame]:
-    """Review everything and write findings, files, reviews and history.
+    """Review everything and write findings, files, reviews, reports, hits and history.
 
-    The diffs are read once: ids, risks, scores and reports all start from the
-    settled tables, which are as small as the findings and files are.
+    The diffs are read once: what the rules saw is stored below ``out/scan`` and read
+    back, and ids, risks, scores and reports all start from that (small) table, which
+    may be deleted afterwards. A run that is repeated with its ``run_id`` replaces
+    what it has written.
     """
-    files, found = review_tables(inputs, settings)
-    reports = markdown_reports(inputs.reviews, files, found)
-    reviews = settle(
-        review_rollup(files, inputs.reviews, settings).join(reports, "review_id", "left")
-    )
-    numbered = number_findings(found).join(inputs.reviews.select("review_id", "ts"), "review_id")
-    write_findings(numbered, f"{out}/findings")
-    files.write.mode("append").parquet(f"{out}/files")
-    reviews.withColumn("review_date", F.to_date("ts")).write.mode("append").partitionBy(
-        "review_date"
-    ).parquet(f"{out}/reviews")
-    write_history(reviews, f"{out}/history")
-    return {"findings": found, "files": files, "reviews": reviews}
+    run_id = run_id or uuid.uuid4().hex
+    _reject_shared_ids(inputs.reviews)
+    scanned = stored(scan(inputs.raw_diffs, inputs.snapshots, settings), f"{out}/scan", run_id)
+    answers = _answers(inputs)
+    if answers is not None:
+        answers = stored(answers, f"{out}/answers", run_id)
+    files = stored(_files(scanned, answers, settings), f"{out}/files", run_id)
+    found = stored(_findings(scanned, answers, files), f"{out}/found", run_id)
+    dated = inputs.reviews.select("review_id", "ts")
+    write_findings(number_findings(found).join(dated, "review_id", "left"), f"{out}/findings", run_id)
+    reports = stored(markdown_reports(inputs.reviews, files, found), f"{out}/reports", run_id)
+    reviews = stored(review_rollup(files, inputs.reviews, settings), f"{out}/reviews", run_id)
+    hits = rule_hits_of(found, files_by_risk(files), inputs.reviews)
+    hits = stored(hits, f"{out}/rule_hits", run_id)
+    write_history(reviews, f"{out}/history", run_id)
+    return {
+        "findings": found,
+        "files": files,
+        "reviews": reviews,
+        "reports": reports,
+        "rule_hits": hits,
+    }
+
+
+def _reject_shared_ids(reviews: DataFrame) -> None:
+    """Reviews are told apart by their id alone, so no two repositories may share one."""
+    shared = reviews.groupBy("review_id").agg(F.min("repo").alias("a"), F.max("repo").alias("b"))
+    clash = shared.filter(F.col("a") != F.col("b")).first()
+    if clash is not None:
+        raise ValueError(f"review {clash.review_id} belongs to {clash.a} and to {clash.b}")

@@ -155,29 +155,29 @@ def raw_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _collected(parts.withColumn("channel", _channel(F.col("doc_id"))))
 
 
-def merge_raw_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Diffs that leave room for snapshots and share paths between channels."""
+def merge_raw_diffs(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
+    """Diffs that share paths between channels; they leave room for snapshots, which have
+    the other documents, or hold every document."""
     i = F.col("doc_id")
     both = F.array(F.lit("staged"), F.lit("unstaged"))
     channels = F.when(i % 9 == 0, both).otherwise(F.array(_channel(i)))
-    parts = sections(documents(spark, sf_dir).filter(i % 7 != 6))
+    docs = documents(spark, sf_dir)
+    parts = sections(docs if every else docs.filter(i % 7 != 6))
     return _collected(parts.withColumn("channel", F.explode(channels)))
 
 
-def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole files: untracked and listed ones, some of which the diffs cover."""
+def snapshots(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
+    """Whole files, untracked and listed: those that the diffs lack and as many that they
+    cover, or every document."""
     i = F.col("doc_id")
-    return (
-        documents(spark, sf_dir)
-        .filter(i % 7 >= 5)
-        .select(
-            "repo",
-            "review_id",
-            "path",
-            F.array_join("lines", "\n").alias("content"),
-            F.when(i % 2 == 0, "untracked").otherwise("staged_list").alias("origin"),
-            i.alias("file_seq"),
-        )
+    docs = documents(spark, sf_dir)
+    return (docs if every else docs.filter(i % 7 >= 5)).select(
+        "repo",
+        "review_id",
+        "path",
+        F.array_join("lines", "\n").alias("content"),
+        F.when(i % 2 == 0, "untracked").otherwise("staged_list").alias("origin"),
+        i.alias("file_seq"),
     )
 
 
@@ -231,7 +231,11 @@ def review_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def review_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A long history per repository: one review per event of a user."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return as_history(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def as_history(events: DataFrame) -> DataFrame:
+    """A table or stream of events as reviews."""
     score = F.greatest(
         F.lit(0).cast("bigint"), F.lit(100) - (F.floor("value").cast("bigint") % 45)
     )
@@ -261,7 +265,7 @@ def rule_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: answer by ``doc_id % 8``; @ stands for a line number of the document
+#: answer by ``doc_id`` modulo their number; @ stands for a line number of the document
 ANSWERS = (
     '[{"line": @, "severity": "error", "message": "off by one", "suggestion": "use <"}]',
     'Sure: [{"line": @, "severity": "warning", "message": "unclear"},'
@@ -273,6 +277,13 @@ ANSWERS = (
     '[{"line": 0, "severity": "error", "message": "no line"},'
     ' {"line": @, "severity": "error", "message": ""}]',
     '[{"line": @, "severity": "note", "message": "other severity"}]',
+    '[{"line": 1e1, "severity": "error", "message": "a whole number"},'
+    ' {"line": 3.5, "severity": "info", "message": "no whole number"}]',
+    '[{"line": "12-14", "severity": "warning", "message": "a range"},'
+    ' {"line": "@", "severity": "info", "message": "a number as text"}]',
+    '[{"line": @, "severity": false, "message": "no severity"},'
+    ' {"line": @, "severity": "error", "message": 0}]',
+    '[{"line": 1, "line": @, "severity": "info", "message": "named twice"}]',
 )
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,7 +39,10 @@ def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_diff_texts(spark: SparkSession, path: str) -> DataFrame:
-    """Read diff files laid out as ``<repo>/<review_id>/<channel>.diff``."""
+    """Read diff files laid out as ``<repo>/<review>/<channel>.diff``.
+
+    Reviews of two repositories may have the same name, so the id is both names.
+    """
     texts = spark.read.text(path, wholetext=True).select(
         F.col("value").alias("raw_diff"),
         F.split(F.col("_metadata.file_path"), "/").alias("parts"),
@@ -52,46 +53,44 @@ def read_diff_texts(spark: SparkSession, path: str) -> DataFrame:
 
     return texts.select(
         from_end(3).alias("repo"),
-        from_end(2).alias("review_id"),
+        F.concat(from_end(3), F.lit("/"), from_end(2)).alias("review_id"),
         F.regexp_replace(from_end(1), r"\.diff$", "").alias("channel"),
         "raw_diff",
     )
 
 
-def write_findings(findings: DataFrame, path: str) -> None:
-    """Append findings, partitioned by the day of their review.
+def stored(df: DataFrame, path: str, run_id: str, partition: str | None = None) -> DataFrame:
+    """Write one run's rows of a table and read them back.
 
-    Location, rule and texts only: what a secret's line said never leaves the
-    scan, and the redaction columns stay with the job that proposes edits.
+    A run has a folder of its own, which it replaces when it is repeated, so a run
+    that failed half-way leaves nothing twice.
     """
-    kept = findings.drop("redacted_text", "secret_sha256")
-    dated = kept.withColumn("review_date", F.to_date("ts"))
-    dated.write.mode("append").partitionBy("review_date").parquet(path)
+    writer = df.write.mode("overwrite")
+    if partition is not None:
+        writer = writer.partitionBy(partition)
+    folder = f"{path}/run_id={run_id}"
+    writer.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def write_history(reviews: DataFrame, path: str) -> None:
-    """Append one row per review; everything about trends is derived on read."""
-    rows = reviews.select(*[c.split()[0] for c in HISTORY.split(", ")])
-    rows.withColumn("review_date", F.to_date("ts")).write.mode("append").partitionBy(
-        "review_date"
-    ).parquet(path)
+def write_findings(findings: DataFrame, path: str, run_id: str) -> None:
+    """Write a run's findings, partitioned by the day of their review.
 
+    The redaction columns stay with the job that proposes edits. Messages hold what
+    the rules quote: of a note its text, of a secret its kind.
+    """
+    kept = findings.drop("redacted_text", "secret_sha256")
+    stored(kept.withColumn("review_date", F.to_date("ts")), path, run_id, "review_date")
 
-def settle(df: DataFrame) -> DataFrame:
-    """Materialise a result that several branches read, so it is computed once.
 
-    A reliable checkpoint survives the loss of executors. The cluster names the
-    shared folder in ``spark.checkpoint.dir``; only where that is unset (local
-    tests) a temporary one is used.
-    """
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+def write_history(reviews: DataFrame, path: str, run_id: str) -> None:
+    """Write one row per review; everything about trends is derived on read."""
+    rows = reviews.select(*[c.split()[0] for c in HISTORY.split(", ")])
+    stored(rows.withColumn("review_date", F.to_date("ts")), path, run_id, "review_date")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder, set on the context if it is not yet."""
+def scratch_folder(spark: SparkSession) -> str:
+    """A folder that all executors share: the checkpoint folder, else the warehouse."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="patchwell-"))
-    return context.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    return named or spark.conf.get("spark.sql.warehouse.dir")

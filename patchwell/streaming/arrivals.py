@@ -24,7 +24,7 @@ from patchwell.settings import DEFAULTS, ReviewSettings
 from patchwell.sources.tables import HISTORY, SNAPSHOTS, read_or_empty
 
 #: columns that identify an arriving diff
-ARRIVAL = ("review_id", "channel")
+ARRIVAL = ("repo", "review_id", "channel")
 
 
 def arriving_findings(raw_diffs: DataFrame, settings: ReviewSettings = DEFAULTS) -> DataFrame:
@@ -33,25 +33,11 @@ def arriving_findings(raw_diffs: DataFrame, settings: ReviewSettings = DEFAULTS)
     return static_findings(lines, settings)
 
 
-def _batch_folder(out: str, batch_id: int) -> str:
-    return f"{out}/batch_id={batch_id}"
-
-
-def _earlier(spark: SparkSession, out: str, batch_id: int, schema: str) -> DataFrame:
-    """What batches other than this one have written."""
-    seen = read_or_empty(spark, out, f"{schema}, batch_id bigint")
-    return seen.filter(F.col("batch_id") != batch_id)
-
-
-def unseen(batch: DataFrame, seen: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Rows of a batch whose key is new, one per key.
-
-    Repeats within a batch are looked for on the keys alone; only a batch that
-    has some shuffles its rows.
-    """
-    repeats = batch.select(*keys).groupBy(*keys).count().filter("count > 1")
-    once = batch if repeats.isEmpty() else batch.dropDuplicates(list(keys))
-    return once.join(seen.select(*keys).distinct(), list(keys), "left_anti")
+def _batch_folder(batch: DataFrame, out: str, batch_id: int) -> str:
+    """A folder for one batch of one query: a new query, whose batches count from 0 again,
+    replaces nothing of an earlier one."""
+    query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+    return f"{out}/query_id={query or 'none'}/batch_id={batch_id}"
 
 
 def _appended(
@@ -65,28 +51,21 @@ def scan_arrivals(
 ) -> DataStreamWriter:
     """Append the scan (sections and findings) of every new diff to ``out``.
 
-    A diff that arrives again is skipped. Files, scores, reports and fixes are
-    the batch operators on ``read_scan``.
+    A diff that arrives again is skipped: the stream's state keeps the keys it has
+    seen, so a batch costs what it brings. Files, scores, reports and fixes are the
+    batch operators on ``read_scan``.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        seen = _earlier(spark, f"{out}/arrivals", batch_id, "review_id string, channel string")
-        fresh = unseen(batch, seen, ARRIVAL)
-        none = spark.createDataFrame([], SNAPSHOTS)
-        scan(fresh, none, settings).write.mode("overwrite").parquet(
-            _batch_folder(f"{out}/scan", batch_id)
-        )
-        fresh.select(*ARRIVAL).write.mode("overwrite").parquet(
-            _batch_folder(f"{out}/arrivals", batch_id)
-        )
+        none = batch.sparkSession.createDataFrame([], SNAPSHOTS)
+        scan(batch, none, settings).write.mode("overwrite").parquet(_batch_folder(batch, out, batch_id))
 
-    return _appended(raw_diffs, checkpoint, write)
+    return _appended(raw_diffs.dropDuplicates(list(ARRIVAL)), checkpoint, write)
 
 
 def read_scan(spark: SparkSession, out: str) -> DataFrame:
     """The scans of all batches so far."""
-    return spark.read.parquet(f"{out}/scan").drop("batch_id")
+    return spark.read.parquet(out).drop("query_id", "batch_id")
 
 
 def append_history(reviews: DataFrame, out: str, checkpoint: str) -> DataStreamWriter:
@@ -94,17 +73,24 @@ def append_history(reviews: DataFrame, out: str, checkpoint: str) -> DataStreamW
     columns = [c.split()[0] for c in HISTORY.split(", ")]
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        seen = _earlier(batch.sparkSession, out, batch_id, HISTORY)
-        unseen(batch.select(*columns), seen, ("review_id",)).write.mode("overwrite").parquet(
-            _batch_folder(out, batch_id)
-        )
+        batch.write.mode("overwrite").parquet(_batch_folder(batch, out, batch_id))
 
-    return _appended(reviews, checkpoint, write)
+    return _appended(reviews.select(*columns).dropDuplicates(["review_id"]), checkpoint, write)
 
 
 def read_history(spark: SparkSession, out: str) -> DataFrame:
     """The history so far, empty before the first batch."""
-    return read_or_empty(spark, out, f"{HISTORY}, batch_id bigint").drop("batch_id")
+    parts = f"{HISTORY}, query_id string, batch_id bigint"
+    return read_or_empty(spark, out, parts).drop("query_id", "batch_id")
+
+
+def replaced(totals: DataFrame, out: str, checkpoint: str) -> DataStreamWriter:
+    """Keep the newest totals of a streaming aggregate in ``out``."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(out)
+
+    return _appended(totals, checkpoint, write).outputMode("complete")
 
 
 def running_rule_hits(findings: DataFrame) -> DataFrame:

@@ -57,7 +57,14 @@ ANSWERS = [
     ('[{"line": 3, "severity": "", "message": "m"}]', []),
     ('[{"line": 3, "severity": "error"}]', []),
     ('[{"line": "7", "severity": "note", "message": "m", "suggestion": "s"}]', [(7, "note", "m", "s")]),
-    ('[{"line": 1.5, "severity": "error", "message": "m"}]', []),
+    ('[{"line": 1.5, "severity": "error", "message": "m"}]', [(None, "error", "m", None)]),
+    ('[{"line": 1e1, "severity": "error", "message": "m"}]', [(10, "error", "m", None)]),
+    ('[{"line": "12-14", "severity": "error", "message": "m"}]', [(None, "error", "m", None)]),
+    ('[{"line": 1, "line": 4, "severity": "error", "message": "m"}]', [(4, "error", "m", None)]),
+    ('[{"line": 4, "severity": false, "message": "m"}]', []),
+    ('[{"line": 4, "severity": "error", "message": 0}]', []),
+    ('[{"line": false, "severity": "error", "message": "m"}]', []),
+    ('[{"line": 4, "severity": 2, "message": {"a": 1}}]', [(4, "2", '{"a":1}', None)]),
     ('[{"line": 2, "severity": "info", "message": "a [b] c", "other": {"x": [1]}}]', [(2, "info", "a [b] c", None)]),
 ]
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime
 
 from patchwell.functions import fixed_values as fv
-from patchwell.operators import report, scoring
+from patchwell.operators import history, report, scoring
 from patchwell.operators.findings import number_findings
 from patchwell.plans.review import ReviewInputs, review_files, review_findings, review_rows, run_review
 from patchwell.settings import ReviewSettings
@@ -165,15 +165,21 @@ def test_ids_positions_and_counts(spark):
 
 def test_whole_job_writes_tables(spark, tmp_path):
     given = job(spark)
-    results = run_review(given, str(tmp_path))
-    texts = {r.review_id: r.report for r in results["reviews"].collect()}
-    assert texts == {"r": REPORT, "empty": fv.EMPTY_REPORT}
+    # a run that is repeated replaces what it wrote
+    for _ in range(2):
+        results = run_review(given, str(tmp_path), run_id="1")
+    texts: dict[str, list[str]] = {}
+    for p in results["reports"].orderBy("review_id", "section", "part").collect():
+        texts.setdefault(p.review_id, []).append(p.text)
+    assert {k: "\n".join(v) for k, v in texts.items()} == {"r": REPORT, "empty": fv.EMPTY_REPORT}
+    hits = history.rule_hit_counts(spark.read.parquet(f"{tmp_path}/rule_hits"))
+    assert sum(r.hits for r in hits.collect()) == 6
     findings = spark.read.parquet(f"{tmp_path}/findings")
     assert findings.count() == 6
     assert {str(r.review_date) for r in findings.collect()} == {"2024-01-02"}
     assert "redacted_text" not in findings.columns and "secret_sha256" not in findings.columns
-    history = spark.read.parquet(f"{tmp_path}/history")
-    assert rows(history, "review_id", "score", "file_count") == [("empty", 100, 0), ("r", 59, 6)]
+    past = spark.read.parquet(f"{tmp_path}/history")
+    assert rows(past, "review_id", "score", "file_count") == [("empty", 100, 0), ("r", 59, 6)]
 
 
 def test_one_scan_equals_separate_operators(spark):

@@ -62,19 +62,32 @@ def test_a_retried_batch_writes_once(spark, tmp_path):
             written["write"] = write
             return self
 
+        def dropDuplicates(self, _):
+            return self
+
         @property
         def writeStream(self):
             return self
 
     arrivals.scan_arrivals(Stream(), out, f"{tmp_path}/state")
     batch = raw_diffs(spark, ("r", "staged", added("a.ts", "debugger")))
-    for batch_id in (0, 0, 1):
+    for batch_id in (0, 0):
         written["write"](batch, batch_id)
     assert rows(scanned_findings(arrivals.read_scan(spark, out)), *FOUND) == [
         ("r", "a.ts", 1, "debugger-script", "debugger statement left in code")
     ]
 
 
+def test_a_new_checkpoint_replaces_nothing(spark, tmp_path):
+    out = f"{tmp_path}/out"
+    for name in ("one", "two"):
+        folder = f"{tmp_path}/{name}"
+        drop(spark, folder, (name, "staged", added("a.ts", "debugger")))
+        run(arrivals.scan_arrivals(source(spark, folder), out, f"{tmp_path}/state-{name}"))
+    found = scanned_findings(arrivals.read_scan(spark, out))
+    assert [r[0] for r in rows(found, *FOUND)] == ["one", "two"]
+
+
 def test_findings_need_no_state(spark, tmp_path):
     folder = f"{tmp_path}/in"
     given = [("r", "staged", added("a.ts", "debugger", "x: any")), ("s", "staged", added("b.py", "print(1)"))]
