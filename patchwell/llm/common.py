@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import os
 import tempfile
@@ -10,6 +11,7 @@ from collections.abc import Callable
 from typing import Any
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,14 +74,19 @@ def kept(name: str, build: Callable[[], Any]) -> Any:
     """The one thing that a worker process keeps from task to task; asking for another one
     drops it."""
     if name not in _kept:
-        _kept.clear()
+        make_room()
         _kept[name] = build()
     return _kept[name]
 
 
 def make_room() -> None:
-    """Called by tasks that need memory themselves: workers outlive the jobs they served."""
+    """Called by tasks that need memory themselves: workers outlive the jobs they served, and what
+    those have freed goes back to the machine only when it is asked for."""
     _kept.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim is not None:
+        trim(0)
 
 
 def spread(total: np.ndarray) -> np.ndarray:

@@ -58,7 +58,7 @@ class WordTokenizer:
     PLAIN = re.compile(r"[a-zß-öø-ÿ]+")
     RUNS = re.compile(r"[a-zß-öø-ÿ]+|[^a-zß-öø-ÿ]+")
 
-    def __init__(self, path: str, cache_words: int = 800_000) -> None:
+    def __init__(self, path: str, cache_words: int = 500_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
