@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from patchwell.operators import merge
 from patchwell.operators.diff import RANK_STEP
+from patchwell.operators.merge import changed_files
+from patchwell.plans.review import ReviewInputs, review_files, review_rows
+from patchwell.sources.tables import REVIEWS
 from tests.tables import added, raw_diffs, rows, section, snapshots
 
 FILE = ("review_id", "path", "status", "additions", "deletions", "file_ord")
@@ -62,3 +65,25 @@ def test_input_order_does_not_matter(spark):
     one = rows(merge.changed_files(raw_diffs(spark, *texts), none), *FILE)
     other = rows(merge.changed_files(raw_diffs(spark, *reversed(texts)).repartition(5), none), *FILE)
     assert one == other
+
+
+def test_snapshots_that_could_not_be_read_are_no_change(spark):
+    snaps = snapshots(spark, ("r", "a.ts", None, "untracked"), ("r", "b.ts", "x", "untracked"))
+    raw = raw_diffs(spark, ("r", "staged", added("c.ts", "console.log(1)")))
+    assert rows(changed_files(raw, snaps), "path", "additions") == [("b.ts", 1), ("c.ts", 1)]
+    given = ReviewInputs(raw, snaps, spark.createDataFrame([], REVIEWS))
+    assert rows(review_files(given), "path", "findings") == [("b.ts", 0), ("c.ts", 1)]
+    # a review that is not listed keeps its findings
+    assert rows(review_rows(given), "repo", "review_id", "warnings") == [("repo", "r", 1)]
+
+
+def test_many_sections_with_repeats(spark):
+    paths = [f"f{i % 300}.ts" for i in range(400)]
+    text = "\n".join(added(p, "x") for p in paths)
+    raw = raw_diffs(spark, ("r", "staged", text), ("s", "unstaged", text))
+    got = {(r.review_id, r.path): (r.file_ord, r.additions) for r in changed_files(raw, snapshots(spark)).collect()}
+    step = 1 << 40
+    assert got == {
+        **{("r", f"f{i}.ts"): (i, 1) for i in range(300)},
+        **{("s", f"f{i}.ts"): (step + i, 2 if i < 100 else 1) for i in range(300)},
+    }

@@ -6,7 +6,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from patchwell.operators.ordered import FILE_SHIFTS, Running, ordinal_within, running
+from patchwell.operators.ordered import FILE_SHIFTS, Running, ordinal_within, running, since_last
 
 
 def events(spark, n=3000):
@@ -56,3 +56,16 @@ def test_no_window_spans_a_whole_group(spark):
     specs = [line for line in text.splitlines() if "Window [" in line]
     over_rows = [s for s in specs if "_l_n" in s]
     assert over_rows and all("_small" in s for s in over_rows)
+
+
+def test_since_last_with_nulls_and_small_buckets(spark):
+    table = [(r, t, t in (3, 40, 41)) for r in ("a", None) for t in (None, *range(0, 60, 1))]
+    df = spark.createDataFrame(table, "repo string, t long, bad boolean")
+    out = since_last(df, ["repo"], F.col("t"), [F.col("t")], F.col("bad"), "since", shifts=(2, 4))
+    want = {}
+    for r in ("a", None):
+        n = 0
+        for t in (None, *range(60)):
+            n = 0 if t in (3, 40, 41) else n + 1
+            want[(r, t)] = n
+    assert {(x.repo, x.t): x.since for x in out.collect()} == want
