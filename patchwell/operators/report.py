@@ -111,7 +111,11 @@ def _note_lines(found: DataFrame) -> DataFrame:
     icon = icon.otherwise(fv.OTHER_ICON)
     ties = [F.col(c) for c in FINDING_ORDER]
     numbered = ordinal_within(found, ["review_id"], F.col("file_ord"), ties, "position")
-    place = _say("`", F.col("path"), ":", _number("line"), "`")
+    line = _number("line")
+    if "line_given" in found.columns:  # of answers: printed as given, whole numbers as 10, not 1e1
+        given = F.col("line_given")
+        line = F.when(F.col("line").isNotNull() & given.rlike("[.eE]"), line).otherwise(F.coalesce(given, line))
+    place = _say("`", F.col("path"), ":", line, "`")
     return numbered.select(
         "review_id",
         F.lit(NOTES_SECTION + 1).alias("section"),

@@ -198,3 +198,18 @@ def test_report_parts_join_to_the_report(spark):
     assert len([p for p in parts if p.section == report.NOTES_SECTION + 1]) == 3
     joined = "\n".join(p.text for p in sorted(parts, key=lambda p: (p.section, p.part)))
     assert joined == REPORT
+
+
+def test_reports_print_lines_as_answers_give_them(spark, tmp_path):
+    lines = ('"12-14"', "3.5", "7", "1e1", '"012"')
+    items = ", ".join(f'{{"line": {x}, "severity": "error", "message": "m{i}"}}' for i, x in enumerate(lines))
+    given = ReviewInputs(
+        raw_diffs(spark, ("r", "staged", section("m.json", "@@ -1 +1 @@\n-x\n+y"))),
+        snapshots(spark),
+        reviews(spark, "r"),
+        spark.createDataFrame([("r", "m.json", f"[{items}]")], RESPONSES),
+        snapshots(spark, ("r", "m.json", "text", "reviewed")),
+    )
+    parts = run_review(given, str(tmp_path))["reports"].filter(f"section = {report.NOTES_SECTION + 1}").collect()
+    want = ("12-14", "3.5", "7", "10", "012")
+    assert parts[0].text.split("\n") == [f"- 🔴 `m.json:{x}` — m{i}" for i, x in enumerate(want)]
