@@ -3,13 +3,15 @@
 The pages of a host are merged into one tree of styles: a node is a path of elements with their
 classes, its presentations are the sequences of children it comes with, its contents the texts
 below it. What looks and reads the same on many pages matters little: importance is an entropy
-over a host's pages. It is weighed against what the markup says of itself, and branches of low
-importance are cut from each page. Trees are counted by grouped aggregation, never built in
+over a host's pages, and leans on a middle value where pages are few. What the markup says of
+itself is a bounded prior that it is weighed against, and branches of low importance are cut
+from each page. Trees are counted by grouped aggregation, never built in
 one task, and each page is cut by itself.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterable, Iterator
@@ -28,8 +30,18 @@ from patchwell.llm.language import host_of
 THRESHOLD = 0.25
 #: Share of a node's importance that comes from below if it has one child; to the power of their number.
 GAMMA = 0.9
-#: Pages of a host that a path must be on for its importance to say anything.
-LEAST_PAGES = 5
+#: Importance of a path that nothing is known of, and the pages that it counts for.
+UNKNOWN = 0.5
+PRIOR_PAGES = 4.0
+#: Share of a path's pages from which on a text has an importance of its own.
+COMMON = 0.5
+#: Measured importance speaks with at most log odds of this value.
+SUREST = 0.98
+#: Log odds that the markup adds: inside an article; outside the articles of a page that has some;
+#: of a frame, which a frame with the bulk of the text has less against it.
+INSIDE, OUTSIDE, FRAMED, FRAMED_SMALL = 0.5, -1.2, -1.5, -6.0
+#: Characters from which on a branch can be the bulk of a page.
+BULK_CHARS = 400
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe svg math object canvas audio video".split())
@@ -222,8 +234,8 @@ def _own_children(node: Node) -> list[Node]:
 
 
 def observe(pages: DataFrame) -> DataFrame:
-    """``host, path, kind, feature, n``: presentations (kind 0) and texts (kind 1) of each path, counted
-    once a page and added up over the batches of a task."""
+    """``host, path, kind, feature, n``: presentations (kind 0), texts (kind 1) and pages (kind 2) of each
+    path, counted once a page and added up over the batches of a task."""
     schema = pa.schema([("host", pa.string()), ("path", pa.int64()), ("kind", pa.int32()), ("feature", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,6 +245,7 @@ def observe(pages: DataFrame) -> DataFrame:
                 own = set()
                 for node in _walk(parse(html or "")):
                     own.add((node.path, 0, _look(node)))
+                    own.add((node.path, 2, 0))
                     if not _own_children(node):
                         own.update((node.path, 1, _number(x)) for x in blocks(node))
                 for x in own:
@@ -243,96 +256,180 @@ def observe(pages: DataFrame) -> DataFrame:
     return pages.select("host", "html").mapInArrow(run, "host string, path long, kind int, feature long, n long")
 
 
-def importances(observed: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """``host, path, looks, reads``: of each path on enough pages the importance of its presentations
-    and of its texts, from 0 (all pages alike) to 1 (no two alike).
+def importances(observed: DataFrame) -> DataFrame:
+    """``host, path, text, looks, reads``: of each path on two pages or more the importance of its
+    presentations and of its texts, from 0 (all pages alike) to 1 (no two alike); in rows with a
+    ``text`` that of one text on at least half of the path's pages, which ``reads`` of the path leaves
+    to them.
 
-    With m pages: the entropy of the presentations to base m, and one less the mean entropy of a
-    text's pages, log n / log m for a text on n of them."""
-    features = observed.groupBy("host", "path", "kind", "feature").agg(F.sum("n").alias("n"))
-    looks = F.col("kind") == 0
+    The entropy of the presentations to the base of their number, and one less the mean entropy of
+    a text's pages, log n / log m for a text on n of m pages. Each is drawn to ``UNKNOWN`` as if by
+    ``PRIOR_PAGES`` pages more."""
+    features = written(observed.groupBy("host", "path", "kind", "feature").agg(F.sum("n").alias("n")), "features")
     number, log = F.col("n").cast("double"), F.log(F.col("n").cast("double"))
+    look, text = F.col("kind") == 0, F.col("kind") == 1
 
     def total(value: F.Column, when: F.Column) -> F.Column:
         return F.sum(F.when(when, value).otherwise(0.0))
 
     paths = features.groupBy("host", "path").agg(
-        total(number, looks).alias("m"),  # a page has one presentation of a path, or a few
-        total(number * log, looks).alias("look_logs"),
-        total(number, ~looks).alias("texts"),
-        total(number * log, ~looks).alias("text_logs"),
+        total(number, F.col("kind") == 2).alias("m"),
+        total(number, look).alias("all_looks"),
+        total(number * log, look).alias("look_logs"),
+        total(number, text).alias("texts"),
+        total(number * log, text).alias("text_logs"),
+    )
+    paths = written(paths.where("m >= 2"), "paths")
+    repeated = features.where(text & (F.col("n") >= 2)).withColumnRenamed("feature", "text")
+    common = repeated.join(paths.select("host", "path", "m"), ["host", "path"]).where(F.col("n") >= COMMON * F.col("m"))
+    common = written(common.select("host", "path", "text", "n", "m"), "common")
+    of_common = common.groupBy("host", "path").agg(
+        F.sum("n").cast("double").alias("common_texts"), F.sum(number * log).alias("common_logs")
     )
     size = F.log("m")
-    return paths.where(F.col("m") >= least_pages).select(
+
+    def drawn(value: F.Column) -> F.Column:
+        value = F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))
+        return ((value * F.col("m") + UNKNOWN * PRIOR_PAGES) / (F.col("m") + PRIOR_PAGES)).cast("float")
+
+    joined = paths.join(of_common, ["host", "path"], "left").na.fill(0.0, ["common_texts", "common_logs"])
+    rest = F.col("texts") - F.col("common_texts")
+    reads = 1 - (F.col("text_logs") - F.col("common_logs")) / (rest * size)
+    measured = joined.select(
         "host",
         "path",
-        (1 - F.col("look_logs") / (F.col("m") * size)).cast("float").alias("looks"),
-        F.when(F.col("texts") > 0, 1 - F.least(F.lit(1.0), F.col("text_logs") / (F.col("texts") * size))).cast("float").alias("reads"),
+        F.lit(None).cast("long").alias("text"),
+        drawn(1 - F.col("look_logs") / (F.col("all_looks") * F.log("all_looks"))).alias("looks"),
+        F.when(rest > 0, drawn(reads)).alias("reads"),
     )
+    own = drawn(1 - log / size)
+    return measured.union(common.select("host", "path", "text", F.lit(None).cast("float"), own))
+
+
+#: By path the importance of looks and of texts, and by path and text that of common texts.
+Tree = dict[int | tuple[int, int], tuple[float | None, float | None]]
 
 
-def _composite(root: Node, tree: dict[int, tuple[float, float | None]]) -> dict[int, float]:
+def _leaf(node: Node, tree: Tree) -> float:
+    looks, reads = tree.get(node.path, (UNKNOWN, UNKNOWN))
+    other = UNKNOWN if reads is None else reads
+    texts = [tree.get((node.path, _number(x)), (None, other))[1] for x in blocks(node)] if node.path in tree else []
+    return sum(texts) / len(texts) if texts else looks if reads is None else reads
+
+
+def _composite(order: list[Node], tree: Tree) -> dict[int, float]:
     """Importance of each node by its identity: the mean of its children's and, more so the more
-    children it has, that of its own presentations. Unknown paths count as important."""
-    order = list(_walk(root))
+    children it has, that of its own presentations."""
     out: dict[int, float] = {}
     for node in reversed(order):
-        looks, reads = tree.get(node.path, (1.0, 1.0))
         children = [out[id(c)] for c in _own_children(node)]
         if not children:
-            out[id(node)] = 1.0 if reads is None and node.path not in tree else (reads if reads is not None else looks)
+            out[id(node)] = _leaf(node, tree)
         else:
             own = 1 - GAMMA ** len(children)
-            out[id(node)] = own * looks + (1 - own) * sum(children) / len(children)
+            out[id(node)] = own * tree.get(node.path, (UNKNOWN,))[0] + (1 - own) * sum(children) / len(children)
+    return out
+
+
+def _odds(value: float) -> float:
+    value = min(SUREST, max(1 - SUREST, value))
+    return math.log(value / (1 - value))
+
+
+def _sizes(order: list[Node]) -> dict[int, int]:
+    """Characters of text below each node."""
+    out: dict[int, int] = {}
+    for node in reversed(order):
+        size = sum(out[id(c)] for c in _own_children(node))
+        todo = [c for c in node.children if isinstance(c, str) or c.name in INLINE]
+        while todo:
+            c = todo.pop()
+            if isinstance(c, str):
+                size += len(c.strip())
+            elif c.name not in SKIPPED and c.name not in VOID:
+                todo += c.children
+        out[id(node)] = size
     return out
 
 
-def main_text(html: str, tree: dict[int, tuple[float, float | None]], threshold: float = THRESHOLD) -> str:
+def main_text(html: str, tree: Tree, threshold: float = THRESHOLD) -> str:
     """The page without branches of low importance.
 
-    Importance is weighed by what the markup says: framing elements and words count a tenth, so
-    they always go; articles keep theirs at a floor, so that copied pages keep their text. If a
-    page has articles, only they count as text."""
+    A branch stays if it or a branch in it has an importance, weighed by what the markup says, of
+    at least the threshold: inside articles more easily, in framing elements and words less, and so
+    outside the articles of a page that has some. Enough evidence outvotes each of these. What holds
+    the bulk of a page's text has less against it. An article that would go as a whole, such as a
+    copied one, is kept by the markup alone."""
     root = parse(html)
-    importance = _composite(root, tree)
-    articles = [n for n in _walk(root) if n.name in CONTENT and not n.frames]
-    keep: list[str] = []
-
-    def stays(node: Node, inside: bool) -> bool:
-        frames = node.frames or (node.name in FRAME and not (inside and node.name == "header"))
-        value = importance.get(id(node), 1.0)
-        if inside and not frames:
-            value = max(value, threshold)
-        return node.name in ("root", "html", "body") or value * (0.1 if frames else 1.0) >= threshold
-
-    def prune(top: Node, inside: bool) -> Node | None:
-        """The branch without branches that do not stay; a rule marks where one stood."""
-        if not stays(top, inside):
-            return None
-        out = Node(top.name, top.style)
-        todo = [(top, out, inside or top.name in CONTENT)]
-        while todo:
-            node, copy, inside = todo.pop()
-            for c in node.children:
-                if isinstance(c, str):
-                    copy.children.append(c)
-                elif c.name in SKIPPED:
-                    continue
-                elif stays(c, within := inside or c.name in CONTENT):
-                    copy.children.append(Node(c.name, c.style))
-                    todo.append((c, copy.children[-1], within))
-                else:
-                    copy.children.append(Node("hr"))
-        return out
-
-    if articles:
-        inner = {id(x) for a in articles for x in _walk(a) if x is not a}
-        for article in articles:
-            if id(article) not in inner and (kept := prune(article, True)) is not None:
-                keep += blocks(kept)
-    elif (kept := prune(root, False)) is not None:
-        keep = blocks(kept)
-    return "\n".join(keep)
+    order = list(_walk(root))
+    importance, size = _composite(order, tree), _sizes(order)
+    top = {id(root)}
+    inside: dict[int, bool] = {id(root): False}
+    framed: dict[int, bool] = {}
+    articles: list[Node] = []
+    for node in order:
+        within = inside[id(node)]
+        framed[id(node)] = node.frames or (node.name in FRAME and not (within and node.name == "header"))
+        if node.name in ("html", "body"):
+            top.add(id(node))
+        if node.name in CONTENT and not node.frames:
+            articles.append(node)
+        for c in _own_children(node):
+            inside[id(c)] = within or node.name in CONTENT or c.name in CONTENT
+
+    prior: dict[int, float] = {id(root): 0.0}
+    score: dict[int, float] = {}
+    for node in order:
+        bulk = min(size[id(node)] / max(1, size[id(root)]), size[id(node)] / (size[id(node)] + BULK_CHARS))
+        above = prior[id(node)]
+        if framed[id(node)] and id(node) not in top:
+            above = min(above, FRAMED + FRAMED_SMALL * (1 - bulk))
+        for c in _own_children(node):
+            prior[id(c)] = above
+        own = above
+        if above > FRAMED:  # in no frame
+            own = INSIDE if inside[id(node)] else OUTSIDE * (1 - bulk) if articles else 0.0
+        score[id(node)] = _odds(importance[id(node)]) - _odds(threshold) + own
+
+    def pruned(kept: set[int]) -> tuple[dict[int, bool], dict[int, bool]]:
+        """Which nodes stay, and which of them hold text that stays."""
+        stays: dict[int, bool] = {}
+        text: dict[int, bool] = {}
+        for node in reversed(order):
+            own = _own_children(node)
+            stays[id(node)] = id(node) in top or id(node) in kept or score[id(node)] >= 0 or any(stays[id(c)] for c in own)
+            beside = size[id(node)] > sum(size[id(c)] for c in own)
+            text[id(node)] = any(text[id(c)] for c in own) or (stays[id(node)] and beside)
+        return stays, text
+
+    stays, text = pruned(set())
+    floor: set[int] = set()
+    for article in articles:
+        if not text[id(article)] and prior[id(article)] > FRAMED:
+            todo = [article]
+            while todo:
+                node = todo.pop()
+                if not framed[id(node)] or node is article:
+                    floor.add(id(node))
+                    todo += _own_children(node)
+    if floor:
+        stays, text = pruned(floor)
+
+    out = Node(root.name, root.style)
+    todo = [(root, out)]
+    while todo:
+        node, copy = todo.pop()
+        for c in node.children:
+            if isinstance(c, str):
+                copy.children.append(c)
+            elif c.name in SKIPPED:
+                continue
+            elif stays.get(id(c), not (c.frames or c.name in FRAME)):  # inside lines the markup alone says
+                copy.children.append(Node(c.name, c.style))
+                todo.append((c, copy.children[-1]))
+            else:
+                copy.children.append(Node("hr"))  # a rule marks where a branch stood
+    return "\n".join(blocks(out))
 
 
 def extract(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -344,7 +441,7 @@ def extract(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows = pages.select("page_id", "url", "html", F.coalesce(host_of("url"), F.lit("")).alias("host"))
     paths = importances(observe(rows))
     trees = written(
-        paths.groupBy("host").agg(F.collect_list(F.struct("path", "looks", "reads")).alias("tree")), "trees"
+        paths.groupBy("host").agg(F.collect_list(F.struct("path", "text", "looks", "reads")).alias("tree")), "trees"
     )  # a host's paths: its templates, not its pages
     joined = rows.join(trees.withColumnRenamed("host", "_host"), F.col("host") == F.col("_host"), "left").drop("_host")
 
@@ -356,7 +453,10 @@ def extract(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             for k, html in enumerate(batch.column("html").to_pylist()):
                 if hosts[k] != last:
                     last = hosts[k]
-                    tree = {x["path"]: (x["looks"], x["reads"]) for x in trees[k].as_py() or ()}
+                    tree = {
+                        x["path"] if x["text"] is None else (x["path"], x["text"]): (x["looks"], x["reads"])
+                        for x in trees[k].as_py() or ()
+                    }
                 texts.append(main_text(html or "", tree, threshold))
             sizes = np.fromiter(map(len, texts), np.int64, len(texts))
             columns = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(sizes)]

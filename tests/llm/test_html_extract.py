@@ -58,3 +58,41 @@ def test_given_pages(spark):
         article = re.search(r"<article>(.*)</article>", given[r.page_id], re.S)[1]
         parts = (re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>", " ", x))).strip() for x in re.split(r"</?(?:p|h1|br)>", article))
         assert r.text == "\n".join(x for x in parts if x) and r.n_chars == len(r.text)
+
+
+def _texts(frame, pages: list[str]) -> list[str]:
+    rows = [(i, f"http://a.org/{i}", x, "", 0, "") for i, x in enumerate(pages)]
+    return [r.text for r in sorted(h.extract(frame(rows, PAGES)).collect())]
+
+
+def test_what_a_site_repeats_inside_its_articles_goes(frame):
+    for tag in ("article", "main"):
+        pages = [f"<{tag}><p>Text {i} of {i * 7}</p><div class=x><p>Same box</p></div><p>Same line</p></{tag}>" for i in range(14)]
+        assert _texts(frame, pages) == [f"Text {i} of {i * 7}" for i in range(14)]
+
+
+def test_main_text_beside_a_teaser_article(frame):
+    pages = [f"<div class=t><p>Main text {i} of {i * 7}</p></div><article><p>Teaser</p></article>" for i in range(12)]
+    assert all(f"Main text {i} of {i * 7}" in x for i, x in enumerate(_texts(frame, pages)))
+    long = "A long main text of words. " * 60
+    assert long.strip() in h.main_text(f"<div class=t><p>{long}</p></div><article><p>Teaser</p></article>", {})
+
+
+def test_enough_evidence_outvotes_the_markup(frame):
+    pages = [f"<div class=ad><p>Buy {i * 3}</p></div><div class=share><p>{f'word {i} of {i * 7} ' * 200}</p></div>" for i in range(40)]
+    assert _texts(frame, pages) == [f"word {i} of {i * 7} " * 199 + f"word {i} of {i * 7}" for i in range(40)]
+
+
+def test_wrappers_of_many_alike_branches_stay(frame):
+    pages = ["<div class=w>" + "".join(f"<p>Text {i * 50 + k}</p>" for k in range(40)) + "</div>" for i in range(12)]
+    assert _texts(frame, pages) == ["\n".join(f"Text {i * 50 + k}" for k in range(40)) for i in range(12)]
+
+
+def test_importance_leans_on_few_pages(frame):
+    pages = [f"<div class=m><p>Same</p></div><div class=t><p>Text {i}</p></div>" for i in range(12)]
+    values = []
+    for n in (1, 2, 3, 4, 12):
+        rows = [(i, "", x, "a", 0, "") for i, x in enumerate(pages[:n])]
+        found = h.importances(h.observe(frame(rows, PAGES))).where("text is not null").collect()
+        values.append(min((r.reads for r in found), default=h.UNKNOWN))
+    assert values == sorted(values, reverse=True) and len(set(values)) == 5
