@@ -28,6 +28,10 @@ LANGUAGES = 64
 GRAM_WEIGHT = 1 / GRAM
 #: Rows that the next wider level counts for.
 PRIOR_ROWS = 20.0
+#: Grams that a text counts for at most when the model is fitted: one long text is no language.
+TEXT_GRAMS = 1_000.0
+#: Log probability of a gram in a text of no language: all buckets alike.
+BACKGROUND = -BUCKET_BITS * float(np.log(2))
 _SCAN_BYTES = 1 << 20
 
 
@@ -39,8 +43,9 @@ class TextModel:
     log: np.ndarray
 
 
-def _buckets(data: np.ndarray) -> np.ndarray:
-    """Bucket of the gram at each place; A-Z count as a-z, digits and signs as one."""
+def _buckets(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of the gram at each place, and whether it has a letter; A-Z count as a-z, digits and
+    signs as one."""
     fold = np.arange(256, dtype=np.uint32)
     fold[65:91] += 32
     fold[:65] = 32
@@ -49,11 +54,12 @@ def _buckets(data: np.ndarray) -> np.ndarray:
     code = np.zeros(max(0, len(data) - GRAM + 1), np.uint32)
     for k in range(GRAM):
         code = code * np.uint32(257) + data[k : k + len(code)]
-    return (code * np.uint32(2654435761)) >> np.uint32(32 - BUCKET_BITS)
+    letters = np.concatenate([[0], np.cumsum(data != 32)])
+    return (code * np.uint32(2654435761)) >> np.uint32(32 - BUCKET_BITS), letters[GRAM:] > letters[:-GRAM]
 
 
 def _portions(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Buckets of several texts at once, and the number of the text each belongs to."""
+    """Buckets of several texts' grams with letters, and the number of the text each belongs to."""
     first = size = 0
     for k in range(len(texts) + 1):
         if k == len(texts) or k > first and size + len(texts[k]) > _SCAN_BYTES:
@@ -61,7 +67,10 @@ def _portions(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             data = np.frombuffer(b"".join(some), np.uint8)
             owner = np.repeat(np.arange(first, k), [len(x) for x in some])
             inside = owner[: len(data) - GRAM + 1] == owner[GRAM - 1 :] if len(data) >= GRAM else np.zeros(0, bool)
-            yield _buckets(data)[inside], owner[: len(inside)][inside]
+            if len(inside):
+                found, letters = _buckets(data)
+                inside &= letters
+                yield found[inside], owner[: len(inside)][inside]
             first, size = k, 0
         if k < len(texts):
             size += len(texts[k])
@@ -87,16 +96,17 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> TextModel:
             texts = batch.column("text").to_pylist()
             for language in set(languages):
                 own = [texts[i] for i in np.flatnonzero(languages == language)]
-                sums = np.zeros(1 << BUCKET_BITS, np.int64)
-                for buckets, _ in _portions(own):
-                    sums += np.bincount(buckets, minlength=len(sums))
+                sums = np.zeros(1 << BUCKET_BITS)
+                for buckets, owner in _portions(own):
+                    weights = np.minimum(1.0, TEXT_GRAMS / np.maximum(1, np.bincount(owner)))
+                    sums += np.bincount(buckets, weights[owner], minlength=len(sums))
                 used = np.flatnonzero(sums)
                 n = len(used)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([language] * n, pa.string()), pa.array(used), pa.array(sums[used])], names=["language", "bucket", "n"]
                 )
 
-    grams = sample.select("text", "language").mapInArrow(count, "language string, bucket long, n long")
+    grams = sample.select("text", "language").mapInArrow(count, "language string, bucket long, n double")
     counts = np.zeros((1 << BUCKET_BITS, len(languages)))
     for language, bucket, n in grams.groupBy("language", "bucket").agg(F.sum("n")).collect():
         counts[bucket, languages.index(language)] = n
@@ -105,7 +115,7 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> TextModel:
 
 
 def text_evidence(rows: DataFrame, model: TextModel) -> DataFrame:
-    """``rows`` with ``grams`` (how many the text has) and ``likelihood`` (a log for each language)."""
+    """``rows`` with ``grams`` (how many with letters the text has) and ``likelihood`` (a log for each language)."""
     shared = rows.sparkSession.sparkContext.broadcast(model)  # bounded by languages and buckets
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,8 +186,9 @@ def fuse(rows: DataFrame, model: TextModel) -> DataFrame:
     """Adds ``language``, ``probability``, ``text_language`` and ``recognised`` to rows of ``host, suffix,
     declared, grams, likelihood``.
 
-    A text without grams says nothing and the rest decides. ``recognised``: the text has grams and
-    one language is more likely than all others together. The text's share of the verdict that
+    A text without grams says nothing and the rest decides. ``recognised``: the text has grams, its
+    best language explains them better than the background of equal grams does, and one language
+    is more likely than all others together. Texts of the background count for no prior. The text's share of the verdict that
     counted for its own host's prior is small beside the host's rows and the prior's weight."""
     n = len(model.languages)
     if not n:
@@ -185,7 +196,8 @@ def fuse(rows: DataFrame, model: TextModel) -> DataFrame:
         rows = rows.withColumns({k: F.lit(None).cast(v) for k, v in empty.items()})
         return rows.withColumns({"probability": F.lit(0.0), "recognised": F.lit(False)}).drop("likelihood")
     shares = rows.withColumn("share", _shares(F.col("likelihood")))
-    tables = {k: written(v, k) for k, v in evidence_tables(shares.where("grams > 0"), n).items()}
+    known = (F.col("grams") > 0) & (F.array_max("likelihood") > F.col("grams") * F.lit(BACKGROUND * GRAM_WEIGHT))
+    tables = {k: written(v, k) for k, v in evidence_tables(shares.where(known), n).items()}
     none = F.array(*[F.lit(0.0)] * n)
     joined = rows.alias("r").join(
         tables["host"].withColumnRenamed("host", "_host"), F.expr("r.host <=> _host"), "left"
@@ -203,7 +215,7 @@ def fuse(rows: DataFrame, model: TextModel) -> DataFrame:
             "language": names[F.array_position("_shares", best).cast("int") - 1],
             "probability": best,
             "text_language": F.when(F.col("grams") > 0, names[F.array_position("likelihood", F.array_max("likelihood")).cast("int") - 1]),
-            "recognised": (F.col("grams") > 0) & (best > 0.5),
+            "recognised": known & (best > 0.5),
         }
     )
     return verdict.drop("_shares", "likelihood", "host_log", "declared_log", "suffix_log")

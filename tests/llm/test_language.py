@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import base64
+import random
+
 from pyspark.sql import functions as F
 
 from patchwell.llm import language as lg
@@ -52,3 +55,17 @@ def test_odd_rows(docs, odd_rows):
     ids = [r.doc_id for r in kept.collect()]
     assert {4, 5, 6, 7} <= set(ids) and ids.count(6) == 2 and ids.count(None) == 1 and not {1, 2} & set(ids)
     assert lg.documents_languages(docs([])).count() == 0 and lg.keep_recognised(docs([])).count() == 0
+
+
+def test_texts_of_no_known_language_are_not_recognised(spark, docs):
+    train = table(spark, SF1, "documents").selectExpr("doc_id as key", "text", "lang as language")
+    texts = {
+        1: "0123 4567 8901 " * 30,
+        2: "*** --- ### === " * 30,
+        3: base64.b64encode(random.Random(1).randbytes(600)).decode(),
+        4: "Työväenopiston kevätlukukauden ilmoittautuminen käynnistyy yhdeksältä. " * 3,
+        5: "Съешь же ещё этих мягких французских булок, да выпей чаю. " * 3,
+        6: train.where("language = 'fr'").first().text,
+    }
+    found = lg.identify(lg.document_rows(docs(list(texts.items()))), "doc_id", train).collect()
+    assert {r.doc_id for r in found if r.recognised} == {6}
