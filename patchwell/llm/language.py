@@ -22,8 +22,6 @@ GRAM = 4
 BUCKET_BITS = 15
 #: Labelled rows of each language that the text model is fitted on, on average at most.
 SAMPLE_ROWS = 2_000
-#: Languages told apart at most: those with the most labelled rows.
-LANGUAGES = 64
 #: Overlapping grams repeat each other's evidence, so each counts for a part.
 GRAM_WEIGHT = 1 / GRAM
 #: Rows that the next wider level counts for.
@@ -33,6 +31,8 @@ TEXT_GRAMS = 1_000.0
 #: Log probability of a gram in a text of no language: all buckets alike.
 BACKGROUND = -BUCKET_BITS * float(np.log(2))
 _SCAN_BYTES = 1 << 20
+#: Log probabilities that are added up at once.
+_SCAN_LOGS = 1 << 23
 
 
 @dataclass
@@ -78,11 +78,11 @@ def _portions(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> TextModel:
     """Fits on about ``sample_rows`` rows ``key, text, language`` of each language, chosen by a hash of
-    the key: each row by itself, so nothing is sorted or moved. What reaches the driver is bounded
-    by languages and buckets."""
+    the key: each row by itself, so nothing is sorted or moved. Every language with labelled rows is
+    fitted; the driver gets 4 bytes for each language and bucket."""
     rows = labelled.select("key", utf8("text").alias("text"), "language").where("language is not null")
     common = labelled.where("language is not null").groupBy("language").count()
-    common = {x[0]: x[1] for x in common.orderBy(F.desc("count"), "language").limit(LANGUAGES).collect()}
+    common = {x[0]: x[1] for x in common.collect()}
     if not common:
         return TextModel([], np.zeros((1 << BUCKET_BITS, 0), np.float32))
     languages = sorted(common)
@@ -107,11 +107,19 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> TextModel:
                 )
 
     grams = sample.select("text", "language").mapInArrow(count, "language string, bucket long, n double")
-    counts = np.zeros((1 << BUCKET_BITS, len(languages)))
-    for language, bucket, n in grams.groupBy("language", "bucket").agg(F.sum("n")).collect():
-        counts[bucket, languages.index(language)] = n
+
+    def packed(part: pa.Table) -> pa.Table:
+        sums = np.zeros(1 << BUCKET_BITS)
+        np.add.at(sums, part.column("bucket").to_numpy(), part.column("n").to_numpy())
+        return pa.table({"language": part.column("language")[:1], "n": pa.array([sums.astype(np.float32).tobytes()], pa.binary())})
+
+    grams = grams.groupBy("language", "bucket").agg(F.sum("n").alias("n"))
+    place = {x: k for k, x in enumerate(languages)}
+    counts = np.zeros((1 << BUCKET_BITS, len(languages)), np.float32)
+    for language, n in grams.groupBy("language").applyInArrow(packed, "language string, n binary").collect():
+        counts[:, place[language]] = np.frombuffer(n, np.float32)
     smooth = counts + 0.5
-    return TextModel(languages, np.log(smooth / smooth.sum(axis=0)).astype(np.float32))
+    return TextModel(languages, np.log(smooth / smooth.sum(axis=0, dtype=np.float64)).astype(np.float32))
 
 
 def text_evidence(rows: DataFrame, model: TextModel) -> DataFrame:
@@ -125,10 +133,12 @@ def text_evidence(rows: DataFrame, model: TextModel) -> DataFrame:
             n = batch.num_rows
             grams, sums = np.zeros(n, np.int64), np.zeros((n, log.shape[1]))
             for buckets, owner in _portions(batch.column("_utf8").to_pylist()):
-                if len(owner):
-                    starts = np.flatnonzero(np.diff(owner, prepend=-1))
-                    sums[owner[starts]] = np.add.reduceat(log[buckets], starts, axis=0, dtype=np.float64)
-                    grams[owner[starts]] = np.diff(np.append(starts, len(owner)))
+                step = max(1, _SCAN_LOGS // max(1, log.shape[1]))
+                for at in range(0, len(owner), step):
+                    own = owner[at : at + step]
+                    starts = np.flatnonzero(np.diff(own, prepend=-1))
+                    sums[own[starts]] += np.add.reduceat(log[buckets[at : at + step]], starts, axis=0, dtype=np.float64)
+                    grams[own[starts]] += np.diff(np.append(starts, len(own)))
             kept = batch.drop_columns(["_utf8"])
             columns = [pa.array(grams), pa.array(list(sums * GRAM_WEIGHT), pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays([*kept.columns, *columns], [*kept.schema.names, "grams", "likelihood"])

@@ -69,3 +69,12 @@ def test_texts_of_no_known_language_are_not_recognised(spark, docs):
     }
     found = lg.identify(lg.document_rows(docs(list(texts.items()))), "doc_id", train).collect()
     assert {r.doc_id for r in found if r.recognised} == {6}
+
+
+def test_more_languages_than_sixty_four(frame):
+    rnd = random.Random(4)
+    words = [["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(30)] for _ in range(70)]
+    rows = [(70 * i + k, " ".join(rnd.choice(words[k]) for _ in range(60)), f"l{k}", "s") for k in range(70) for i in range(2)]
+    given = frame(rows, "doc_id long, text string, lang string, source string")
+    found = lg.identify(lg.document_rows(given).withColumn("host", F.lit(None).cast("string")), "doc_id").collect()
+    assert len({r.text_language for r in found}) == 70 and all(r.text_language == r.declared and r.recognised for r in found)
