@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patchwell.llm.common import written
-from patchwell.llm.language import host_of
+from patchwell.llm.language import host_of, markup_language
 
 #: A branch below this importance is cut.
 THRESHOLD = 0.25
@@ -432,8 +432,9 @@ def main_text(html: str, tree: Tree, threshold: float = THRESHOLD) -> str:
     return "\n".join(blocks(out))
 
 
-def extract(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``page_id, url, text, n_chars`` for every page.
+def extract(pages: DataFrame, threshold: float = THRESHOLD, declared: bool = False) -> DataFrame:
+    """``page_id, url, text, n_chars`` for every page, and ``declared``, the language that its markup
+    declares, if asked for.
 
     Null and empty pages have an empty text; pages with a null url or one without a host are one
     host; repeated rows each get theirs and count each in their host's tree; an empty table gives no
@@ -443,6 +444,8 @@ def extract(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     trees = written(
         paths.groupBy("host").agg(F.collect_list(F.struct("path", "text", "looks", "reads")).alias("tree")), "trees"
     )  # a host's paths: its templates, not its pages
+    if declared:
+        rows = rows.withColumn("declared", markup_language("html"))
     joined = rows.join(trees.withColumnRenamed("host", "_host"), F.col("host") == F.col("_host"), "left").drop("_host")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -460,7 +463,11 @@ def extract(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 texts.append(main_text(html or "", tree, threshold))
             sizes = np.fromiter(map(len, texts), np.int64, len(texts))
             columns = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(sizes)]
-            yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars"])
+            names = ["page_id", "url", "text", "n_chars"]
+            if declared:
+                columns.append(batch.column("declared"))
+                names.append("declared")
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     page_id = pages.schema["page_id"].dataType.simpleString()
-    return joined.mapInArrow(run, f"page_id {page_id}, url string, text string, n_chars long")
+    return joined.mapInArrow(run, f"page_id {page_id}, url string, text string, n_chars long" + (", declared string" if declared else ""))

@@ -233,7 +233,9 @@ def fuse(rows: DataFrame, model: TextModel) -> DataFrame:
 
 def markup_language(html: str) -> Column:
     """The language that a page's root element declares, without region; null if none."""
-    found = F.regexp_extract(F.substring(F.col(html), 1, 4096), r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})\b", 1)
+    bare = F.regexp_replace(F.col(html), r"(?s)<!--.*?(?:-->|\z)", "")
+    root = F.regexp_extract(bare, r"(?i)<html\b[^>]*>?", 0)
+    found = F.regexp_extract(root, r"(?i)\s(?:xml:)?lang\s*=\s*[\"']?([a-z]{2,3})\b", 1)
     return F.lower(F.nullif(found, F.lit("")))
 
 
@@ -282,6 +284,12 @@ def page_rows(pages: DataFrame, text: DataFrame) -> DataFrame:
     return given.join(text.select("page_id", "text"), "page_id")
 
 
+def extracted_rows(found: DataFrame) -> DataFrame:
+    """Pages as ``html_extract.extract`` gives them with ``declared``, as rows of :func:`identify`: one
+    for each, whatever its id."""
+    return found.select("page_id", "text", "declared", host_of("url").alias("host"), suffix_of("url").alias("suffix"))
+
+
 def documents_languages(docs: DataFrame) -> DataFrame:
     """Verdicts on documents."""
     return identify(document_rows(docs), "doc_id")

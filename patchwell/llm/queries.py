@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from patchwell.llm import ann, chat, decontaminate, html_extract, language, lm_scoring, packing, sharding, simhash, suffix_dedup
-from patchwell.llm.common import table
+from patchwell.llm.common import table, written
 
 SHARDS = 24
 
@@ -30,6 +30,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.documents_languages(table(spark, sf_dir, "documents"))
 
 
+def op4_page_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all pages, by op5's text, the declared language, the address and the host."""
+    found = html_extract.extract(table(spark, sf_dir, "pages"), declared=True)
+    return language.identify(language.extracted_rows(written(found, "pages")), "page_id")
+
+
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
@@ -63,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_lm_scoring": op2_lm_scoring,
     "op3_simhash": op3_simhash,
     "op4_language_id": op4_language_id,
+    "op4_page_language_id": op4_page_language_id,
     "op5_html_extraction": op5_html_extraction,
     "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_suffix_dedup": op7_suffix_dedup,

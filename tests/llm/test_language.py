@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from patchwell.llm import language as lg
 from patchwell.llm.common import table
+from patchwell.llm.queries import QUERIES
 from tests.llm.conftest import SF
 
 SF1 = "/root/testdata/sf0.01"
@@ -78,3 +79,15 @@ def test_more_languages_than_sixty_four(frame):
     given = frame(rows, "doc_id long, text string, lang string, source string")
     found = lg.identify(lg.document_rows(given).withColumn("host", F.lit(None).cast("string")), "doc_id").collect()
     assert len({r.text_language for r in found}) == 70 and all(r.text_language == r.declared and r.recognised for r in found)
+
+
+def test_all_pages_are_classified_by_a_query(spark):
+    found = QUERIES["op4_page_language_id"](spark, SF).collect()
+    pages = table(spark, SF, "pages").count()
+    assert len(found) == pages and sum(r.language == r.declared for r in found) > 0.9 * pages
+
+
+def test_markup_language_after_a_long_prolog(frame):
+    prolog = "<!DOCTYPE html><!-- <html lang=xx> " + "x" * 9000 + " -->"
+    rows = frame([(prolog + '<html class=a lang="de">',), (prolog + '<html><body><html lang="en">',), ('<html data-lang="fr">',)], "html string")
+    assert [r[0] for r in rows.select(lg.markup_language("html")).collect()] == ["de", None, None]
