@@ -69,5 +69,62 @@ FROM summed
 """
 
 
+#: crc32 has no function there: a byte goes through eight steps of the reversed polynomial.
+PREFIX_TRIE = """
+WITH RECURSIVE said AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id
+      ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos,
+    coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+turns AS (SELECT c, list({'r': role, 't': text} ORDER BY pos) AS own FROM said GROUP BY c),
+crc AS (
+  SELECT c, CAST(4294967295 AS BIGINT) AS x, 0 AS step, CAST(c AS VARCHAR) AS digits FROM turns
+  UNION ALL
+  SELECT c,
+    xor(y >> 1, CASE WHEN y % 2 = 1 THEN 3988292384 ELSE 0 END),
+    step + 1, digits
+  FROM (
+    SELECT *, CASE WHEN step % 8 = 0 THEN xor(x, CAST(ascii(digits[step // 8 + 1]) AS BIGINT)) ELSE x END AS y
+    FROM crc WHERE step < 8 * length(digits)
+  )
+),
+heads AS (SELECT c, CAST(xor(x, 4294967295) % 9 AS INTEGER) AS h FROM crc WHERE step = 8 * length(digits)),
+made AS (
+  SELECT t.c, list_concat(coalesce(list_slice(f.own, 1, h), []), list_slice(t.own, h + 1, len(t.own))) AS path
+  FROM turns t JOIN heads USING (c) LEFT JOIN turns f ON f.c = t.c - t.c % 5
+),
+entries AS (
+  SELECT c, list_slice(path, 1, d) AS path, d, d = len(path) AS ends
+  FROM made, unnest(generate_series(0, len(path))) AS g(d)
+),
+nodes AS (
+  SELECT path, d, min(c) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256
+  FROM entries GROUP BY path, d
+),
+counted AS (
+  SELECT n.*, p.conv_id AS parent_conv_id, coalesce(k.n, 0) AS n_children,
+    CASE WHEN n.d = 0 THEN 0 ELSE (n.n_convs - 1) * strlen(n.path[n.d].t) END AS cost
+  FROM nodes n
+  LEFT JOIN nodes p ON n.d > 0 AND p.path = list_slice(n.path, 1, n.d - 1)
+  LEFT JOIN (SELECT list_slice(path, 1, d - 1) AS above, count(*) AS n FROM nodes WHERE d > 0 GROUP BY above) k ON k.above = n.path
+),
+upwards AS (
+  SELECT list_slice(path, 1, u) AS path, n_children, cost FROM counted, unnest(generate_series(0, d)) AS g(u)
+),
+sums AS (
+  SELECT path, count(*) FILTER (n_children = 0) AS n_leaves, sum(cost) AS saved FROM upwards GROUP BY path
+)
+SELECT conv_id, CAST(d AS BIGINT) AS depth, parent_conv_id, n_convs, CAST(n_children AS BIGINT) AS n_children, n_leaves,
+  CAST(saved AS BIGINT) AS saved_tokens, ends_sha256
+FROM counted JOIN sums USING (path)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": DECONTAMINATION, "op8_chat_formatting": chat_formatting()}
+    return {
+        "op1_decontamination": DECONTAMINATION,
+        "op8_chat_formatting": chat_formatting(),
+        "op11_prefix_trie": PREFIX_TRIE,
+    }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from patchwell.llm import ann, chat, decontaminate, html_extract, language, lm_scoring, packing, sharding, simhash, suffix_dedup
+from patchwell.llm import ann, chat, decontaminate, html_extract, language, lm_scoring, packing, prefix_trie, sharding, simhash, suffix_dedup
 from patchwell.llm.common import table, written
 
 SHARDS = 24
@@ -64,6 +64,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), SHARDS).drop("row_number")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_lm_scoring": op2_lm_scoring,
@@ -76,4 +80,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_packing": op9_packing,
     "op10_sharding": op10_sharding,
+    "op11_prefix_trie": op11_prefix_trie,
 }
