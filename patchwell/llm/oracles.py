@@ -6,6 +6,7 @@ import re
 import string
 
 from patchwell.llm.chat import ESCAPE, ChatTemplate
+from patchwell.llm.secret_scan import ENCODINGS, ERFC, KINDS, Battery
 
 _LOWER = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -122,9 +123,134 @@ FROM counted JOIN sums USING (path)
 """
 
 
+def _letters(word: str) -> str:
+    """A word in either case, spelt out."""
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+def secret_scan(battery: Battery = Battery()) -> str:
+    """Positions by running sums over exploded matches, tests as subqueries over characters."""
+    names = "|".join(_letters(x) for x in ("password", "passwd", "secret", "token", "api_?key"))
+    assign = rf"""({names})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+    known = assign[:-2] + "{12,})|AKIA[A-Z0-9]{14,}"
+    patterns = (assign, "AKIA[A-Z0-9]+", "[0-9a-f]+", known + rf"|[A-Za-z0-9+/_=-]{{{battery.least},}}")
+    found = " UNION ALL ".join(
+        f"SELECT r, {kind} AS kind, regexp_extract_all(text, '{rx}') AS found, string_split_regex(text, '{rx}') AS gaps FROM d"
+        for kind, rx in enumerate(patterns)
+    )
+    small, digits = string.ascii_lowercase, string.digits
+    alnum = small + small.upper() + digits
+    kinds = lambda x: f"translate({x}, '{alnum}', '{'a' * 26}{'A' * 26}{'9' * 10}')"
+    changes = lambda t: " + ".join(
+        f"(length({t}) - length(replace({t}, '{a}{b}', ''))) // 2" for a in "aA9" for b in "aA9" if a != b
+    )
+    code = " ".join(
+        f"WHEN regexp_matches(body, '{e.pattern}') THEN {i}" for i, e in enumerate(ENCODINGS[:-1])
+    )
+    alphabets = ", ".join(f"'{e.alphabet}'" for e in ENCODINGS)
+    folded = ", ".join(str(i) for i, e in enumerate(ENCODINGS) if e.folded)
+    poly = str(ERFC[-1])
+    for c in reversed(ERFC[:-1]):
+        poly = f"(({poly}) * t + ({c}))"
+    listed = lambda where: (
+        f"coalesce(string_agg([{', '.join(repr(k) for k in KINDS)}][kind + 1] || ':' || start || ':' || stop, ','"
+        f" ORDER BY start, kind, stop) FILTER ({where}), '')"
+    )
+    return rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+rate AS (
+  SELECT least(greatest(coalesce(sum({changes("t")}), 0) / greatest(sum(alnum - runs), 1), 1e-6), 0.5) AS rate
+  FROM (SELECT {kinds("text")} AS t, length(text) - length(translate(text, '{alnum}', '')) AS alnum,
+    len(regexp_extract_all(text, '[A-Za-z0-9]+')) AS runs FROM d)
+),
+found AS ({found}),
+pieces AS (
+  SELECT r, kind, unnest(found) AS said, unnest(list_slice(gaps, 1, len(found))) AS gap,
+    generate_subscripts(found, 1) AS i
+  FROM found WHERE len(found) > 0
+),
+placed AS (
+  SELECT r, kind, said, stop - length(said) AS start, stop
+  FROM (SELECT *, sum(length(gap) + length(said)) OVER (PARTITION BY r, kind ORDER BY i) AS stop FROM pieces)
+),
+kept AS (
+  SELECT * FROM placed
+  WHERE (kind = 0 AND length(regexp_extract(said, '{assign}', 2)) >= 12) OR (kind = 1 AND length(said) >= 18)
+    OR (kind = 2 AND length(said) >= 16)
+),
+runs AS MATERIALIZED (
+  SELECT r, kind, start, stop, body, CASE {code} ELSE {len(ENCODINGS) - 1} END AS code, length(body) AS n,
+    {changes("kinds")} AS changes
+  FROM (
+    SELECT *, {kinds("translate(body, '+/_=-', '')")} AS kinds FROM (SELECT *, rtrim(said, '=') AS body FROM placed)
+    WHERE kind = 3 AND length(body) >= {battery.least} AND NOT regexp_full_match(said, '{known}|[0-9a-f]+')
+  )
+),
+binned AS (
+  SELECT *, CAST(floor(log2(n)) AS INTEGER) AS band, least(floor(CASE WHEN share > rate THEN (n - 1) *
+      (share * ln(share / rate) + CASE WHEN share < 1 THEN (1 - share) * ln((1 - share) / (1 - rate)) ELSE 0 END)
+      ELSE 0 END / ln(10) * 10), 3000) AS bin
+  FROM (SELECT *, least(changes / (n - 1), 1) AS share FROM runs), rate
+),
+thresholds AS (
+  SELECT code, band, min(bin) AS least_bin FROM (
+    SELECT code, band, bin, count(*) OVER (PARTITION BY code, band) AS of_all,
+      count(*) OVER (PARTITION BY code, band ORDER BY bin DESC) AS so_far
+    FROM binned
+  ) WHERE bin > 0 AND pow(10, -bin / 10) * of_all <= so_far * {battery.false_share} GROUP BY code, band
+),
+folded AS (
+  SELECT b.*, [{alphabets}][code + 1] AS alphabet,
+    CASE WHEN code IN ({folded}) THEN lower(body) ELSE translate(body, '-_', '+/') END AS plain
+  FROM binned b JOIN thresholds USING (code, band) WHERE bin >= least_bin AND changes > 0
+),
+measured AS (
+  SELECT *, length(alphabet) AS k, CAST(n AS DOUBLE) AS m,
+    list_transform(string_split(alphabet, ''), lambda c: pow(n - length(replace(plain, c, '')), 2)) AS squares,
+    list_transform(generate_series(1, n), lambda i: CAST(instr(alphabet, plain[i]) AS DOUBLE)) AS places
+  FROM folded
+),
+sided AS (
+  SELECT *, list_sum(squares) * k / m - m AS chi, 2.0 / (9 * (k - 1)) AS spread, len(list_filter(places, lambda x: x <= k // 2)) AS low,
+    1 + len(list_filter(generate_series(2, n), lambda i: (places[i] <= k // 2) <> (places[i - 1] <= k // 2))) AS runs,
+    list_transform(places, lambda x: x - list_sum(places) / m) AS off
+  FROM measured
+),
+scored AS (
+  SELECT *, (cbrt(greatest(chi, 0) / (k - 1)) - (1 - spread)) / sqrt(spread) AS z1,
+    low * (m - low) * 2 / m AS mu, list_sum(list_transform(off, lambda x: x * x)) AS square,
+    list_sum(list_transform(generate_series(2, n), lambda i: off[i] * off[i - 1])) AS product
+  FROM sided
+),
+tested AS (
+  SELECT r, kind, start, stop, unnest([1, 2, 3]) AS test, unnest([z1,
+    CASE WHEN mu > 1 THEN (runs - 1 - mu) / sqrt(mu * (mu - 1) / (m - 1)) END,
+    CASE WHEN square > 0 THEN (product / square + 1 / m) * sqrt(m) END]) AS z
+  FROM scored
+),
+tails AS (
+  SELECT *, t * exp(-z * z / 2 + {poly}) AS tail FROM (SELECT *, 1 / (1 + abs(z) / sqrt(2) * 0.5) AS t FROM tested)
+),
+chances AS (
+  SELECT r, kind, start, stop, -sum(ln(greatest(CASE WHEN z IS NULL THEN 0 WHEN test > 1 THEN tail
+    WHEN z >= 0 THEN tail / 2 ELSE 1 - tail / 2 END, 1e-300))) AS x
+  FROM tails GROUP BY r, kind, start, stop
+),
+spans AS (
+  SELECT r, kind, start, stop FROM kept
+  UNION ALL SELECT r, kind, start, stop FROM chances WHERE exp(-x) * (1 + x + x * x / 2) >= {battery.not_random}
+)
+SELECT any_value(doc_id) AS doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access,
+  count(*) FILTER (kind = 2) AS n_hex, sha256({listed("kind < 3")}) AS base_sha256, {listed("kind >= 0")} AS spans,
+  count(*) FILTER (kind = 3) AS n_random
+FROM d LEFT JOIN spans USING (r) GROUP BY r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontamination": DECONTAMINATION,
         "op8_chat_formatting": chat_formatting(),
         "op11_prefix_trie": PREFIX_TRIE,
+        "op12_secret_scan": secret_scan(),
     }

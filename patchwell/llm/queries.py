@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from patchwell.llm import ann, chat, decontaminate, html_extract, language, lm_scoring, packing, prefix_trie, sharding, simhash, suffix_dedup, whitening
+from patchwell.llm import ann, chat, decontaminate, html_extract, language, lm_scoring, packing, prefix_trie, secret_scan, sharding, simhash, suffix_dedup, whitening
 from patchwell.llm.common import table, written
 
 SHARDS = 24
@@ -68,6 +68,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secrets(table(spark, sf_dir, "documents"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -85,5 +89,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_sharding": op10_sharding,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_secret_scan": op12_secret_scan,
     "op13_embedding_whitening": op13_embedding_whitening,
 }
