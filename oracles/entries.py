@@ -322,6 +322,12 @@ LEFT JOIN (SELECT repo, count(*) AS reviews, arg_max(score, (ts, review_id)) AS
   FROM history GROUP BY repo) h ON r.repo = h.repo
 LEFT JOIN streaks s ON r.repo = s.repo LEFT JOIN tops t ON r.repo = t.repo"""
 
+BODIES["running_summary"] = BODIES["history_summary"]
+BODIES["running_history"] = f"""
+SELECT s.repo, s.review_id, s.recency, s.score, s.streak, d.score_change
+FROM ({BODIES['streamed_history']}) s
+JOIN ({BODIES['score_delta']}) d ON s.repo = d.repo AND s.review_id = d.review_id"""
+
 # --- prompts ------------------------------------------------------------------
 
 STEPS.add(

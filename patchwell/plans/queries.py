@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +24,7 @@ from patchwell.plans.review import (
 from patchwell.settings import ReviewSettings
 from patchwell.sources import derived
 from patchwell.sources.tables import scratch_folder
-from patchwell.streaming import arrivals
+from patchwell.streaming import arrivals, running
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -552,3 +553,52 @@ def streamed_rule_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     _run(arrivals.replaced(hits, f"{folder}/hits", f"{folder}/state"))
     return spark.read.parquet(f"{folder}/hits")
+
+
+def _running(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history of all events, kept as state; an event is a review with one hit, every
+    fifth arrives twice."""
+    folder = _stream_folder(spark)
+    arriving = (
+        spark.readStream.schema(
+            "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double"
+        )
+        .option("pathGlobFilter", "events.parquet")
+        .parquet(sf_dir)
+    )
+    times = F.when(F.col("event_id") % 5 == 0, 2).otherwise(1)
+    twice = arriving.withColumn("again", F.explode(F.sequence(F.lit(1), times)))
+    hit = F.struct(
+        F.col("event_type").alias("analyzer"), F.lit(1).cast("bigint").alias("hits"), F.col("event_id").alias("seq")
+    )
+    reviews = derived.as_history(twice, hits=F.array(hit))
+    with _state_store(spark):
+        _run(running.keep_running(reviews, f"{folder}/running", f"{folder}/state"))
+    return running.read_running(spark, f"{folder}/running")
+
+
+@contextmanager
+def _state_store(spark: SparkSession) -> Iterator[None]:
+    """Keyed state needs its store; the session's own choice comes back afterwards."""
+    before = spark.conf.get(running.PROVIDER)
+    spark.conf.set(running.PROVIDER, running.ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.set(running.PROVIDER, before)
+
+
+@query
+def running_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streak and score change of the newest reviews, as the state holds them."""
+    newest = running.current_reviews(_running(spark, sf_dir))
+    return newest.select("repo", "review_id", "recency", "score", "streak", "score_change")
+
+
+@query
+def running_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """State of every repository of documents and events; the former lack history."""
+    repos = derived.review_history(spark, sf_dir).select("repo").unionByName(
+        derived.review_dimension(spark, sf_dir).select("repo")
+    )
+    return running.current_summary(_running(spark, sf_dir), repos)

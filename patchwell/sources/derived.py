@@ -234,8 +234,8 @@ def review_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_history(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
-def as_history(events: DataFrame) -> DataFrame:
-    """A table or stream of events as reviews."""
+def as_history(events: DataFrame, **more: Column) -> DataFrame:
+    """A table or stream of events as reviews; ``more`` names further columns."""
     score = F.greatest(
         F.lit(0).cast("bigint"), F.lit(100) - (F.floor("value").cast("bigint") % 45)
     )
@@ -250,6 +250,7 @@ def as_history(events: DataFrame) -> DataFrame:
         (i % 5).alias("warnings"),
         (i % 7).alias("infos"),
         (i % 11).alias("file_count"),
+        *[value.alias(name) for name, value in more.items()],
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,6 +91,13 @@ def write_history(reviews: DataFrame, path: str, run_id: str) -> None:
     stored(rows.withColumn("review_date", F.to_date("ts")), path, run_id, "review_date")
 
 
+def workers_find_package(spark: SparkSession) -> None:
+    """Python workers of a local session get to know where this package lies; on a cluster it is
+    installed or shipped with the job."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    spark.sparkContext.environment.setdefault("PYTHONPATH", root)
+
+
 def scratch_folder(spark: SparkSession) -> str:
     """A folder that all executors share: the checkpoint folder, else the warehouse."""
     context = spark.sparkContext

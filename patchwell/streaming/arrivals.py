@@ -33,14 +33,14 @@ def arriving_findings(raw_diffs: DataFrame, settings: ReviewSettings = DEFAULTS)
     return static_findings(lines, settings)
 
 
-def _batch_folder(batch: DataFrame, out: str, batch_id: int) -> str:
+def batch_folder(batch: DataFrame, out: str, batch_id: int) -> str:
     """A folder for one batch of one query: a new query, whose batches count from 0 again,
     replaces nothing of an earlier one."""
     query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
     return f"{out}/query_id={query or 'none'}/batch_id={batch_id}"
 
 
-def _appended(
+def appended(
     stream: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None]
 ) -> DataStreamWriter:
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
@@ -58,9 +58,9 @@ def scan_arrivals(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         none = batch.sparkSession.createDataFrame([], SNAPSHOTS)
-        scan(batch, none, settings).write.mode("overwrite").parquet(_batch_folder(batch, out, batch_id))
+        scan(batch, none, settings).write.mode("overwrite").parquet(batch_folder(batch, out, batch_id))
 
-    return _appended(raw_diffs.dropDuplicates(list(ARRIVAL)), checkpoint, write)
+    return appended(raw_diffs.dropDuplicates(list(ARRIVAL)), checkpoint, write)
 
 
 def read_scan(spark: SparkSession, out: str) -> DataFrame:
@@ -73,9 +73,9 @@ def append_history(reviews: DataFrame, out: str, checkpoint: str) -> DataStreamW
     columns = [c.split()[0] for c in HISTORY.split(", ")]
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(_batch_folder(batch, out, batch_id))
+        batch.write.mode("overwrite").parquet(batch_folder(batch, out, batch_id))
 
-    return _appended(reviews.select(*columns).dropDuplicates(["review_id"]), checkpoint, write)
+    return appended(reviews.select(*columns).dropDuplicates(["review_id"]), checkpoint, write)
 
 
 def read_history(spark: SparkSession, out: str) -> DataFrame:
@@ -90,7 +90,7 @@ def replaced(totals: DataFrame, out: str, checkpoint: str) -> DataStreamWriter:
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(out)
 
-    return _appended(totals, checkpoint, write).outputMode("complete")
+    return appended(totals, checkpoint, write).outputMode("complete")
 
 
 def running_rule_hits(findings: DataFrame) -> DataFrame:
