@@ -322,6 +322,11 @@ LEFT JOIN (SELECT repo, count(*) AS reviews, arg_max(score, (ts, review_id)) AS
   FROM history GROUP BY repo) h ON r.repo = h.repo
 LEFT JOIN streaks s ON r.repo = s.repo LEFT JOIN tops t ON r.repo = t.repo"""
 
+BODIES["split_diff_files"] = f"""
+SELECT review_id, path, CAST(row_number() OVER (PARTITION BY review_id ORDER BY file_ord) AS BIGINT) AS place,
+  status, additions, deletions
+FROM ({BODIES['changed_files']})"""
+BODIES["split_diff_findings"] = BODIES["all_findings"]
 BODIES["running_summary"] = BODIES["history_summary"]
 BODIES["running_history"] = f"""
 SELECT s.repo, s.review_id, s.recency, s.score, s.streak, d.score_change

@@ -190,7 +190,12 @@ def file_sections(raw_diffs: DataFrame) -> DataFrame:
 
     Within the staged channel the last section of a path replaces earlier ones
     but keeps the place of the first; within the unstaged channel repeats add up.
+
+    ``raw_diffs`` has a whole diff in a row, or is a table of sections (``SECTIONS``), in
+    which a diff may be larger than any row.
     """
+    if "section" in raw_diffs.columns:
+        return _located_sections(raw_diffs)
     parts = raw_diffs.select(
         "repo",
         "review_id",
@@ -232,6 +237,44 @@ def file_sections(raw_diffs: DataFrame) -> DataFrame:
     )
 
 
+def name_sections(sections: DataFrame) -> DataFrame:
+    """Sections with the path and status they state; those that name no file are left out."""
+    named = sections.withColumn("path", section_path(F.col("section"))).where("path IS NOT NULL")
+    return named.withColumn("status", section_status(F.col("section")))
+
+
+def _located_sections(sections: DataFrame) -> DataFrame:
+    """``file_sections`` of a table of named sections.
+
+    Repeated paths are found from the small columns alone. They are rare, so texts meet them
+    in a join whose other side Spark measures, and only where there are any."""
+    ranked = sections.withColumn("src_rank", source_rank(F.col("channel"), fv.CHANNELS))
+    path = ["review_id", "src_rank", "path"]
+    spans = ranked.groupBy(*path).agg(
+        F.min("section_seq").alias("first"), F.max("section_seq").alias("last"), F.count(F.lit(1)).alias("times")
+    )
+    repeats = spans.where("times > 1").drop("times")
+    seq = F.col("section_seq")
+    if repeats.isEmpty():
+        located = ranked.withColumns({"first": seq, "last": seq})
+    else:
+        located = ranked.join(repeats, path, "left").withColumns(
+            {"first": F.coalesce("first", seq), "last": F.coalesce("last", seq)}
+        )
+    base = F.col("src_rank") * RANK_STEP
+    return located.filter((F.col("src_rank") > 0) | (F.col("last") == seq)).select(
+        "repo",
+        "review_id",
+        "path",
+        "status",
+        "src_rank",
+        "section_seq",
+        (base + seq).alias("src_ord"),
+        (base + F.col("first")).alias("first_ord"),
+        "section",
+    )
+
+
 def _with_counts(sections: DataFrame) -> DataFrame:
     """Sections with their added and removed lines, without exploding lines."""
     text = F.array_join(_hunk_texts(F.col("section")), "\n")

@@ -14,12 +14,14 @@ from pyspark.sql.streaming import DataStreamWriter
 from patchwell.functions.paths import gates
 from patchwell.functions.text import trim
 from patchwell.operators import diff, findings, history, locate, merge, prompts, report, scoring
+from patchwell.operators.ordered import ordinal_within
 from patchwell.plans.review import (
     ReviewInputs,
     review_files,
     review_findings,
     review_rows,
     review_tables,
+    store_sections,
 )
 from patchwell.settings import ReviewSettings
 from patchwell.sources import derived
@@ -485,6 +487,32 @@ def ai_review_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review_rows(inputs(spark, sf_dir, answers=True), SETTINGS)
 
 
+# --- files of any size --------------------------------------------------------
+
+
+def _split_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The merge variant's diffs as files, read back section by section."""
+    folder = f"{scratch_folder(spark)}/diffs-{uuid.uuid4().hex}"
+    diffs = derived.merge_raw_diffs(spark, sf_dir)
+    diffs.write.partitionBy("repo", "review_id", "channel").text(f"{folder}/files")
+    return store_sections(spark, f"{folder}/files", f"{folder}/sections", "all")
+
+
+@query
+def split_diff_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changed files of diffs that were read from files, a row for each section."""
+    files = merge.changed_files(_split_files(spark, sf_dir), derived.snapshots(spark, sf_dir))
+    placed = ordinal_within(files, ["review_id"], F.col("file_ord"), [], "place")
+    return placed.select("review_id", "path", "place", "status", "additions", "deletions")
+
+
+@query
+def split_diff_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of the same files."""
+    given = replace(inputs(spark, sf_dir), raw_diffs=_split_files(spark, sf_dir))
+    return review_findings(given, SETTINGS).select(*FINDING)
+
+
 # --- streams ------------------------------------------------------------------
 
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from patchwell.operators.diff import name_sections
 from patchwell.operators.findings import (
     number_findings,
     reviewed_findings,
@@ -26,14 +27,17 @@ from patchwell.operators.scoring import (
     severity_tallies,
 )
 from patchwell.settings import DEFAULTS, ReviewSettings
-from patchwell.sources.tables import stored, write_findings, write_history
+from patchwell.sources.tables import SECTIONS, read_diff_sections, stored, write_findings, write_history
+
+SECTION_COLUMNS = [c.split()[0] for c in SECTIONS.split(", ")]
 
 
 @dataclass(frozen=True)
 class ReviewInputs:
     """Tables one review job reads.
 
-    ``raw_diffs`` has one row per (review_id, channel), ``snapshots`` one per
+    ``raw_diffs`` has one row per (review_id, channel), or one per section as
+    ``store_sections`` leaves them; ``snapshots`` has one per
     (review_id, path, origin), ``reviews`` one per review, also for those without
     changes. ``responses`` and ``contents`` are only needed for answers of an
     assistant.
@@ -134,6 +138,12 @@ def run_review(
     }
 
 
+def store_sections(spark: SparkSession, diff_files: str, out: str, run_id: str) -> DataFrame:
+    """Diff files of any size as a stored table of named sections, which takes the place of
+    ``raw_diffs`` everywhere: the files are split and their sections named once."""
+    return stored(name_sections(read_diff_sections(spark, diff_files)).select(*SECTION_COLUMNS), out, run_id)
+
+
 def _reject_shared_ids(reviews: DataFrame) -> None:
     """Reviews are told apart by their id alone, so no two repositories may share one."""
     shared = reviews.groupBy("review_id").agg(F.min("repo").alias("a"), F.max("repo").alias("b"))

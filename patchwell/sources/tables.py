@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from patchwell.functions.fixed_values import WHITE_SPACE
+
 RAW_DIFFS = "repo string, review_id string, channel string, raw_diff string"
 SNAPSHOTS = (
     "repo string, review_id string, path string, content string, origin string, file_seq bigint"
@@ -45,20 +47,75 @@ def read_diff_texts(spark: SparkSession, path: str) -> DataFrame:
 
     Reviews of two repositories may have the same name, so the id is both names.
     """
-    texts = spark.read.text(path, wholetext=True).select(
-        F.col("value").alias("raw_diff"),
-        F.split(F.col("_metadata.file_path"), "/").alias("parts"),
-    )
+    texts = spark.read.text(path, wholetext=True)
+    return texts.select(*_diff_keys(texts), F.col("value").alias("raw_diff"))
+
+
+#: where one section of a diff ends and the next begins
+SECTION_START = "diff --git "
+SECTIONS = (
+    "repo string, review_id string, channel string, section_seq bigint, path string, status string,"
+    " section string"
+)
 
-    def from_end(i: int):
-        return F.url_decode(F.element_at("parts", -i))
 
-    return texts.select(
+def read_diff_sections(spark: SparkSession, path: str) -> DataFrame:
+    """Sections of diff files of any size: ``SECTIONS`` without path and status.
+
+    Spark cuts files into splits and records at section starts, so one diff file spreads over
+    tasks and no row holds more than a section. ``section_seq`` orders the sections of a file: the
+    start of the split plus the place in it. (A split of full size has a task of its own, so places
+    never reach the next split's start; only a file's last split shares a task.)
+
+    What trimming the whole text does to its first and last section needs to know which these are.
+    Only sections that end in white space, or do not look like sections, can be concerned; these
+    alone are joined with the ends of their files, all others pass without a shuffle. Text before
+    the first section whose first line reads like the rest of a section's (``a/x b/x``) counts as
+    a section.
+
+    Files lie as ``<repo>/<review>/<channel>.diff``, or in folders that name ``repo``,
+    ``review_id`` and ``channel`` as Spark partitions them."""
+    texts = spark.read.option("lineSep", "\n" + SECTION_START).text(path)
+    records = texts.select(
+        *_diff_keys(texts),
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("id"),
+    ).withColumn("section_seq", F.col("start") + F.col("id").bitwiseAND((1 << 33) - 1))
+    value = F.col("value")
+    in_front = (F.col("start") == 0) & value.startswith(SECTION_START)
+    may_be_preface = (F.col("start") == 0) & ~in_front & ~value.rlike(r'\A"?a/[^\n]* "?b/')
+    may_be_trimmed = F.rtrim(value, F.lit(WHITE_SPACE)) != value
+    concerned = may_be_preface | may_be_trimmed
+    columns = ["repo", "review_id", "channel", "section_seq"]
+    complete = F.when(in_front, value).otherwise(F.concat(F.lit(SECTION_START), value))
+    untouched = records.where(~concerned).select(*columns, complete.alias("section"))
+
+    ends = records.groupBy("file").agg(F.min("section_seq").alias("first"), F.max("section_seq").alias("last"))
+    edges = records.where(concerned).join(ends, "file")
+    is_first, is_last = (F.col("section_seq") == F.col(c) for c in ("first", "last"))
+    begun = F.when(is_first, F.ltrim(value, F.lit(WHITE_SPACE))).otherwise(F.concat(F.lit(SECTION_START), value))
+    edges = edges.withColumn("_begun", begun)
+    ended = F.when(is_last, F.rtrim("_begun", F.lit(WHITE_SPACE))).otherwise(F.col("_begun"))
+    edges = edges.select(*columns, ended.alias("section")).where("section <> ''")
+    return untouched.unionByName(edges)
+
+
+def _diff_keys(texts: DataFrame) -> list[Column]:
+    """Repository, review and channel of a diff file, from its folders."""
+    if {"repo", "review_id", "channel"} <= set(texts.columns):
+        return [F.col(c).cast("string").alias(c) for c in ("repo", "review_id", "channel")]
+    parts = F.split(F.col("_metadata.file_path"), "/")
+
+    def from_end(i: int) -> Column:
+        return F.url_decode(F.element_at(parts, -i))
+
+    return [
         from_end(3).alias("repo"),
         F.concat(from_end(3), F.lit("/"), from_end(2)).alias("review_id"),
         F.regexp_replace(from_end(1), r"\.diff$", "").alias("channel"),
-        "raw_diff",
-    )
+    ]
 
 
 def stored(df: DataFrame, path: str, run_id: str, partition: str | None = None) -> DataFrame:
