@@ -417,6 +417,10 @@ BODIES["streamed_findings"] = "\nUNION ALL ".join(
     f" FROM arrived_{name} a JOIN docs d ON a.path = d.path"
     for name in ARRIVED
 )
+BODIES["arriving_file_findings"] = "\nUNION ALL ".join(
+    f"SELECT review_id, path, CAST(line AS BIGINT) AS line, severity, rule, message FROM arrived_{name}"
+    for name in ARRIVED
+)
 
 
 def oracle_sql() -> dict[str, str]:

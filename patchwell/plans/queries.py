@@ -27,6 +27,7 @@ from patchwell.settings import ReviewSettings
 from patchwell.sources import derived
 from patchwell.sources.tables import scratch_folder
 from patchwell.streaming import arrivals, running
+from patchwell.streaming import files as incoming
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -548,6 +549,23 @@ def streamed_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("review_id", "path", "line", "severity", "rule", "message")
 
 
+@query
+def arriving_file_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of a folder into which every diff was put, some of them again later."""
+    folder = _stream_folder(spark)
+    files = f"{folder}/files"
+    diffs = derived.raw_diffs(spark, sf_dir).repartition("repo", "review_id", "channel")
+
+    def arrive(some: DataFrame) -> None:
+        some.write.partitionBy("repo", "review_id", "channel").mode("append").text(files)
+        _run(incoming.scan_files(spark, files, f"{folder}/out", f"{folder}/state", SETTINGS, "1 day"))
+
+    arrive(diffs.where("channel = 'staged'"))
+    arrive(diffs.where("channel = 'unstaged'").unionByName(diffs.where("channel = 'staged' AND review_id LIKE '%0'")))
+    found = findings.scanned_findings(arrivals.read_scan(spark, f"{folder}/out"))
+    return found.select("review_id", "path", "line", "severity", "rule", "message")
+
+
 @query
 def streamed_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Streaks and recency in a history that arrived as a stream, every fifth review twice."""

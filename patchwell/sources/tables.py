@@ -59,7 +59,7 @@ SECTIONS = (
 )
 
 
-def read_diff_sections(spark: SparkSession, path: str) -> DataFrame:
+def read_diff_sections(spark: SparkSession, path: str | list[str], base: str | None = None) -> DataFrame:
     """Sections of diff files of any size: ``SECTIONS`` without path and status.
 
     Spark cuts files into splits and records at section starts, so one diff file spreads over
@@ -74,8 +74,10 @@ def read_diff_sections(spark: SparkSession, path: str) -> DataFrame:
     a section.
 
     Files lie as ``<repo>/<review>/<channel>.diff``, or in folders that name ``repo``,
-    ``review_id`` and ``channel`` as Spark partitions them."""
-    texts = spark.read.option("lineSep", "\n" + SECTION_START).text(path)
+    ``review_id`` and ``channel`` as Spark partitions them; ``base`` is the folder above those,
+    needed where ``path`` lists single files."""
+    reader = spark.read.option("lineSep", "\n" + SECTION_START)
+    texts = (reader if base is None else reader.option("basePath", base)).text(path)
     records = texts.select(
         *_diff_keys(texts),
         "value",

@@ -46,13 +46,29 @@ def appended(
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
 
 
+def once(stream: DataFrame, kept_for: str | None, keys: tuple[str, ...] = ARRIVAL) -> DataFrame:
+    """Rows whose keys have not arrived before: within ``kept_for`` of their arrival, after which
+    the state forgets them, or ever if that is null.
+
+    Time is that of the micro-batch, so that nothing is dropped for being late."""
+    if kept_for is None:
+        return stream.dropDuplicates(list(keys))
+    timed = stream.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", kept_for)
+    return timed.dropDuplicatesWithinWatermark(list(keys)).drop("_arrived")
+
+
 def scan_arrivals(
-    raw_diffs: DataFrame, out: str, checkpoint: str, settings: ReviewSettings = DEFAULTS
+    raw_diffs: DataFrame,
+    out: str,
+    checkpoint: str,
+    settings: ReviewSettings = DEFAULTS,
+    kept_for: str | None = None,
 ) -> DataStreamWriter:
     """Append the scan (sections and findings) of every new diff to ``out``.
 
     A diff that arrives again is skipped: the stream's state keeps the keys it has
-    seen, so a batch costs what it brings. Files, scores, reports and fixes are the
+    seen, for ``kept_for`` if that is given, so a batch costs what it brings. For diffs
+    that arrive as files ``files.scan_files`` keeps texts out of the state's shuffle. Files, scores, reports and fixes are the
     batch operators on ``read_scan``.
     """
 
@@ -60,7 +76,7 @@ def scan_arrivals(
         none = batch.sparkSession.createDataFrame([], SNAPSHOTS)
         scan(batch, none, settings).write.mode("overwrite").parquet(batch_folder(batch, out, batch_id))
 
-    return appended(raw_diffs.dropDuplicates(list(ARRIVAL)), checkpoint, write)
+    return appended(once(raw_diffs, kept_for), checkpoint, write)
 
 
 def read_scan(spark: SparkSession, out: str) -> DataFrame:
@@ -68,14 +84,17 @@ def read_scan(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.parquet(out).drop("query_id", "batch_id")
 
 
-def append_history(reviews: DataFrame, out: str, checkpoint: str) -> DataStreamWriter:
-    """Append arriving review rows to the history; trends are derived on read."""
+def append_history(
+    reviews: DataFrame, out: str, checkpoint: str, kept_for: str | None = None
+) -> DataStreamWriter:
+    """Append arriving review rows to the history; trends are derived on read. A review that
+    arrives again (within ``kept_for``, if given) is skipped."""
     columns = [c.split()[0] for c in HISTORY.split(", ")]
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(batch_folder(batch, out, batch_id))
 
-    return appended(reviews.select(*columns).dropDuplicates(["review_id"]), checkpoint, write)
+    return appended(once(reviews.select(*columns), kept_for, ("review_id",)), checkpoint, write)
 
 
 def read_history(spark: SparkSession, out: str) -> DataFrame:
