@@ -322,6 +322,20 @@ LEFT JOIN (SELECT repo, count(*) AS reviews, arg_max(score, (ts, review_id)) AS
   FROM history GROUP BY repo) h ON r.repo = h.repo
 LEFT JOIN streaks s ON r.repo = s.repo LEFT JOIN tops t ON r.repo = t.repo"""
 
+BODIES["published_findings"] = BODIES["all_findings"]
+BODIES["published_summary"] = f"""
+SELECT s.repo, reviews, last_score, streak, score_change, most_common_analyzer, top_hits
+FROM ({BODIES['history_summary']}) s LEFT JOIN (
+  SELECT h.repo, CAST(arg_max(d.score_change, (h.ts, h.review_id)) AS BIGINT) AS score_change
+  FROM history h JOIN ({BODIES['score_delta']}) d ON h.repo = d.repo AND h.review_id = d.review_id
+  WHERE d.score_change IS NOT NULL
+  GROUP BY h.repo) c ON s.repo = c.repo"""
+BODIES["published_trends"] = f"""
+SELECT c.repo, c.review_id, c.score, c.streak, d.score_change
+FROM ({BODIES['clean_streak']}) c
+JOIN ({BODIES['score_delta']}) d ON c.repo = d.repo AND c.review_id = d.review_id
+JOIN history h ON c.repo = h.repo AND c.review_id = h.review_id
+WHERE h.ts >= DATE '2024-01-16'"""
 BODIES["split_diff_files"] = f"""
 SELECT review_id, path, CAST(row_number() OVER (PARTITION BY review_id ORDER BY file_ord) AS BIGINT) AS place,
   status, additions, deletions

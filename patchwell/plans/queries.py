@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -13,8 +14,9 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from patchwell.functions.paths import gates
 from patchwell.functions.text import trim
-from patchwell.operators import diff, findings, history, locate, merge, prompts, report, scoring
+from patchwell.operators import diff, findings, history, locate, merge, prompts, report, scoring, summaries
 from patchwell.operators.ordered import ordinal_within
+from patchwell.plans import publish
 from patchwell.plans.review import (
     ReviewInputs,
     review_files,
@@ -25,7 +27,8 @@ from patchwell.plans.review import (
 )
 from patchwell.settings import ReviewSettings
 from patchwell.sources import derived
-from patchwell.sources.tables import scratch_folder
+from patchwell.sources.published import read_published
+from patchwell.sources.tables import RULE_HITS, scratch_folder
 from patchwell.streaming import arrivals, running
 from patchwell.streaming import files as incoming
 
@@ -488,6 +491,56 @@ def ai_review_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review_rows(inputs(spark, sf_dir, answers=True), SETTINGS)
 
 
+# --- published tables ---------------------------------------------------------
+
+
+def _published(spark: SparkSession, sf_dir: str) -> str:
+    """The events' history in two runs that share all days, the first of them repeated."""
+    out = f"{scratch_folder(spark)}/published-{uuid.uuid4().hex}"
+    past, hits = derived.review_history(spark, sf_dir), derived.rule_hits(spark, sf_dir)
+    even = F.col("review_id").cast("bigint") % 2 == 0
+    some = F.col("review_id").cast("bigint") % 3 == 0
+    publish.publish(spark, out, "even", past.where(even & some), hits.where(even & some))
+    publish.publish(spark, out, "odd", past.where(~even), hits.where(~even))
+    publish.publish(spark, out, "even", past.where(even), hits.where(even))
+    return out
+
+
+@query
+def published_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """State of every repository from the summaries of days alone."""
+    out = _published(spark, sf_dir)
+    repos = derived.review_history(spark, sf_dir).select("repo").unionByName(
+        derived.review_dimension(spark, sf_dir).select("repo")
+    )
+    return summaries.summary(publish.read_days(spark, out), publish.read_day_hits(spark, out), repos)
+
+
+#: a day in the middle of the events
+TREND_DAY = datetime.date(2024, 1, 16)
+
+
+@query
+def published_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streaks and score changes from a day on, by that range and the summaries before it."""
+    traced = publish.trends_since(spark, _published(spark, sf_dir), TREND_DAY)
+    return traced.select("repo", "review_id", "score", "streak", "score_change")
+
+
+@query
+def published_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings as published by a run that was repeated, read back."""
+    out = f"{scratch_folder(spark)}/published-{uuid.uuid4().hex}"
+    given = inputs(spark, sf_dir)
+    rows = review_rows(given, SETTINGS)
+    found = review_findings(given, SETTINGS).join(given.reviews.select("review_id", "ts"), "review_id", "left")
+    none = spark.createDataFrame([], RULE_HITS)
+    for _ in range(2):
+        publish.publish(spark, out, "one", rows, none, found)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.select(*FINDING).schema)
+    return read_published(spark, out, "findings", schema).select(*FINDING)
+
+
 # --- files of any size --------------------------------------------------------
 
 
