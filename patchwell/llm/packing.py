@@ -47,7 +47,9 @@ class WordTokenizer:
     The tokenizer drops white space and lets no token cross it, so a text's ids are those of its
     words, one after the other. A word that is not known yet is split once more into runs of
     small letters and others, which are words too; runs of small letters skip the tokenizer's
-    normalizer, which leaves them as they are. The cache is emptied at ``cache_words``."""
+    normalizer, which leaves them as they are. The cache has two generations of half of
+    ``cache_words`` each: what a batch needs moves to the younger one, and when that is full the
+    older one goes, so frequent words stay and rare ones are forgotten."""
 
     #: White space in the tokenizer's and in Python's eyes; other kinds stay inside a word.
     SPACE = re.compile(r"[ \t\n\r]+")
@@ -58,7 +60,7 @@ class WordTokenizer:
     PLAIN = re.compile(r"[a-zß-öø-ÿ]+")
     RUNS = re.compile(r"[a-zß-öø-ÿ]+|[^a-zß-öø-ÿ]+")
 
-    def __init__(self, path: str, cache_words: int = 500_000) -> None:
+    def __init__(self, path: str, cache_words: int = 600_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
@@ -68,12 +70,16 @@ class WordTokenizer:
         self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.cache_words = cache_words
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.SPACE.split(x) if self.OTHER_SPACE.search(x) else x.split() for x in texts]
-        if len(self.words) > self.cache_words:
-            self.words.clear()
+        if 2 * len(self.words) > self.cache_words:
+            self.older, self.words = self.words, {}
         new = set().union(*split).difference(self.words)
+        known = new.intersection(self.older)
+        self.words.update((word, self.older[word]) for word in known)
+        new -= known
         if new:
             self._learn(new)
         get = self.words.__getitem__
@@ -90,7 +96,9 @@ class WordTokenizer:
                 other.add(word)
         for _, runs in splits:
             for x in runs:
-                if x not in self.words:
+                if x in self.older:
+                    self.words[x] = self.older[x]
+                elif x not in self.words:
                     (plain if self.PLAIN.match(x) else other).add(x)
         for some, tokenizer in ((list(plain), self.bare), (list(other), self.full)):
             for at in range(0, len(some), 10_000):

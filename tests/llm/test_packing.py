@@ -83,3 +83,14 @@ def test_odd_rows_and_groups(docs, odd_rows):
     many = p.pack(made, p.Limits(2048, 2, 2048), group_pieces=3).collect()
     assert {r.sequence_id for r in many} == set(range(1 + max(r.sequence_id for r in many)))
     assert max(sum(x.sequence_id == r.sequence_id for x in many) for r in many) <= 2
+
+
+def test_ids_are_the_same_whatever_the_cache_has_forgotten():
+    path = packing.tokenizer_path()
+    small, large = packing.WordTokenizer(path, cache_words=40), packing.WordTokenizer(path)
+    texts = [" ".join(f"word{i * j % 97} Mixed{j} éa{i}-b" for j in range(30)) for i in range(40)]
+    for text in texts + texts[:5]:
+        assert small.encode([text]) == large.encode([text])
+    want = [large.full.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [list(memoryview(x).cast("I")) for x in large.encode(texts)] == want
+    assert len(small.words) + len(small.older) < 500
