@@ -100,7 +100,11 @@ class WordTokenizer:
                     self.words[x] = self.older[x]
                 elif x not in self.words:
                     (plain if self.PLAIN.match(x) else other).add(x)
-        for some, tokenizer in ((list(plain), self.bare), (list(other), self.full)):
+        # the byte-level form of an ASCII word is the word itself, which the model takes as it is
+        pieces, ascii_words = self.bare.model.tokenize, {x for x in plain if x.isascii()}
+        for word in ascii_words:
+            self.words[word] = array("I", [piece.id for piece in pieces(word)]).tobytes()
+        for some, tokenizer in ((list(plain - ascii_words), self.bare), (list(other), self.full)):
             for at in range(0, len(some), 10_000):
                 part = some[at : at + 10_000]
                 for word, found in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):

@@ -86,8 +86,8 @@ def test_odd_rows_and_groups(docs, odd_rows):
 
 
 def test_ids_are_the_same_whatever_the_cache_has_forgotten():
-    path = packing.tokenizer_path()
-    small, large = packing.WordTokenizer(path, cache_words=40), packing.WordTokenizer(path)
+    path = p.tokenizer_path()
+    small, large = p.WordTokenizer(path, cache_words=40), p.WordTokenizer(path)
     texts = [" ".join(f"word{i * j % 97} Mixed{j} éa{i}-b" for j in range(30)) for i in range(40)]
     for text in texts + texts[:5]:
         assert small.encode([text]) == large.encode([text])
