@@ -26,6 +26,32 @@ def utf8(name: str) -> Column:
     return F.coalesce(F.col(name).cast("binary"), F.lit(bytearray(b"")))
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark parses it, whatever it is made of."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def given_columns(df: DataFrame) -> list[Column]:
+    return [F.col(quoted(c)) for c in df.columns]
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def row_key(*columns: str) -> Column:
+    """A digest that rows share if they agree in all of these columns; null is not empty."""
+    parts = []
+    for c in columns:
+        text = F.col(quoted(c)).cast("string")
+        parts.append(F.coalesce(F.concat(F.octet_length(text).cast("string"), F.lit(":"), text), F.lit("-")))
+    return F.md5(F.concat(*parts))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table. Local Python workers get to know where this package lies."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

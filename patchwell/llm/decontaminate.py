@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from patchwell.llm.common import make_room, mix, spread, utf8
+from patchwell.llm.common import given_columns, make_room, mix, spread, utf8
 
 WINDOW = 13
 #: Text bytes of test items that one broadcast set may hold; more are scanned in several passes.
@@ -147,8 +148,9 @@ def _scan_pass(docs: DataFrame, items: list[tuple[str, bytes]], window: int) ->
             columns = [pa.array(x, f.type) for x, f in zip(zip(*rows), schema)] if rows else [pa.array([], f.type) for f in schema]
             yield pa.RecordBatch.from_arrays([*kept.columns, *columns], [*kept.schema.names, *schema.names])
 
-    given = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.withColumn("_utf8", utf8("text")).mapInArrow(run, f"{given}, {HITS}")
+    more = T.StructType.fromDDL(HITS).fields
+    result = T.StructType([T.StructField(f.name, f.dataType) for f in [*docs.schema, *more]])
+    return docs.withColumn("_utf8", utf8("text")).mapInArrow(run, result)
 
 
 def _groups(texts: list[bytes]) -> Iterator[list[bytes]]:
@@ -221,9 +223,9 @@ def _merged(found: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*kept.columns, *columns], [*kept.schema.names, "n_hit", "items", "spans"])
 
     keep = [f for f in found.schema if not f.name.startswith("_before_") and f.name not in ("n_hit", "items", "spans")]
-    given = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep)
-    schema = f"{given}, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
-    return found.withColumn("_utf8", utf8("text")).mapInArrow(run, schema)
+    more = [f for f in T.StructType.fromDDL(HITS) if f.name != "n_words"]
+    result = T.StructType([T.StructField(f.name, f.dataType) for f in [*keep, *more]])
+    return found.withColumn("_utf8", utf8("text")).mapInArrow(run, result)
 
 
 def _merge_row(row: dict) -> tuple[int, list[str], list[dict[str, int]]]:
@@ -261,7 +263,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     are cut out of their texts and every document stays. Columns as given."""
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove must be documents or spans, not {remove}")
-    found = scan(docs.select(F.struct(*docs.columns).alias("doc"), "text"), benchmark)
+    found = scan(docs.select(F.struct(*given_columns(docs)).alias("doc"), "text"), benchmark)
     if remove == "documents":
         return found.where(~contaminated()).select("doc.*")
 

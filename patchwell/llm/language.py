@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from patchwell.llm.common import make_room, utf8, written
+from patchwell.llm.common import free_name, given_columns, make_room, row_key, utf8, written
 
 GRAM = 4
 BUCKET_BITS = 15
@@ -296,12 +296,16 @@ def documents_languages(docs: DataFrame) -> DataFrame:
 
 
 def keep_recognised(docs: DataFrame) -> DataFrame:
-    """Documents whose language is recognised; columns and rows as given.
-
-    The rejected ids are few and go to an anti join by id; a document without an id goes if it has
-    no grams."""
-    found = documents_languages(docs)
-    rejected = written(found.where("not recognised and doc_id is not null").select("doc_id").distinct(), "rejected")
-    kept = docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
-    letters = F.coalesce(F.regexp_like(F.col("text"), F.lit(r"\S")), F.lit(False))
-    return kept.where(F.col("doc_id").isNotNull() | letters)
+    """Rows whose language is recognised; columns and rows as given.
+
+    Each row is judged by itself, whatever other rows have its id: rows that agree in id, text,
+    language and source share a verdict. The digests of rejected rows are few and go to an anti
+    join. Null and empty texts are not recognised."""
+    key = free_name(docs, "_row")
+    keyed = docs.withColumn(key, row_key("doc_id", "text", "lang", "source"))
+    source, lang = F.col("source").cast("string"), F.col("lang").cast("string")
+    none = F.lit(None).cast("string")
+    rows = keyed.select(F.col(key).alias("row"), "text", lang.alias("declared"), source.alias("host"), none.alias("suffix"))
+    found = identify(rows, "row")
+    rejected = written(found.where("not recognised").select(F.col("row").alias(key)).distinct(), "rejected")
+    return keyed.join(rejected, key, "left_anti").select(*given_columns(docs))

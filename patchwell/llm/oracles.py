@@ -254,3 +254,19 @@ def oracle_sql() -> dict[str, str]:
         "op11_prefix_trie": PREFIX_TRIE,
         "op12_secret_scan": secret_scan(),
     }
+
+
+#: What SQL cannot express, or not over whole tables, and the test that holds it against a plain
+#: version, an exact round trip or held-out accuracy.
+WITHOUT_SQL = {
+    "op2_lm_scoring": "test_lm_scoring",
+    "op3_simhash": "test_simhash",
+    "op4_language_id": "test_language",
+    "op4_page_language_id": "test_language",
+    "op5_html_extraction": "test_html_extract",
+    "op6_nearest_neighbours": "test_ann",
+    "op7_suffix_dedup": "test_suffix_dedup",
+    "op9_packing": "test_packing",
+    "op10_sharding": "test_sharding",
+    "op13_embedding_whitening": "test_whitening",
+}

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patchwell.llm.common import make_room, mix, utf8, written
+from patchwell.llm.common import free_name, given_columns, make_room, mix, row_key, utf8, written
 from patchwell.llm.components import components
 
 BITS = 64
@@ -49,18 +49,21 @@ def fingerprint(text: bytes, size: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp``: the fingerprint as a signed long."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+def fingerprints(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """``doc_id, fp``: the fingerprint as a signed long; and the column ``key``, a string, as ``row``."""
+    more = [] if key is None else [("row", pa.string())]
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), *more])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make_room()
         for batch in batches:
             found = np.array([fingerprint(x.as_py()) for x in batch.column("text")], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], schema=schema)
+            own = [batch.column(name).cast(pa.string()) for name, _ in more]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found), *own], schema=schema)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    carried = [] if key is None else [F.col(key).alias("row")]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text"), *carried)
+    return rows.mapInArrow(run, "doc_id long, fp long" + (", row string" if more else ""))
 
 
 # --- the trie join of one group -------------------------------------------------------------
@@ -207,6 +210,13 @@ def links(distinct: DataFrame, budget: int = BUDGET, group_rows: int = GROUP_ROW
     return last if found is None else found.union(last)
 
 
+def _classes(prints: DataFrame, budget: int) -> DataFrame:
+    """``fp, root, least``: the component of each fingerprint and its own smallest ``doc_id``."""
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    roots = components(links(nodes.select("fp"), budget))
+    return nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     """``doc_id, fingerprint, component_id`` for every document.
 
@@ -216,9 +226,7 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     has a null id; repeated rows each get their row; an empty table gives none; other columns
     are ignored."""
     prints = written(fingerprints(docs), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(nodes.select("fp"), budget))
-    named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = _classes(prints, budget)
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = written(named.select("fp", "root").join(least, "root").select("fp", "component_id"), "classes")
     return prints.join(classes, "fp").select(
@@ -227,8 +235,26 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """One document of each component, that with the smallest id; rows without an id stay."""
-    classes = near_duplicates(docs, budget)
-    others = classes.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(written(others, "others"), "doc_id", "left_anti")
-    return kept.select(*docs.columns)
+    """One row of each component; columns as given.
+
+    Rows are told apart by id and text, not by id alone. The row with the smallest id stays (rows
+    without one come last, equal ids go by a digest of the text), and of rows that agree in both
+    any one. Texts meet an anti join with the digests of the rows that go; only rows that occur
+    more than once and stay are grouped."""
+    key = free_name(docs, "_row")
+    keyed = docs.withColumn(key, row_key("doc_id", "text"))
+    prints = written(fingerprints(keyed, key), "fingerprints")
+    roots = written(_classes(prints, budget).select("fp", "root"), "roots")
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    members = prints.groupBy("fp", "row").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("times"))
+    members = members.join(roots, "fp")
+    first = members.groupBy("root").agg(F.min(place)["row"].alias("_first"))
+    placed = written(members.join(first, "root").select(F.col("row").alias(key), "times", (F.col("row") == F.col("_first")).alias("_stays")), "members")
+    aside = placed.where("not _stays or times > 1").select(key)
+    columns = given_columns(docs)
+    kept = keyed.join(aside, key, "left_anti").select(*columns)
+    repeated = placed.where("_stays and times > 1").select(key)
+    if repeated.isEmpty():
+        return kept
+    once = keyed.join(repeated, key, "left_semi").dropDuplicates([key]).select(*columns)
+    return kept.union(once)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from patchwell.llm.common import BLOCK_BYTES, block_count, block_of, make_room, mix, spread, utf8
+from patchwell.llm.common import BLOCK_BYTES, block_count, block_of, make_room, mix, quoted, spread, utf8
 
 LENGTH = 200
 #: Window starts whose anchors are computed at once.
@@ -439,14 +439,17 @@ def _kept(text: bytes, starts: np.ndarray, ends: np.ndarray) -> bytes:
     return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
 
 
-def _repeats(docs: DataFrame, length: int, array_bytes: int, block_bytes: int, build: Callable, schema: str) -> DataFrame:
+def _repeats(docs: DataFrame, length: int, array_bytes: int, block_bytes: int, build: Callable, schema: str | T.StructType) -> DataFrame:
     """Runs the six steps over packed rows; ``build`` makes the result of a block.
 
     The documents are dealt to blocks once: the three steps that read them share that exchange."""
     docs = docs.select(
         F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"),
         utf8("text").alias("_utf8"),
-        F.struct(*(c for c in docs.columns if c != "text"), F.col("text").isNull().alias("_null")).alias("_row"),
+        F.struct(
+            *(F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(x for x in docs.columns if x != "text")),
+            F.col("text").isNull().alias("null"),
+        ).alias("_row"),
     )
     blocks = block_count(docs, "_utf8", block_bytes)
     ranges, shards = max(1, blocks // 4), blocks * 4
@@ -497,7 +500,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, array_bytes: int = ARRAY_BYTE
     )
 
     def build(docs: pa.Table, cut: list) -> pa.Table:
-        ids = docs.column("_row").combine_chunks().field("doc_id").to_pylist()
+        ids = docs.column("_row").combine_chunks().field("c0").to_pylist()
         rows = []
         for row, text, starts, ends in cut:
             kept = _kept(text, starts, ends)
@@ -523,8 +526,10 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, array_bytes: int = AR
         return pa.table({"_row": row, "_kept": pa.array(texts, pa.string())})
 
     others = [f for f in docs.schema if f.name != "text"]
-    row = T.StructType([*others, T.StructField("_null", T.BooleanType())]).simpleString()
-    kept = _repeats(docs, length, array_bytes, block_bytes, build, f"_row {row}, _kept string")
-    columns = {f.name: F.col("_row").getField(f.name) for f in others}
-    columns["text"] = F.when(~F.col("_row._null"), F.col("_kept"))
+    inner = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(others)]
+    row = T.StructType([*inner, T.StructField("null", T.BooleanType())])
+    schema = T.StructType([T.StructField("_row", row), T.StructField("_kept", T.StringType())])
+    kept = _repeats(docs, length, array_bytes, block_bytes, build, schema)
+    columns = {f.name: F.col("_row").getField(f"c{i}") for i, f in enumerate(others)}
+    columns["text"] = F.when(~F.col("_row").getField("null"), F.col("_kept"))
     return kept.select(*(columns[c].alias(c) for c in docs.columns))

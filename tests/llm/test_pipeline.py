@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as pipeline
 from patchwell.llm.common import table
 from tests.llm import brute
@@ -39,3 +41,45 @@ def test_run_is_its_stages(spark):
     rows = pipeline.run(spark, SF)
     assert {"doc_id", "sequence_id", "offset", "length"} <= set(rows.columns)
     assert rows.count() > 0
+
+
+ENGLISH = "The people of the town have built a house of stone near the river and they live in it with their children."
+OTHER = "When the winter comes they carry wood and water from the forest and the lake, for the nights are long and cold."
+
+
+def stage(spark, docs, name):
+    return dict(pipeline.STAGES)[name](spark, docs, SF)
+
+
+def made(frame, rows):
+    docs = frame([(k, t, "en", "s", len(t or "")) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    names = ("crawl-date", "a b", "x.y", "_null", "_row", "c0", "row", "doc", "n_hit", "items", "quo`te")
+    return docs.withColumns({c: F.lit(c) for c in names})
+
+
+def test_rows_decide_about_language(spark, frame):
+    docs = made(frame, [(1, ENGLISH), (1, ""), (None, OTHER), (None, None), (2, OTHER), (2, OTHER)])
+    kept = stage(spark, docs, "language")
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    assert got == sorted([(1, ENGLISH), (None, OTHER), (2, OTHER), (2, OTHER)], key=repr)
+
+
+def test_one_row_of_each_group_stays(spark, frame):
+    rows = [(5, OTHER), (5, ENGLISH), (3, ENGLISH), (3, ENGLISH), (None, ENGLISH), (None, OTHER + " Or so."), (None, OTHER + " Or so.")]
+    docs = made(frame, rows)
+    kept = stage(spark, docs, "near_duplicates")
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    assert got == sorted([(5, OTHER), (3, ENGLISH), (None, OTHER + " Or so.")], key=repr)
+
+
+def test_any_columns_and_empty_tables(spark, frame):
+    rows = [(1, ENGLISH), (None, None), (2, ENGLISH + OTHER), (3, ""), (3, OTHER * 3)]
+    for given in (rows, []):
+        docs = made(frame, given)
+        for name, _ in pipeline.STAGES[:-1]:
+            kept = stage(spark, docs, name)
+            assert kept.columns == docs.columns and kept.dtypes == docs.dtypes
+            assert kept.count() <= len(given) and (name == "near_duplicates" or not given or kept.count() > 0)
+        assert stage(spark, docs, "packing").count() >= len(given)
