@@ -1,7 +1,9 @@
 """Cleaning a corpus: language, near duplicates, repeated passages, benchmark passages, packing.
 
 Each stage works on what the one before kept, and its result is stored as Parquet in the
-shared folder before the next one reads it.
+shared folder before the next one reads it. Rows decide, not ids: of rows that share an id each
+has its own verdict, rows without an id are rows like others, columns of any name are kept, null
+texts are empty, and an empty table stays one.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patchwell.llm import decontaminate, language, packing, simhash, suffix_dedup
-from patchwell.llm.common import table, written
+from patchwell.llm.common import given_columns, table, written
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +33,7 @@ def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     if "n_chars" in docs.columns:
         n_chars = F.length("text").cast(docs.schema["n_chars"].dataType)
         kept = kept.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(n_chars))
-    return kept.select(*docs.columns)
+    return kept.select(*given_columns(docs))
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
