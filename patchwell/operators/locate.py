@@ -1,11 +1,13 @@
 """Where findings are shown, and the edits proposed for them.
 
-All windows here are over the findings of one file or one line, which come from
-one diff text each.
+Proximity groups are joined in spans of lines, so no task holds a file; the one window
+here is over the findings of one line.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from patchwell.operators.findings import FINDING_ORDER
 from patchwell.settings import DEFAULTS, ReviewSettings
 
 FILE = ("review_id", "path")
+#: logarithms of the lines whose proximity groups are joined together, from step to step
+SPAN_BITS = (10, 20, 30)
 
 
 def _zero_based(line: Column) -> Column:
@@ -41,27 +45,76 @@ def proximity_groups(found: DataFrame, settings: ReviewSettings = DEFAULTS) -> D
     """Findings of a file whose lines are close together, with severity split.
 
     ``line_count`` counts distinct lines, ``errors`` counts findings; their
-    difference is what is shown as warnings and may be negative.
+    difference is what is shown as warnings and may be negative. A finding without a
+    line is a group by itself.
+
+    Groups are built inside spans of 1,024 lines first. One that no line of a neighbouring
+    span can reach is complete; the others are joined in spans of 1,024 spans, and so on.
+    What is left after the largest span is joined by file: at most two groups for each 2^30
+    lines, whatever the file holds.
     """
-    by_line = Window.partitionBy(*FILE).orderBy("line")
-    previous = F.lag("line").over(by_line)
-    stepped = found.select(
+    is_error = F.count_if(F.col("severity") == "error")
+    lines = found.groupBy(*FILE, "line").agg(F.count(F.lit(1)).alias("n"), is_error.alias("errors"))
+    rest = lines.select(
         *FILE,
-        "line",
-        (F.col("severity") == "error").alias("is_error"),
-        previous.alias("previous"),
+        F.struct(
+            F.col("line").alias("start_line"),
+            F.col("line").alias("end_line"),
+            # findings without a line are taken apart at the end
+            F.when(F.col("line").isNull(), F.col("n")).otherwise(1).alias("line_count"),
+            "errors",
+        ).alias("g"),
     )
-    opens = F.col("previous").isNull() | (F.col("line") - F.col("previous") > settings.group_gap)
-    running = by_line.rowsBetween(Window.unboundedPreceding, 0)
-    grouped = stepped.withColumn("group_no", F.sum(opens.cast("bigint")).over(running))
-    is_new = F.col("previous").isNull() | (F.col("line") != F.col("previous"))
-    groups = grouped.groupBy(*FILE, "group_no").agg(
-        F.min("line").alias("start_line"),
-        F.max("line").alias("end_line"),
-        F.count_if(is_new).alias("line_count"),
-        F.count_if("is_error").alias("errors"),
+    done = []
+    for bits in SPAN_BITS:
+        joined = _joined_groups(rest, settings.group_gap, bits)
+        at_edge = _reaches_out(settings.group_gap, bits)
+        done.append(joined.filter(~at_edge).select(*FILE, "g"))
+        rest = joined.filter(at_edge).select(*FILE, "g")
+    done.append(_joined_groups(rest, settings.group_gap, None).select(*FILE, "g"))
+    groups = reduce(DataFrame.union, done).select(*FILE, "g.*")
+    unplaced, one = F.col("start_line").isNull(), F.lit(1).cast("bigint")
+    parts = F.when(unplaced, F.sequence(one, F.col("line_count"))).otherwise(F.array(one))
+    own_error = (F.col("part") <= F.col("errors")).cast("bigint")
+    each = groups.withColumn("part", F.explode(parts)).withColumns(
+        {
+            "line_count": F.when(unplaced, one).otherwise(F.col("line_count")),
+            "errors": F.when(unplaced, own_error).otherwise(F.col("errors")),
+        }
     )
-    return groups.drop("group_no").withColumn("warnings", F.col("line_count") - F.col("errors"))
+    return each.drop("part").withColumn("warnings", F.col("line_count") - F.col("errors"))
+
+
+def _joined_groups(groups: DataFrame, gap: int, bits: int | None) -> DataFrame:
+    """Groups of a file joined with those that start within ``gap`` lines of their end, among the
+    groups of one span of lines (of the whole file if None). A group lies within one span."""
+    keys = [*FILE] if bits is None else [*FILE, F.shiftright("g.start_line", bits).alias("span")]
+    ordered = groups.groupBy(*keys).agg(F.array_sort(F.collect_list("g")).alias("gs"))
+
+    def join(done: Column, g: Column) -> Column:
+        last = F.element_at(done, -1)
+        both = F.struct(
+            last["start_line"].alias("start_line"),
+            g["end_line"].alias("end_line"),
+            (last["line_count"] + g["line_count"]).alias("line_count"),
+            (last["errors"] + g["errors"]).alias("errors"),
+        )
+        near = g["start_line"] - last["end_line"] <= gap
+        return F.when(near, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(both))).otherwise(
+            F.concat(done, F.array(g))
+        )
+
+    rest = F.slice("gs", F.lit(2), F.size("gs"))
+    joined = F.aggregate(rest, F.slice("gs", 1, 1), join)
+    return ordered.select(*FILE, F.explode(joined).alias("g"))
+
+
+def _reaches_out(gap: int, bits: int) -> Column:
+    """Whether a line outside the group's span could be near it; false without a line."""
+    last = F.lit((1 << bits) - 1).cast("bigint")
+    below = F.col("g.start_line").bitwiseAND(last)  # lines of the span before it
+    above = last - F.col("g.end_line").bitwiseAND(last)
+    return F.coalesce((below < gap) | (above < gap), F.lit(False))
 
 
 def fix_candidates(found: DataFrame) -> DataFrame:

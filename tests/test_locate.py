@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+import random
+import re
 
 from pyspark.sql import functions as F
 
 from patchwell.operators import locate
 from patchwell.operators.findings import FINDING_COLUMNS
+from patchwell.settings import ReviewSettings
 from tests.tables import rows, snapshots
+from tests.test_plans import physical
 
 DEFAULT = {
     "review_id": "r",
@@ -65,6 +69,53 @@ def test_proximity_groups(spark):
     ]
 
 
+def _plain_groups(given, gap):
+    """Groups by walking each file's findings in order of lines."""
+    out = []
+    for path in sorted({g["path"] for g in given}):
+        own = sorted((g for g in given if g["path"] == path and g["line"] is not None), key=lambda g: g["line"])
+        groups = [[g] for g in given if g["path"] == path and g["line"] is None]
+        placed = []
+        for g in own:
+            if placed and g["line"] - placed[-1][-1]["line"] <= gap:
+                placed[-1].append(g)
+            else:
+                placed.append([g])
+        for members in groups + placed:
+            count = 1 if members[0]["line"] is None else len({m["line"] for m in members})
+            errors = sum(m["severity"] == "error" for m in members)
+            out.append((path, members[0]["line"], members[-1]["line"], count, errors, count - errors))
+    return sorted(out, key=repr)
+
+
+def test_groups_across_spans_of_every_size(spark):
+    rng = random.Random(5)
+    given = []
+    for path in ("a", "b", "c", "d"):
+        for bits in (0, 10, 11, 20, 21, 30, 31, 60):
+            for at in (1, -1, 3):
+                given += [{"line": at * (1 << bits) + rng.randint(-9, 9)} for _ in range(6)]
+        given += [{"line": x} for x in range(1, 5000, 5 if path == "a" else 7)]
+        given += [{"line": None}] * 3
+        given = [{"path": path, "severity": rng.choice(["error", "info"]), **g} if "path" not in g else g for g in given]
+    columns = ("path", "start_line", "end_line", "line_count", "errors", "warnings")
+    table = findings(spark, *given)
+    for gap in (0, 1, 5):
+        got = rows(locate.proximity_groups(table, ReviewSettings(group_gap=gap)), *columns)
+        assert got == _plain_groups(given, gap)
+
+
+def test_no_window_over_a_file_and_one_read(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = physical(locate.proximity_groups(findings(spark, {"line": 1})))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert "Window" not in plan
+    # the lines, three sizes of spans, the file; every other branch reuses one of them
+    assert len(re.findall(r"\+- Exchange hashpartitioning\(", plan)) == 5, plan
+
+
 def test_negative_warnings_are_kept(spark):
     table = findings(spark, {"line": 4, "severity": "error"}, {"line": 4, "severity": "error"})
     assert rows(locate.proximity_groups(table), "errors", "warnings") == [(2, -1)]
