@@ -57,6 +57,14 @@ FROM file_class""",
     "type_any_findings": f"SELECT {FINDING} FROM found_any",
     "ts_directive_findings": f"SELECT {FINDING} FROM found_directive",
     "all_findings": f"SELECT {FINDING} FROM found",
+    "added_rule_findings": f"""
+SELECT analyzer || '-' || CAST(row_number() OVER (PARTITION BY review_id
+  ORDER BY file_ord, {ORDER}) AS VARCHAR) AS finding_id, {FINDING}
+FROM found_more""",
+    "added_rule_hits": """
+SELECT d.repo, f.analyzer, CAST(count(*) AS BIGINT) AS hits
+FROM found_more f JOIN review_dim d ON f.review_id = d.review_id
+GROUP BY d.repo, f.analyzer""",
     "finding_ids": f"""
 SELECT review_id, analyzer || '-' || CAST(row_number() OVER (PARTITION BY review_id
   ORDER BY file_ord, {ORDER}) AS VARCHAR) AS finding_id, path, CAST(line AS BIGINT) AS line, rule

@@ -371,13 +371,15 @@ def _finding(
     suggestion: str,
     fix: str | None = None,
     source: str = "checked",
+    place: int | None = None,
 ) -> str:
+    order = fv.ANALYZERS.index(analyzer) if place is None else place
     kind = "'remove-line'" if fix else "CAST(NULL AS VARCHAR)"
     label = fix or "CAST(NULL AS VARCHAR)"
     return f"""
 SELECT review_id, path, file_ord, src_ord, hunk_idx, pos, line_number AS line,
   CAST(NULL AS BIGINT) AS end_line, {severity} AS severity, 'static' AS source,
-  '{analyzer}' AS analyzer, {fv.ANALYZERS.index(analyzer)} AS analyzer_ord, '{rule}' AS rule,
+  '{analyzer}' AS analyzer, {order} AS analyzer_ord, '{rule}' AS rule,
   {message} AS message, {suggestion} AS suggestion, {kind} AS fix_kind, {label} AS fix_label,
   CAST(NULL AS VARCHAR) AS fix_env_key, CAST(NULL AS VARCHAR) AS redacted_text,
   CAST(NULL AS VARCHAR) AS secret_sha256
@@ -641,6 +643,19 @@ STEPS.add(
     "found",
     "\nUNION ALL BY NAME ".join(f"SELECT * FROM {name}" for name in ALL_FOUND),
 )
+STEPS.add(
+    "found_long",
+    _finding(
+        "line-length",
+        "long-line",
+        "is_code AND length(content) > 60",
+        "CASE WHEN length(content) > 120 THEN 'warning' ELSE 'info' END",
+        "CAST(length(content) AS VARCHAR) || ' characters in a line'",
+        "'Break the line.'",
+        place=len(fv.ANALYZERS),
+    ),
+)
+STEPS.add("found_more", "SELECT * FROM found UNION ALL BY NAME SELECT * FROM found_long")
 STEPS.add(
     "responses",
     f"""

@@ -13,7 +13,7 @@ only runs on what is left.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 from pyspark.sql import Column
@@ -85,10 +85,16 @@ class Rule:
     fix_kind: Expr = nothing
     fix_label: Expr = nothing
     fix_env_key: Expr = nothing
+    #: place among a file's findings; None for that of a built-in analyzer
+    place: int | None = None
 
     @property
     def order(self) -> int:
-        return fv.ANALYZERS.index(self.analyzer)
+        return fv.ANALYZERS.index(self.analyzer) if self.place is None else self.place
+
+
+#: findings of an assistant come after those of every rule
+ASSISTANT_ORDER = 1 << 30
 
 
 def _console_rules() -> list[Rule]:
@@ -328,7 +334,27 @@ def line_rules(settings: ReviewSettings) -> list[Rule]:
         (settings.type_any, _type_any_rules),
         (settings.ts_directive, _directive_rules),
     ]
-    return [rule for enabled, make in switches if enabled for rule in make()]
+    own = [rule for enabled, make in switches if enabled for rule in make()]
+    return own + added_rules(settings)
+
+
+def added_rules(settings: ReviewSettings) -> list[Rule]:
+    """The rules a job adds to the built-in ones, placed after them in the order given.
+
+    Their names must differ from each other and from those of all built-in rules, switched
+    on or off; an analyzer may be a new one or a built-in one, but not the assistant's.
+    """
+    every = (_console_rules, _debugger_rules, _secret_rules, _todo_rules, _type_any_rules, _directive_rules)
+    taken = {rule.name for make in every for rule in make()} | {LARGE_FUNCTIONS}
+    placed = []
+    for i, rule in enumerate(settings.added_rules):
+        if rule.name in taken or not rule.name:
+            raise ValueError(f"rule name {rule.name!r} is empty or taken")
+        if rule.analyzer in ("", fv.AI_ANALYZER):
+            raise ValueError(f"rule {rule.name!r} may not use the analyzer {rule.analyzer!r}")
+        taken.add(rule.name)
+        placed.append(replace(rule, place=len(fv.ANALYZERS) + i))
+    return placed
 
 
 # --- the large-block rule looks at a hunk, not a line -------------------------

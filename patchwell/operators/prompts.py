@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patchwell.functions import fixed_values as fv
+from patchwell.functions.rules import ASSISTANT_ORDER
 from patchwell.functions.text import record, tail
 from patchwell.operators.diff import (
     diff_hunks,
@@ -280,7 +281,7 @@ def assistant_findings(responses: DataFrame) -> DataFrame:
     items = parsed_answers(responses)
     given = _is_given(F.col("line")) & _is_given(F.col("severity")) & _is_given(F.col("message"))
     none = F.lit(None).cast("string")
-    last = F.lit(len(fv.ANALYZERS)).cast("bigint")
+    last = F.lit(ASSISTANT_ORDER).cast("bigint")
     zero = F.lit(0).cast("bigint")
     return items.filter(given).select(
         none.alias("repo"),

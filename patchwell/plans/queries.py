@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from patchwell.functions.paths import gates
+from patchwell.functions.rules import Rule, text
 from patchwell.functions.text import trim
 from patchwell.operators import diff, findings, history, locate, merge, prompts, report, scoring, summaries
 from patchwell.operators.ordered import ordinal_within
@@ -46,6 +47,8 @@ ALL_OFF = ReviewSettings(
     ts_directive=False,
     large_hunk=4,
 )
+#: characters from which on the rule of ``added_rule_findings`` hits
+LONG_LINE = 60
 FINDING = (
     "review_id",
     "path",
@@ -207,6 +210,38 @@ QUERIES["type_any_findings"] = _only(type_any=True)
 QUERIES["ts_directive_findings"] = _only(ts_directive=True)
 
 
+def _long_lines(most: int) -> Rule:
+    """A rule as a user adds one: code lines of more characters than ``most``."""
+    return Rule(
+        "long-line",
+        "line-length",
+        hint=lambda n: n.is_code & (F.length(n.content) > most),
+        hit=lambda n: F.length(n.content) > most,
+        severity=lambda n: F.when(F.length(n.content) > 2 * most, "warning").otherwise("info"),
+        message=lambda n: F.concat(F.length(n.content).cast("string"), F.lit(" characters in a line")),
+        suggestion=text("Break the line."),
+    )
+
+
+ADDED = replace(SETTINGS, added_rules=(_long_lines(LONG_LINE),))
+
+
+@query
+def added_rule_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All findings with a rule added to the built-in ones, with their ids."""
+    found = findings.number_findings(review_findings(inputs(spark, sf_dir), ADDED))
+    return found.select("finding_id", *FINDING)
+
+
+@query
+def added_rule_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits by analyzer with a rule added."""
+    given = inputs(spark, sf_dir)
+    files, found = review_tables(given, ADDED)
+    hits = history.rule_hits_of(found, scoring.files_by_risk(files), given.reviews)
+    return history.rule_hit_counts(hits).select("repo", "analyzer", "hits")
+
+
 @query
 def all_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review_findings(inputs(spark, sf_dir), SETTINGS).select(*FINDING)

@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 from patchwell.operators.diff import name_sections
 from patchwell.operators.findings import (
     number_findings,
+    reviewable_lines,
     reviewed_findings,
     scan,
     scanned_findings,
+    static_findings,
     tallied_rows,
 )
 from patchwell.operators.history import rule_hits_of
-from patchwell.operators.merge import COUNTS, TALLIES, merge_files
+from patchwell.operators.merge import COUNTS, TALLIES, covering_files, merge_files
 from patchwell.operators.prompts import answered_files, assistant_findings
 from patchwell.operators.report import markdown_reports
 from patchwell.operators.scoring import (
@@ -70,13 +72,19 @@ def _files(
 
 
 def review_findings(inputs: ReviewInputs, settings: ReviewSettings = DEFAULTS) -> DataFrame:
-    """Findings of all rules and answers on the files as merged."""
-    scanned = scan(inputs.raw_diffs, inputs.snapshots, settings)
-    return _findings(scanned, _answers(inputs), merge_files(tallied_rows(scanned)))
+    """Findings of all rules and answers on the files as merged.
+
+    Lines are parsed once, for the rules; the files' places come from headers alone.
+    """
+    found = static_findings(reviewable_lines(inputs.raw_diffs, inputs.snapshots, settings), settings)
+    return _placed(found, _answers(inputs), covering_files(inputs.raw_diffs, inputs.snapshots))
 
 
 def _findings(scanned: DataFrame, answers: DataFrame | None, files: DataFrame) -> DataFrame:
-    found = scanned_findings(scanned)
+    return _placed(scanned_findings(scanned), answers, files)
+
+
+def _placed(found: DataFrame, answers: DataFrame | None, files: DataFrame) -> DataFrame:
     if answers is not None:
         found = found.unionByName(answers, allowMissingColumns=True)
     return reviewed_findings(found, files)

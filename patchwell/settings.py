@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
+
+if TYPE_CHECKING:
+    from patchwell.functions.rules import Rule
 
 
 @dataclass(frozen=True)
@@ -28,6 +32,8 @@ class ReviewSettings:
     group_gap: int = 5
     #: changed lines in one file above which the file is at least medium risk
     large_change: int = 100
+    #: line rules a job adds to the built-in ones
+    added_rules: tuple[Rule, ...] = ()
 
 
 DEFAULTS = ReviewSettings()

@@ -275,3 +275,29 @@ def test_white_space_is_that_of_ecmascript(spark):
     table = spark.createDataFrame([(c,) for c in chars], "c string")
     found = table.filter(F.rlike("c", F.lit(java(r"^\s$")))).collect()
     assert sorted(r.c for r in found) == sorted(fv.WHITE_SPACE)
+
+
+def test_added_rules_from_lines_to_ids(spark):
+    def rule(name, analyzer, word):
+        return rules.Rule(
+            name, analyzer,
+            hint=lambda n: n.content.contains(word), hit=lambda n: n.content.contains(word),
+            severity=rules.text("error"), message=rules.text(f"{word}!"), suggestion=rules.text("no"),
+        )
+
+    own = ReviewSettings(added_rules=(rule("r-two", "own", "two"), rule("r-one", "own", "one"), rule("r-log", "console-log", "log")))
+    given = ReviewInputs(
+        raw_diffs(spark, ("r", "staged", added("a.ts", "one two", "console.log(1)", "three"))),
+        snapshots(spark), None,
+    )
+    out = findings.number_findings(review_findings(given, own))
+    assert rows(out, "finding_id", "rule", "line", "severity") == [
+        ("console-log-1", "console-script", 2, "warning"),
+        ("console-log-4", "r-log", 2, "error"),
+        ("own-2", "r-two", 1, "error"),
+        ("own-3", "r-one", 1, "error"),
+    ]
+    assert rows(review_findings(given), "rule") == [("console-script",)]
+    for bad in ((rule("type-any", "own", "x"),), (rule("", "own", "x"),), (rule("a", "b", "x"), rule("a", "c", "y")), (rule("a", fv.AI_ANALYZER, "x"),)):
+        with pytest.raises(ValueError):
+            rules.line_rules(ReviewSettings(added_rules=bad))
