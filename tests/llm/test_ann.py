@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from patchwell.llm import ann
@@ -42,7 +43,9 @@ def test_recall_in_one_block_and_in_many(frame):
         assert set(got) == set(want)
         hits = sum(len({x for x, _ in got[q]} & {x for x, _ in want[q]}) for q in want)
         assert hits >= 0.99 * 20 * len(want)
-        assert all(s in [x for _, x in want[q]] or True for q in got for _, s in got[q])
+        exact = {(int(i), int(j)): float((u.astype(float) * v.astype(float)).sum()) for i, u in zip(ids, matrix) if i % 20 == 0 for j, v in zip(ids, matrix)}
+        assert all(s == exact[q, j] for q in got for j, s in got[q])
+        assert all([(-s, j) for j, s in got[q]] == sorted((-s, j) for j, s in got[q]) for q in got)
 
 
 def test_estimates_are_within_their_bounds():
@@ -58,6 +61,44 @@ def test_estimates_are_within_their_bounds():
     assert abs((estimate - vectors @ query).mean()) < 0.2
 
 
+def test_bit_counts_are_the_inner_products_of_codes():
+    rng = np.random.default_rng(1)
+    for size in (3, 64, 70, 200):
+        code = np.packbits(rng.random((50, size)) > 0.5, axis=1)
+        query = rng.standard_normal(size)
+        signs = np.unpackbits(code, axis=1, count=size) * 2.0 - 1
+        got, off = ann.estimates(ann._words(code), np.bitwise_count(code).sum(axis=1).astype(float), query, size)
+        assert (np.abs(got - signs @ query / np.sqrt(size)) <= off).all() and off < 0.03 * np.sqrt(size)
+
+
+@pytest.mark.parametrize("scales", [(1e-170,), (1e20,), (1e160,), (1e200,), (5e-324,), (1e307,), (1e-170, 1.0, 1e160), (1e-5, 1.0, 1e5)])
+def test_components_of_any_size(scales):
+    rng = np.random.default_rng(8)
+    matrix = rng.standard_normal((300, 24)) * rng.choice(scales, 300)[:, None]
+    if scales == (5e-324,):
+        matrix = rng.integers(-3, 4, (300, 24)) * 5e-324
+    ids = rng.permutation(900)[:300]
+    turn = ann.rotation(24)
+    code, length, correction = ann.encode(matrix, turn)
+    assert (correction > 0).all() and (length > 0).all()
+    queries = matrix[:20]
+    got = ann.nearest_in_block(queries, ids[:20], matrix, ids, code, length, correction, turn, 10)
+    hits = 0
+    for q in range(20):
+        with np.errstate(over="ignore", invalid="ignore"):
+            score = (matrix * queries[q]).sum(axis=1)
+        # sums in longer numbers say the sign of what overflows
+        long = (matrix.astype(np.longdouble) * queries[q].astype(np.longdouble)).sum(axis=1)
+        score = np.where(np.isfinite(score), score, long.astype(float))
+        order = [k for k in np.lexsort((ids, -score)) if k != q][:10]
+        mine = got[0] == ids[q]
+        assert mine.sum() == 10
+        hits += len(set(got[1][mine]) & set(ids[order]))
+        by_id = dict(zip(ids, score))
+        assert all(s == by_id[j] for j, s in zip(got[1][mine], got[2][mine]))
+    assert hits >= 0.99 * 200
+
+
 def test_ties_odd_vectors_and_small_tables(frame):
     rows = [(k, [1.0, 2.0], "x", 1) for k in (0, 7, 3, 9, 5)]
     odd = [(20, None), (40, []), (60, [0.0, 0.0]), (80, [1.0, None]), (100, [float("nan"), 1.0]), (None, [1.0, 1.0]), (120, [float("inf"), 1.0])]
