@@ -76,8 +76,13 @@ CLOSES = {
 #: An open element of these names is not closed from inside by CLOSES or by a stray end.
 FENCES = frozenset("ul ol dl table article main section div body nav aside header footer form blockquote".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.S)
+_START = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*+))")
+_QUOTE_OR_END = re.compile(r"[>\"']")
+_RAW_END = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
+_ATTRIBUTE = re.compile(r"(?<![^\s=/\"'])([^\s=/\"']++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+_HIDDEN = re.compile(r"(?:^|[\s/'])hidden(?:[\s/=]|$)", re.I)
+_NOT_SHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[a-z]+")
 
@@ -91,38 +96,146 @@ class Node:
     path: int = 0
 
 
+def tokens(html: str) -> Iterator[tuple[int, int, str, str, int]]:
+    """``start, end, slash, name, attributes' start`` of tags in order; comments and declarations have
+    no name. A tag whose quotes or angle are not closed is text. The consumer may send the place from
+    which to go on. Time is linear in the page: how a tag ends depends on the next quote or angle
+    alone, which is looked for once, and what follows from a quote is kept."""
+    last = html.rfind(">")
+    known: dict[int, int] = {}  # by an opening quote the end of its tag, -1 for none
+    ahead = -1  # the next quote or angle as last looked for
+
+    def tag_end(at: int) -> int:
+        nonlocal ahead
+        if ahead < at:
+            found = _QUOTE_OR_END.search(html, at)
+            ahead = found.start() if found else len(html)
+        k, passed = ahead, []
+        while True:
+            if k >= len(html) or html[k] == ">":
+                end = k if k < len(html) else -1
+                break
+            if k in known:
+                end = known[k]
+                break
+            passed.append(k)
+            close = html.find(html[k], k + 1)
+            found = _QUOTE_OR_END.search(html, close + 1) if close >= 0 else None
+            if not found:
+                end = -1
+                break
+            k = found.start()
+        for k in passed:
+            known[k] = end
+        return end
+
+    at = 0
+    while found := _START.search(html, at):
+        start = found.start()
+        if found[1]:
+            end = html.find("-->", found.end())
+            end = end + 3 if end >= 0 else len(html)
+        elif start > last:  # nothing but comments can follow
+            at = html.find("<!--", start)
+            if at < 0:
+                return
+            continue
+        elif found[2]:
+            end = html.find(">", start) + 1
+        else:
+            end = tag_end(found.end()) + 1
+            if not end:  # nor does any tag end that starts in this name
+                inner = [k for k in (html.find(x, start + 1, found.end()) for x in ("<!", "<?")) if k >= 0]
+                at = min(inner, default=found.end())
+                continue
+        at = (yield start, end, found[3] or "", found[4] or "", found.end()) or end
+
+
+class _Open:
+    """The open elements, with the places of each name, of fences and of what is not inline."""
+
+    def __init__(self, root: Node) -> None:
+        self.stack = [root]
+        self.places: dict[str, list[int]] = {}
+        self.fences = [0]
+        self.solid = [0]
+
+    def push(self, node: Node) -> None:
+        k, name = len(self.stack), node.name
+        self.stack.append(node)
+        self.places.setdefault(name, []).append(k)
+        if name in FENCES:
+            self.fences.append(k)
+        if name not in INLINE:
+            self.solid.append(k)
+
+    def cut(self, k: int) -> None:
+        """Closes the k-th open element and all in it."""
+        for node in self.stack[k:]:
+            self.places[node.name].pop()
+        del self.stack[k:]
+        while self.fences[-1] >= k:
+            self.fences.pop()
+        while self.solid[-1] >= k:
+            self.solid.pop()
+
+    def close(self, name: str) -> None:
+        """An end tag; one whose element is outside a fence is stray."""
+        places = self.places.get(name)
+        if places and (name in FENCES or name == "html" or self.fences[-1] < places[-1]):
+            self.cut(places[-1])
+
+    def close_paragraph(self) -> None:
+        """A block inside an open paragraph ends it, and the inline elements open in it."""
+        k = self.solid[-1]
+        if k and self.stack[k].name == "p":
+            self.cut(k)
+
+    def close_any(self, names: set[str]) -> None:
+        k = max((self.places[x][-1] for x in names if self.places.get(x)), default=0)
+        if k and self.fences[-1] < k:
+            self.cut(k)
+
+
 def parse(html: str) -> Node:
     """The page as a tree. Unclosed and stray tags are taken as browsers take them, roughly: a block
-    ends an open paragraph, an end tag closes what is open inside its element."""
+    ends an open paragraph, an end tag closes what is open inside its element. Linear in the page."""
     root = Node("root")
-    stack = [root]
-    at = 0
-    size = len(html)
-    while at < size:
-        token = _TOKEN.search(html, at)
-        end = token.start() if token else size
-        if end > at:
-            stack[-1].children.append(html[at:end])
-        if not token:
-            break
-        at = token.end()
-        name = (token[2] or "").lower()
+    opened = _Open(root)
+    stack = opened.stack
+    at, size, last = 0, len(html), html.rfind(">") + 1
+    found = tokens(html)
+    token = next(found, None)
+    while token:
+        start, end, slash, name, attributes_at = token
+        if start > at:
+            stack[-1].children.append(html[at:start])
+        at = end
+        name = name.lower()
         if not name:
-            continue
-        if token[1]:
-            _close(stack, name)
-            continue
-        if name == "hr" or name not in INSIDE_TEXT:
-            _close_paragraph(stack)
-        if name in CLOSES:
-            _close_open(stack, CLOSES[name])
-        node = _node(name, token[3])
-        stack[-1].children.append(node)
-        if name in RAW and not token[3].endswith("/"):
-            close = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(html, at)
-            at = close.end() if close else size
-        elif name not in VOID and not (token[3].endswith("/") and name not in INLINE and name not in FENCES):
-            stack.append(node)
+            pass
+        elif slash:
+            opened.close(name)
+        else:
+            if name == "hr" or name not in INSIDE_TEXT:
+                opened.close_paragraph()
+            if name in CLOSES:
+                opened.close_any(CLOSES[name])
+            attributes = html[attributes_at : end - 1]
+            node = _node(name, attributes)
+            stack[-1].children.append(node)
+            ended = attributes.endswith("/")
+            if name in RAW and not ended:
+                close = _RAW_END[name].search(html, at, last)
+                at = close.end() if close else size
+            elif name not in VOID and not (ended and name not in INLINE and name not in FENCES):
+                opened.push(node)
+        try:
+            token = found.send(at)
+        except StopIteration:
+            break
+    if at < size:
+        stack[-1].children.append(html[at:])
     return root
 
 
@@ -138,38 +251,15 @@ def _node(name: str, attributes: str) -> Node:
             if key == "class":
                 words = sorted(set(text.lower().split()))
             frames |= not FRAME_WORDS.isdisjoint(_WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", text).lower()))
-        elif key in ("hidden", "aria-hidden") and "true" in values:
-            frames = True
+        elif key == "aria-hidden":
+            frames |= "true" in values
+        elif key == "style":
+            frames |= any(map(_NOT_SHOWN.search, values))
+    if "hidden" in attributes.lower():
+        frames |= _HIDDEN.search(_QUOTED.sub("''", attributes)) is not None
     return Node(name, ".".join(words), frames)
 
 
-def _close(stack: list[Node], name: str) -> None:
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].name == name:
-            del stack[k:]
-            return
-        if stack[k].name in FENCES and name not in FENCES and name != "html":
-            return  # a stray end
-
-
-def _close_paragraph(stack: list[Node]) -> None:
-    """A block inside an open paragraph ends it, and the inline elements open in it."""
-    k = len(stack) - 1
-    while k > 0 and stack[k].name in INLINE:
-        k -= 1
-    if k > 0 and stack[k].name == "p":
-        del stack[k:]
-
-
-def _close_open(stack: list[Node], names: set[str]) -> None:
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].name in names:
-            del stack[k:]
-            return
-        if stack[k].name in FENCES:
-            return
-
-
 def blocks(node: Node) -> list[str]:
     """Texts of the blocks below a node in page order, decoded, white space made single."""
     out: list[str] = []

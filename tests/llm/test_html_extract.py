@@ -2,8 +2,11 @@ from __future__ import annotations
 
 import html
 import re
+import time
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from patchwell.llm import html_extract as h
 from patchwell.llm.common import table
@@ -30,6 +33,48 @@ def test_broken_markup(text):
     assert isinstance(h.main_text(text, {}), str)
 
 
+_PLAIN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
+
+
+@given(st.text(alphabet="<>/!?-\"'ab =\n", max_size=60))
+@settings(max_examples=1500, deadline=None)
+def test_tokens_are_those_of_one_pattern(text):
+    want = [(m.start(), m.end(), m[1] or "", m[2] or "", m[3]) for m in _PLAIN.finditer(text)]
+    got = [(a, b, slash, name, text[c : b - 1] if name else None) for a, b, slash, name, c in h.tokens(text)]
+    assert got == want
+
+
+MEGABYTE = 1_000_000
+BROKEN = ["<a ", "<a title='", "<!x", "<?x", "<a<a", "<a \"'", "<script>", "</script", "<script></script", "<a ='\">", "a='", "<b>", "</b>", "<p><b>", "<li><ul>", "<!--", "<a<!x", "\"", " a"]
+
+
+@pytest.mark.parametrize("piece", BROKEN)
+@pytest.mark.parametrize("end", ["", "\">", "'>", ">"])
+def test_long_broken_markup_takes_linear_time(piece, end):
+    """Times of one and four parts of a megabyte are compared, not held against a clock alone."""
+    def took(n):
+        text = "<a " * (piece in ("a='", "\"", " a")) + piece * (n // len(piece)) + end
+        start = time.process_time()
+        h.parse(text)
+        return time.process_time() - start
+
+    assert took(MEGABYTE) < 8 * took(MEGABYTE // 4) + 0.5
+
+
+def test_end_tags_below_many_open_elements():
+    start = time.process_time()
+    for text in ("<p><div>" + "<b>" * 100_000 + "</p>" * 100_000, "<b>" * 100_000 + "<hr>" * 100_000, "<b>" * 100_000 + "</i>" * 100_000, "<ul>" + "<b>" * 100_000 + "<li><ul><b>" * 30_000):
+        h.parse(text)
+    assert time.process_time() - start < 20
+
+
+@pytest.mark.parametrize("mark", ["hidden", 'hidden=""', "hidden='until-found'", 'class="x" hidden', 'aria-hidden="true"', 'style="color:red; display : none"', "style='visibility:hidden'"])
+def test_hidden_elements_go(mark):
+    assert h.main_text(f"<div><p>Shown</p></div><div {mark}><p>Not</p></div>", {}) == "Shown"
+    for shown in ('title="a hidden thing"', "data-hidden", 'aria-hidden="false"', 'style="display:block"'):
+        assert h.main_text(f"<div><p>Shown</p></div><div {shown}><p>Too</p></div>", {}) == "Shown\nToo"
+
+
 def test_deep_pages():
     assert h.main_text("<div>" * 3000 + "x" + "</div>" * 3000, {}) == "x"
 
@@ -53,9 +98,9 @@ def test_copies_of_one_article_keep_their_text(frame):
 
 def test_given_pages(spark):
     pages = table(spark, SF, "pages")
-    given = {r.page_id: r.html for r in pages.collect()}
+    htmls = {r.page_id: r.html for r in pages.collect()}
     for r in h.extract(pages).collect():
-        article = re.search(r"<article>(.*)</article>", given[r.page_id], re.S)[1]
+        article = re.search(r"<article>(.*)</article>", htmls[r.page_id], re.S)[1]
         parts = (re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>", " ", x))).strip() for x in re.split(r"</?(?:p|h1|br)>", article))
         assert r.text == "\n".join(x for x in parts if x) and r.n_chars == len(r.text)
 
