@@ -76,7 +76,11 @@ CLOSES = {
 #: An open element of these names is not closed from inside by CLOSES or by a stray end.
 FENCES = frozenset("ul ol dl table article main section div body nav aside header footer form blockquote".split())
 
-_START = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*+))")
+#: A whole tag of usual size (so that looking for one costs a bounded time), or how others start.
+_USUAL = r"(/?)([a-zA-Z][a-zA-Z0-9]{0,15}+)(?=[\s/>])((?:[^<>\"']{0,64}+(?:\"[^\"]{0,256}+\"|'[^']{0,256}+')){0,16}+[^<>\"']{0,64}+)>"
+_START = re.compile(rf"<(?:{_USUAL}|(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*+))")
+#: Open elements from which on closing one takes their places instead of walking over them.
+DEEP = 64
 _QUOTE_OR_END = re.compile(r"[>\"']")
 _RAW_END = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
 _ATTRIBUTE = re.compile(r"(?<![^\s=/\"'])([^\s=/\"']++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -96,21 +100,22 @@ class Node:
     path: int = 0
 
 
-def tokens(html: str) -> Iterator[tuple[int, int, str, str, int]]:
-    """``start, end, slash, name, attributes' start`` of tags in order; comments and declarations have
-    no name. A tag whose quotes or angle are not closed is text. The consumer may send the place from
-    which to go on. Time is linear in the page: how a tag ends depends on the next quote or angle
-    alone, which is looked for once, and what follows from a quote is kept."""
-    last = html.rfind(">")
-    known: dict[int, int] = {}  # by an opening quote the end of its tag, -1 for none
-    ahead = -1  # the next quote or angle as last looked for
+class _Tags:
+    """Ends of tags that are not of usual size, in linear time for a page: how a tag ends depends on
+    the next quote or angle alone, which is looked for once, and what follows from a quote is kept."""
 
-    def tag_end(at: int) -> int:
-        nonlocal ahead
-        if ahead < at:
+    def __init__(self, html: str) -> None:
+        self.html = html
+        self.last = html.rfind(">")
+        self.known: dict[int, int] = {}  # by an opening quote the end of its tag, -1 for none
+        self.ahead = -1  # the next quote or angle as last looked for
+
+    def _end(self, at: int) -> int:
+        html, known = self.html, self.known
+        if self.ahead < at:
             found = _QUOTE_OR_END.search(html, at)
-            ahead = found.start() if found else len(html)
-        k, passed = ahead, []
+            self.ahead = found.start() if found else len(html)
+        k, passed = self.ahead, []
         while True:
             if k >= len(html) or html[k] == ">":
                 end = k if k < len(html) else -1
@@ -129,40 +134,40 @@ def tokens(html: str) -> Iterator[tuple[int, int, str, str, int]]:
             known[k] = end
         return end
 
-    at = 0
-    while found := _START.search(html, at):
-        start = found.start()
-        if found[1]:
+    def read(self, found: re.Match) -> tuple[int, str, str, str]:
+        """End, slash, name and attributes of what ``found`` starts; comments and declarations have no
+        name. A tag whose quotes or angle are not closed is text: then the end is one less than the
+        negated place from which to look on."""
+        html, start = self.html, found.start()
+        if found[4]:
             end = html.find("-->", found.end())
-            end = end + 3 if end >= 0 else len(html)
-        elif start > last:  # nothing but comments can follow
-            at = html.find("<!--", start)
-            if at < 0:
-                return
-            continue
-        elif found[2]:
-            end = html.find(">", start) + 1
-        else:
-            end = tag_end(found.end()) + 1
-            if not end:  # nor does any tag end that starts in this name
-                inner = [k for k in (html.find(x, start + 1, found.end()) for x in ("<!", "<?")) if k >= 0]
-                at = min(inner, default=found.end())
-                continue
-        at = (yield start, end, found[3] or "", found[4] or "", found.end()) or end
+            return end + 3 if end >= 0 else len(html), "", "", ""
+        if start > self.last:  # nothing but comments can follow
+            comment = html.find("<!--", start)
+            return -1 - (comment if comment >= 0 else len(html)), "", "", ""
+        if found[5]:
+            return html.find(">", start) + 1, "", "", ""
+        end = self._end(found.end())
+        if end < 0:  # nor does any tag end that starts in this name
+            inner = [k for k in (html.find(x, start + 1, found.end()) for x in ("<!", "<?")) if k >= 0]
+            return -1 - min(inner, default=found.end()), "", "", ""
+        return end + 1, found[6], found[7], html[found.end() : end]
 
 
 class _Open:
-    """The open elements, with the places of each name, of fences and of what is not inline."""
+    """The open elements of a deep page, with the places of each name, of fences and of what is not
+    inline, so that nothing is searched. It closes what the functions for pages that are not deep do."""
 
-    def __init__(self, root: Node) -> None:
-        self.stack = [root]
+    def __init__(self, stack: list[Node]) -> None:
+        self.stack = stack
         self.places: dict[str, list[int]] = {}
         self.fences = [0]
         self.solid = [0]
+        for k in range(1, len(stack)):
+            self.note(k)
 
-    def push(self, node: Node) -> None:
-        k, name = len(self.stack), node.name
-        self.stack.append(node)
+    def note(self, k: int) -> None:
+        name = self.stack[k].name
         self.places.setdefault(name, []).append(k)
         if name in FENCES:
             self.fences.append(k)
@@ -171,9 +176,8 @@ class _Open:
 
     def cut(self, k: int) -> None:
         """Closes the k-th open element and all in it."""
-        for node in self.stack[k:]:
-            self.places[node.name].pop()
-        del self.stack[k:]
+        while len(self.stack) > k:
+            self.places[self.stack.pop().name].pop()
         while self.fences[-1] >= k:
             self.fences.pop()
         while self.solid[-1] >= k:
@@ -201,39 +205,54 @@ def parse(html: str) -> Node:
     """The page as a tree. Unclosed and stray tags are taken as browsers take them, roughly: a block
     ends an open paragraph, an end tag closes what is open inside its element. Linear in the page."""
     root = Node("root")
-    opened = _Open(root)
-    stack = opened.stack
-    at, size, last = 0, len(html), html.rfind(">") + 1
-    found = tokens(html)
-    token = next(found, None)
-    while token:
-        start, end, slash, name, attributes_at = token
+    stack = [root]
+    deep: _Open | None = None
+    tags = _Tags(html)
+    at = look = 0
+    size = len(html)
+    while found := _START.search(html, look):
+        slash, name, attributes = found.group(1, 2, 3)
+        if name:
+            end = found.end()
+        else:
+            end, slash, name, attributes = tags.read(found)
+            if end < 0:
+                look = -1 - end
+                continue
+        start = found.start()
         if start > at:
             stack[-1].children.append(html[at:start])
-        at = end
-        name = name.lower()
+        at = look = end
         if not name:
-            pass
-        elif slash:
-            opened.close(name)
-        else:
-            if name == "hr" or name not in INSIDE_TEXT:
-                opened.close_paragraph()
-            if name in CLOSES:
-                opened.close_any(CLOSES[name])
-            attributes = html[attributes_at : end - 1]
-            node = _node(name, attributes)
-            stack[-1].children.append(node)
-            ended = attributes.endswith("/")
-            if name in RAW and not ended:
-                close = _RAW_END[name].search(html, at, last)
-                at = close.end() if close else size
-            elif name not in VOID and not (ended and name not in INLINE and name not in FENCES):
-                opened.push(node)
-        try:
-            token = found.send(at)
-        except StopIteration:
-            break
+            continue
+        name = name.lower()
+        if slash:
+            if deep:
+                deep.close(name)
+            else:
+                _close(stack, name)
+            continue
+        if name == "hr" or name not in INSIDE_TEXT:
+            if deep:
+                deep.close_paragraph()
+            else:
+                _close_paragraph(stack)
+        if name in CLOSES:
+            if deep:
+                deep.close_any(CLOSES[name])
+            else:
+                _close_open(stack, CLOSES[name])
+        node = _node(name, attributes) if attributes else Node(name)
+        stack[-1].children.append(node)
+        if name in RAW and not attributes.endswith("/"):
+            close = _RAW_END[name].search(html, at, tags.last + 1)
+            at = look = close.end() if close else size
+        elif name not in VOID and not (attributes.endswith("/") and name not in INLINE and name not in FENCES):
+            stack.append(node)
+            if deep:
+                deep.note(len(stack) - 1)
+            elif len(stack) > DEEP:
+                deep = _Open(stack)
     if at < size:
         stack[-1].children.append(html[at:])
     return root
@@ -260,6 +279,33 @@ def _node(name: str, attributes: str) -> Node:
     return Node(name, ".".join(words), frames)
 
 
+def _close(stack: list[Node], name: str) -> None:
+    for k in range(len(stack) - 1, 0, -1):
+        if stack[k].name == name:
+            del stack[k:]
+            return
+        if stack[k].name in FENCES and name not in FENCES and name != "html":
+            return  # a stray end
+
+
+def _close_paragraph(stack: list[Node]) -> None:
+    """A block inside an open paragraph ends it, and the inline elements open in it."""
+    k = len(stack) - 1
+    while k > 0 and stack[k].name in INLINE:
+        k -= 1
+    if k > 0 and stack[k].name == "p":
+        del stack[k:]
+
+
+def _close_open(stack: list[Node], names: set[str]) -> None:
+    for k in range(len(stack) - 1, 0, -1):
+        if stack[k].name in names:
+            del stack[k:]
+            return
+        if stack[k].name in FENCES:
+            return
+
+
 def blocks(node: Node) -> list[str]:
     """Texts of the blocks below a node in page order, decoded, white space made single."""
     out: list[str] = []

@@ -40,8 +40,31 @@ _PLAIN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]
 @settings(max_examples=1500, deadline=None)
 def test_tokens_are_those_of_one_pattern(text):
     want = [(m.start(), m.end(), m[1] or "", m[2] or "", m[3]) for m in _PLAIN.finditer(text)]
-    got = [(a, b, slash, name, text[c : b - 1] if name else None) for a, b, slash, name, c in h.tokens(text)]
-    assert got == want
+    got, tags, look = [], h._Tags(text), 0
+    while found := h._START.search(text, look):
+        end, *parts = tags.read(found) if not found[2] else (found.end(), *found.group(1, 2, 3))
+        look = end if end >= 0 else -1 - end
+        if end >= 0:
+            got.append((found.start(), end, *parts))
+    assert got == [x[:4] + (x[4] or "",) for x in want]
+
+
+def _shape(node):
+    out, todo = [], [(0, node)]
+    while todo:
+        depth, x = todo.pop()
+        out.append((depth, x if isinstance(x, str) else x.name))
+        todo += [] if isinstance(x, str) else [(depth + 1, c) for c in x.children]
+    return out
+
+
+@given(st.lists(st.sampled_from("<p> </p> <b> </b> <i> </i> <li> <ul> </ul> <div> </div> <td> <tr> <table> </table> <hr> </html> <html> x".split()), max_size=60))
+@settings(max_examples=600, deadline=None)
+def test_deep_pages_close_as_others_do(parts):
+    usual = _shape(h.parse("".join(parts)))
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(h, "DEEP", 1)
+        assert _shape(h.parse("".join(parts))) == usual
 
 
 MEGABYTE = 1_000_000
