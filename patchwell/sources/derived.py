@@ -61,6 +61,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_files(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def arriving(spark: SparkSession, sf_dir: str, table: str, schema: str) -> DataFrame:
+    """A driver table as a stream, be it one file or a folder of files.
+
+    The name is a pattern, as Spark takes a plain one for a folder."""
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{table}.parque[t]")
+
+
 def as_files(docs: DataFrame) -> DataFrame:
     """A table or stream of documents as files under review."""
     i = F.col("doc_id")
