@@ -1,8 +1,8 @@
 """The history of each repository as keyed state, updated by every review that arrives.
 
-What a repository's state holds is bounded: counters and the place of the latest break (a value),
-its newest reviews (a list, as long as the recent view), and one entry per analyzer (a map). A
-review costs its own row, however long the history is.
+What a repository's state holds is bounded: counters (a value), its newest reviews (a value of
+arrays, as long as the recent view, so that they are read and written at once), and one entry per
+analyzer (a map). A review costs its own row, however long the history is.
 
 Reviews count in order of (time, id). Within a batch they are sorted. One that arrives after newer
 ones is put in its place among the kept reviews, and the streaks after it are set right; one older
@@ -13,7 +13,9 @@ or of day summaries (``summaries``).
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Iterator
+from operator import itemgetter
 from typing import Any
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -29,6 +31,10 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 KEPT = "review_id string, ts timestamp_ntz, score bigint, streak bigint, score_change bigint"
+NEWEST = (
+    "review_ids array<string>, times array<timestamp_ntz>, scores array<bigint>, streaks array<bigint>,"
+    " score_changes array<bigint>"
+)
 COUNTERS = "reviews bigint, unplaced bigint"
 HITS = "hits bigint, ts timestamp_ntz, review_id string, seq bigint"
 RUNNING = (
@@ -38,6 +44,11 @@ RUNNING = (
 )
 
 
+#: hits as the state's rows carry them: one text is quicker to hand to Python than an array of structs
+HIT_TEXT = "array<struct<analyzer:string,hits:bigint,seq:bigint>>"
+OUT = Row(*[c.split()[0] for c in RUNNING.split(", recent")[0].split(", ")], "recent")
+
+
 def reviews_with_hits(reviews: DataFrame, hits: DataFrame) -> DataFrame:
     """Review rows with their hits per analyzer, as :func:`running_history` takes them."""
     counts = hits.groupBy("review_id", "analyzer").agg(F.count(F.lit(1)).alias("hits"), F.min("seq").alias("seq"))
@@ -53,7 +64,7 @@ class RepositoryState(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.counters = handle.getValueState("counters", COUNTERS)
-        self.recent = handle.getListState("recent", KEPT)
+        self.recent = handle.getValueState("newest", NEWEST)
         self.hits = handle.getMapState("hits", "analyzer string", HITS)
 
     def close(self) -> None:
@@ -67,57 +78,58 @@ class RepositoryState(StatefulProcessor):
         known = before is not None and score is not None and before[2] is not None
         return [key, ts, score, streak, score - before[2] if known else None]
 
-    def _place(self, kept: list[list], review: Row, whole: bool) -> list | None:
+    def _place(self, kept: list[list], key: str, ts: Any, score: int | None, whole: bool) -> list | None:
         """Put a review among the kept ones; None if it is older than all of a longer history."""
         at = len(kept)
-        while at and (kept[at - 1][1], kept[at - 1][0]) > (review.ts, review.review_id):
+        while at and (kept[at - 1][1], kept[at - 1][0]) > (ts, key):
             at -= 1
         if at == 0 and kept and not whole:
             return None
-        kept.insert(at, [review.review_id, review.ts, review.score, 0, None])
+        kept.insert(at, [key, ts, score, 0, None])
         for i in range(at, len(kept)):
             kept[i] = self._traced(kept[i], kept[i - 1] if i else None)
         return kept[at]
 
-    def _count(self, totals: dict[str, tuple], review: Row) -> None:
-        for hit in review.hits or ():
-            first = (review.ts, review.review_id, hit["seq"])
-            n, *seen = totals.get(hit["analyzer"], (0, *first))
-            totals[hit["analyzer"]] = (n + hit["hits"], *min(tuple(seen), first))
+    def _count(self, totals: dict[str, tuple], key: str, ts: Any, hits: str | None) -> None:
+        for hit in json.loads(hits) if hits else ():
+            analyzer, seq = hit["analyzer"], hit["seq"]
+            first = (ts, key, seq)
+            n, *seen = totals.get(analyzer, (0, *first))
+            totals[analyzer] = (n + hit["hits"], *min(tuple(seen), first))
 
     def handleInputRows(self, key: Any, rows: Iterable[Row], timerValues: Any) -> Iterator[Row]:
-        reviews, unplaced = self.counters.get() if self.counters.exists() else (0, 0)
-        kept = [list(x) for x in self.recent.get()] if self.recent.exists() else []
-        before = {k[0]: tuple(v) for k, v in self.hits.iterator()} if self.hits.exists() else {}
-        totals = dict(before)
-        out: list[dict] = []
-        for review in sorted(rows, key=lambda r: (r.ts, r.review_id)):
-            if any(x[0] == review.review_id for x in kept):
+        repo = key[0]
+        reviews, unplaced = self.counters.get() or (0, 0)
+        kept = [list(x) for x in zip(*(self.recent.get() or ()))]
+        before = {k[0]: tuple(v) for k, v in self.hits.iterator()} if reviews else {}
+        totals, known = dict(before), {x[0] for x in kept}
+        out: list[tuple] = []
+        # by position: a field of a Row that is asked for by name is searched for
+        for ts, review, score, hits in sorted(((r[2], r[1], r[3], r[4]) for r in rows), key=itemgetter(0, 1)):
+            if review in known:
                 continue  # arrived before
-            entry = self._place(kept, review, whole=reviews == len(kept))
+            entry = self._place(kept, review, ts, score, whole=reviews == len(kept))
             reviews, unplaced = reviews + 1, unplaced + (entry is None)
-            self._count(totals, review)
+            if entry:
+                known.add(review)
+            self._count(totals, review, ts, hits)
             top = min(totals.items(), key=lambda x: (-x[1][0], x[1][1:]), default=("", (0,)))
-            out.append(
-                dict(
-                    repo=key[0], review_id=review.review_id, ts=review.ts, score=review.score,
-                    streak=entry[3] if entry else None, score_change=entry[4] if entry else None,
-                    reviews=reviews, unplaced=unplaced, analyzer=top[0], top_hits=top[1][0],
-                    hit_counts=None, recent=None,
-                )
-            )
-            del kept[: max(0, len(kept) - self.keep)]
+            streak, change = (entry[3], entry[4]) if entry else (None, None)
+            out.append((repo, review, ts, score, streak, change, reviews, unplaced, top[0], top[1][0], None, None))
+            if (over := len(kept) - self.keep) > 0:
+                known.difference_update(x[0] for x in kept[:over])
+                del kept[:over]
         if not out:
             return
         self.counters.update((reviews, unplaced))
-        self.recent.put([tuple(x) for x in kept])
+        self.recent.update(tuple(map(list, zip(*kept))) or ([],) * 5)
         for analyzer, total in totals.items():
             if before.get(analyzer) != total:
                 self.hits.updateValue((analyzer,), total)
-        out[-1]["hit_counts"] = {a: t[0] for a, t in totals.items()}
         names = [c.split()[0] for c in KEPT.split(", ")]
-        out[-1]["recent"] = [dict(zip(names, x)) for x in reversed(kept)]
-        yield from (Row(**x) for x in out)
+        recent = [dict(zip(names, x)) for x in reversed(kept)]
+        out[-1] = (*out[-1][:-2], {a: t[0] for a, t in totals.items()}, recent)
+        yield from (OUT(*x) for x in out)
 
 
 def running_history(reviews: DataFrame, settings: ReviewSettings = DEFAULTS) -> DataFrame:
@@ -129,7 +141,8 @@ def running_history(reviews: DataFrame, settings: ReviewSettings = DEFAULTS) ->
     review without time or id is not counted. The session needs the RocksDB state store, which
     :func:`keep_running` sets for its query."""
     placed = reviews.where("ts IS NOT NULL AND review_id IS NOT NULL")
-    given = placed.select("repo", "review_id", "ts", F.col("score").cast("bigint").alias("score"), "hits")
+    hits = F.to_json(F.col("hits").cast(HIT_TEXT), {"ignoreNullFields": "false"})
+    given = placed.select("repo", "review_id", "ts", F.col("score").cast("bigint").alias("score"), hits.alias("hits"))
     state = RepositoryState(settings.good_score, settings.keep_reviews)
     return given.groupBy("repo").transformWithState(state, RUNNING, "Append", "None")
 
