@@ -567,8 +567,10 @@ def published_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings as published by a run that was repeated, read back."""
     out = f"{scratch_folder(spark)}/published-{uuid.uuid4().hex}"
     given = inputs(spark, sf_dir)
-    rows = review_rows(given, SETTINGS)
-    found = review_findings(given, SETTINGS).join(given.reviews.select("review_id", "ts"), "review_id", "left")
+    # one scan of the diffs for rows and findings, kept for both publications
+    files, found = review_tables(given, SETTINGS)
+    rows = scoring.review_rollup(files, given.reviews, SETTINGS).persist()
+    found = found.join(given.reviews.select("review_id", "ts"), "review_id", "left")
     none = spark.createDataFrame([], RULE_HITS)
     for _ in range(2):
         publish.publish(spark, out, "one", rows, none, found)
