@@ -46,22 +46,27 @@ def publish(
         replaced = before.where(F.col("run_id") == run_id)
         touched = own.select("repo", "review_date").union(replaced.select("repo", "review_date")).distinct()
         others = before.where(F.col("run_id") != run_id).drop("run_id")
-        given = null_safe_join(others.unionByName(own), touched, ["repo", "review_date"])
+        # the run's own rows lie on touched days by definition, only those of others are looked up
+        given = own.unionByName(null_safe_join(others, touched, ["repo", "review_date"]))
         days = touched.withColumnRenamed("review_date", DAY)
         made = make(given)
         if name == "day_summaries":  # a day that has no reviews any more says so
-            none = days.withColumnsRenamed({"repo": "_repo", DAY: "_day"})
-            same = F.col("repo").eqNullSafe(F.col("_repo")) & F.col(DAY).eqNullSafe(F.col("_day"))
-            rest = [c for c in made.columns if c not in ("repo", DAY, "reviews")]
-            made = none.join(made, same, "left").select(
-                F.col("_repo").alias("repo"), F.col("_day").alias(DAY), F.coalesce("reviews", F.lit(0)).alias("reviews"), *rest
-            )
+            made = made.unionByName(_emptied(replaced, given), allowMissingColumns=True)
         else:
             run.write("day_hits_seen", days, F.col(DAY))
         run.write(name, made, F.col(DAY))
     run.commit()
 
 
+def _emptied(replaced: DataFrame, given: DataFrame) -> DataFrame:
+    """Days of replaced rows that have no row left."""
+    gone = replaced.select(F.col("repo").alias("_repo"), F.col("review_date").alias("_day")).distinct()
+    same = F.col("repo").eqNullSafe(F.col("_repo")) & F.col("review_date").eqNullSafe(F.col("_day"))
+    return gone.join(given.select("repo", "review_date"), same, "left_anti").select(
+        F.col("_repo").alias("repo"), F.col("_day").alias(DAY), F.lit(0).cast("bigint").alias("reviews")
+    )
+
+
 def read_days(spark: SparkSession, out: str, last_day: datetime.date | None = None) -> DataFrame:
     """The newest summary of every repository and day, up to ``last_day``."""
     rows = read_published(spark, out, "day_summaries", summaries.DAYS, last_day=last_day)

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from patchwell.operators import history, summaries
+from patchwell.operators.ordered import null_safe_join
 from patchwell.plans import publish as plan
 from patchwell.sources.published import Publication, read_published
 from patchwell.sources.tables import HISTORY, RULE_HITS
@@ -127,3 +128,17 @@ def test_odd_rows(spark, tmp_path):
     plan.publish(spark, str(tmp_path), "2", table(spark, given), spark.createDataFrame([], RULE_HITS))
     merged = summaries.merged_days(plan.read_days(spark, str(tmp_path)))
     assert rows(merged, "repo", "reviews", "streak", "last_score") == [("a", 2, 2, None), (None, 1, 1, 90)]
+
+
+def test_own_rows_are_not_looked_up(spark, tmp_path, monkeypatch):
+    looked_up = []
+
+    def join(left, right, on):
+        looked_up.append(left.count())
+        return null_safe_join(left, right, on)
+
+    monkeypatch.setattr(plan, "null_safe_join", join)
+    put(spark, str(tmp_path), "1", some("a", 0, 9, 1))
+    assert looked_up == [0, 0]
+    put(spark, str(tmp_path), "2", some("b", 0, 9, 1))
+    assert looked_up[2] == 9
