@@ -29,7 +29,7 @@ from patchwell.operators.scoring import (
     severity_tallies,
 )
 from patchwell.settings import DEFAULTS, ReviewSettings
-from patchwell.sources.tables import SECTIONS, read_diff_sections, stored, write_findings, write_history
+from patchwell.sources.tables import SECTIONS, read_diff_sections, small_files, stored, write_findings, write_history
 
 SECTION_COLUMNS = [c.split()[0] for c in SECTIONS.split(", ")]
 
@@ -149,7 +149,8 @@ def run_review(
 def store_sections(spark: SparkSession, diff_files: str, out: str, run_id: str) -> DataFrame:
     """Diff files of any size as a stored table of named sections, which takes the place of
     ``raw_diffs`` everywhere: the files are split and their sections named once."""
-    return stored(name_sections(read_diff_sections(spark, diff_files)).select(*SECTION_COLUMNS), out, run_id)
+    with small_files(spark):
+        return stored(name_sections(read_diff_sections(spark, diff_files)).select(*SECTION_COLUMNS), out, run_id)
 
 
 def _reject_shared_ids(reviews: DataFrame) -> None:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +61,27 @@ SECTIONS = (
 )
 
 
+#: Spark lists a folder a task and takes a file for 4 MB when it deals files to tasks; diffs are small
+SMALL_FILES = {
+    "spark.sql.sources.parallelPartitionDiscovery.parallelism": "32",
+    "spark.sql.files.openCostInBytes": "256k",
+}
+
+
+@contextmanager
+def small_files(spark: SparkSession) -> Iterator[None]:
+    """Listing and reading very many small files takes few tasks; a session's own choice stays."""
+    given = set(spark.conf.getAll)
+    ours = {k: v for k, v in SMALL_FILES.items() if k not in given}
+    for k, v in ours.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k in ours:
+            spark.conf.unset(k)
+
+
 def read_diff_sections(spark: SparkSession, path: str | list[str], base: str | None = None) -> DataFrame:
     """Sections of diff files of any size: ``SECTIONS`` without path and status.
 
