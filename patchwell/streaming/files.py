@@ -16,7 +16,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from patchwell.operators.diff import name_sections
 from patchwell.operators.findings import scan
 from patchwell.settings import DEFAULTS, ReviewSettings
-from patchwell.sources.tables import SNAPSHOTS, read_diff_sections
+from patchwell.sources.tables import SNAPSHOTS, read_diff_sections, small_files
 from patchwell.streaming.arrivals import ARRIVAL, appended, batch_folder, once
 
 LISTING = "path string, modificationTime timestamp, length bigint, content binary"
@@ -80,9 +80,10 @@ def scan_files(
     on that."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        sections = batch_sections(batch, folder)
-        if sections is not None:
-            none = spark.createDataFrame([], SNAPSHOTS)
-            scan(sections, none, settings).write.mode("overwrite").parquet(batch_folder(batch, out, batch_id))
+        with small_files(batch.sparkSession):
+            sections = batch_sections(batch, folder)
+            if sections is not None:
+                none = batch.sparkSession.createDataFrame([], SNAPSHOTS)
+                scan(sections, none, settings).write.mode("overwrite").parquet(batch_folder(batch, out, batch_id))
 
     return appended(arriving_files(spark, folder, kept_for, batch_files), checkpoint, write)

@@ -6,6 +6,7 @@ import os
 
 from patchwell.plans.review import store_sections
 from patchwell.sources.tables import SMALL_FILES
+from patchwell.streaming import arrivals, files
 from tests.tables import added
 
 
@@ -19,3 +20,15 @@ def test_few_tasks_read_many_files(spark, tmp_path):
     assert dict(spark.conf.getAll) == before and not set(SMALL_FILES) & set(before)
     assert sections.count() == 100
     assert len([x for x in os.listdir(f"{tmp_path}/out/run_id=one") if x.startswith("part-")]) <= 16
+
+
+def test_few_tasks_read_a_batch_of_arriving_files(spark, tmp_path):
+    for i in range(100):
+        folder = tmp_path / "in" / "a" / f"r{i}"
+        os.makedirs(folder)
+        (folder / "staged.diff").write_text(added("a.ts", "debugger") + "\n", encoding="utf-8")
+    writer = files.scan_files(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/state", kept_for="1 day")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    parts = [x for _, _, names in os.walk(tmp_path / "out") for x in names if x.startswith("part-")]
+    assert arrivals.read_scan(spark, f"{tmp_path}/out").where("f IS NOT NULL").count() == 100
+    assert len(parts) <= 16
