@@ -29,7 +29,7 @@ from patchwell.plans.review import (
 from patchwell.settings import ReviewSettings
 from patchwell.sources import derived
 from patchwell.sources.published import read_published
-from patchwell.sources.tables import RULE_HITS, scratch_folder
+from patchwell.sources.tables import RULE_HITS, scratch_folder, small_files, write_diff_files
 from patchwell.streaming import arrivals, running
 from patchwell.streaming import files as incoming
 
@@ -645,8 +645,9 @@ def arriving_file_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     diffs = derived.raw_diffs(spark, sf_dir).repartition("repo", "review_id", "channel")
 
     def arrive(some: DataFrame) -> None:
-        some.write.partitionBy("repo", "review_id", "channel").mode("append").text(files)
-        _run(incoming.scan_files(spark, files, f"{folder}/out", f"{folder}/state", SETTINGS, "1 day"))
+        write_diff_files(some, files)
+        with small_files(spark):
+            _run(incoming.scan_files(spark, files, f"{folder}/out", f"{folder}/state", SETTINGS, "1 day"))
 
     arrive(diffs.where("channel = 'staged'"))
     arrive(diffs.where("channel = 'unstaged'").unionByName(diffs.where("channel = 'staged' AND review_id LIKE '%0'")))

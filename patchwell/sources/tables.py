@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import os
+import re
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from urllib.parse import unquote, urlsplit
 
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,10 +65,11 @@ SECTIONS = (
 )
 
 
-#: Spark lists a folder a task and takes a file for 4 MB when it deals files to tasks; diffs are small
+#: Spark lists a folder a task and takes a file for 4 MB when it deals files to tasks; diffs are small,
+#: and opening one was measured to take about as long as the rules take for 8 KB of text
 SMALL_FILES = {
     "spark.sql.sources.parallelPartitionDiscovery.parallelism": "32",
-    "spark.sql.files.openCostInBytes": "256k",
+    "spark.sql.files.openCostInBytes": "16k",
 }
 
 
@@ -82,7 +87,39 @@ def small_files(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(k)
 
 
-def read_diff_sections(spark: SparkSession, path: str | list[str], base: str | None = None) -> DataFrame:
+#: files up to this size are read whole: a row holds a section or a small file
+WHOLE_FILE = 1 << 20
+#: Spark's text reader unpacks these, so they are left to it
+COMPRESSED = r"\.(deflate|gz|bz2|lz4|snappy|zst|zstd|xz)$"
+
+
+def _whole_size(spark: SparkSession) -> int:
+    """Size up to which files are read whole; what Spark would cut is not."""
+    number, unit = re.fullmatch(r"(\d+)\s*([kmgtp]?)b?", spark.conf.get("spark.sql.files.maxPartitionBytes").lower()).groups()
+    return min(WHOLE_FILE, int(number) << 10 * " kmgtp".index(unit or " "))
+
+
+def read_diff_files(
+    spark: SparkSession, path: str | list[str], base: str | None = None
+) -> tuple[DataFrame, DataFrame | None]:
+    """Diff files of any size: small files as whole diffs (``RAW_DIFFS``), the sections of larger ones
+    as ``read_diff_sections`` cuts them, or none if no file is large.
+
+    A small file's first and last section are known in its row, so it is read once and nothing is
+    shuffled for it. All files are listed once; larger ones once more."""
+    reader = spark.read.format("binaryFile")
+    files = (reader if base is None else reader.option("basePath", base)).load(path)
+    # settled by the listing: neither side opens the other's files
+    small = (F.col("_metadata.file_size") <= _whole_size(spark)) & ~F.col("_metadata.file_name").rlike(COMPRESSED)
+    whole = files.where(small).select(*_diff_keys(files), F.col("content").cast("string").alias("raw_diff"))
+    if files.where(~small).isEmpty():
+        return whole, None
+    return whole, read_diff_sections(spark, path, base, ~small)
+
+
+def read_diff_sections(
+    spark: SparkSession, path: str | list[str], base: str | None = None, some: Column | None = None
+) -> DataFrame:
     """Sections of diff files of any size: ``SECTIONS`` without path and status.
 
     Spark cuts files into splits and records at section starts, so one diff file spreads over
@@ -98,9 +135,11 @@ def read_diff_sections(spark: SparkSession, path: str | list[str], base: str | N
 
     Files lie as ``<repo>/<review>/<channel>.diff``, or in folders that name ``repo``,
     ``review_id`` and ``channel`` as Spark partitions them; ``base`` is the folder above those,
-    needed where ``path`` lists single files."""
+    needed where ``path`` lists single files. ``some`` says by ``_metadata`` which files to read."""
     reader = spark.read.option("lineSep", "\n" + SECTION_START)
     texts = (reader if base is None else reader.option("basePath", base)).text(path)
+    if some is not None:
+        texts = texts.where(some)
     records = texts.select(
         *_diff_keys(texts),
         "value",
@@ -143,6 +182,64 @@ def _diff_keys(texts: DataFrame) -> list[Column]:
     ]
 
 
+#: characters that Spark escapes in the names of folders it partitions by
+ESCAPED = re.compile(r"[\x01-\x1f\"#%'*/:=?\\\x7f{\[\]^]")
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+
+
+def _named(key: str, value: str | None) -> str:
+    """Name of the folder of a key's value, as Spark partitions a table."""
+    return f"{key}=" + (ESCAPED.sub(lambda x: f"%{ord(x[0]):02X}", value) if value else NO_VALUE)
+
+
+def _mounted(spark: SparkSession, folder: str) -> str | None:
+    """The path of a folder in a file system that all executors mount, null if it lies elsewhere."""
+    at = urlsplit(folder)
+    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS")
+    if (at.scheme or urlsplit(default).scheme) != "file":
+        return None
+    return unquote(at.path) if at.scheme else folder
+
+
+def write_diff_files(diffs: DataFrame, folder: str) -> None:
+    """Append diffs (``RAW_DIFFS``, one row per repository, review and channel) to a folder, a file
+    for each, in folders that name the keys as Spark partitions them.
+
+    The files are those of Spark's text writer, which stays the writer for remote stores. On a
+    mounted file system that makes a checksum beside each file and, without Hadoop's native library,
+    starts a process for each of both; and one thread of the driver moves all folders at the end.
+    So there tasks write files themselves. A file appears whole, and a task that is repeated
+    replaces what it wrote."""
+    keys = ("repo", "review_id", "channel")
+    diffs = diffs.select(*keys, "raw_diff")
+    root = _mounted(diffs.sparkSession, folder)
+    if root is None:
+        diffs.write.partitionBy(*keys).mode("append").text(folder)
+        return
+    name = f"part-{uuid.uuid4().hex}.txt"
+
+    def write(batches):
+        import pyarrow as pa
+
+        attempt = TaskContext.get().taskAttemptId()
+        for batch in batches:
+            for row in zip(*batch.columns):
+                *values, text = row
+                at = os.path.join(root, *[_named(k, v.as_py()) for k, v in zip(keys, values)])
+                os.makedirs(at, exist_ok=True)
+                part = os.path.join(at, f".{name}.{attempt}")
+                with open(part, "wb") as file:
+                    if text.is_valid:
+                        file.write(text.as_buffer())
+                    file.write(b"\n")
+                os.replace(part, os.path.join(at, name))
+            yield pa.RecordBatch.from_pydict({"files": pa.array([batch.num_rows], pa.int64())})
+
+    workers_find_package(diffs.sparkSession)
+    os.makedirs(root, exist_ok=True)
+    diffs.mapInArrow(write, "files bigint").agg(F.sum("files")).collect()
+
+
 def stored(df: DataFrame, path: str, run_id: str, partition: str | None = None) -> DataFrame:
     """Write one run's rows of a table and read them back.
 

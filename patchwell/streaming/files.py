@@ -2,7 +2,7 @@
 
 The stream carries file names, not texts: what decides whether a diff is new is its key, so the
 state holds keys alone, for a stated time after they arrived, and no text is shuffled. Each
-micro-batch reads its own files with the reader that splits them at sections.
+micro-batch reads its own files once, small ones whole and larger ones split at sections.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from patchwell.operators.diff import name_sections
 from patchwell.operators.findings import scan
 from patchwell.settings import DEFAULTS, ReviewSettings
-from patchwell.sources.tables import SNAPSHOTS, read_diff_sections, small_files
+from patchwell.sources.tables import SNAPSHOTS, read_diff_files, small_files
 from patchwell.streaming.arrivals import ARRIVAL, appended, batch_folder, once
 
 LISTING = "path string, modificationTime timestamp, length bigint, content binary"
@@ -40,13 +40,14 @@ def arriving_files(spark: SparkSession, folder: str, kept_for: str, batch_files:
 
     Contents are not read. Time is that of the micro-batch, so no file comes too late; of files
     of one key in one batch any may be taken, as they hold the same diff."""
-    listed = (
-        spark.readStream.format("binaryFile")
-        .schema(LISTING)
-        .option("recursiveFileLookup", "true")
-        .option("maxFilesPerTrigger", batch_files)
-        .load(folder)
-    )
+    with small_files(spark):  # loading lists the folder
+        listed = (
+            spark.readStream.format("binaryFile")
+            .schema(LISTING)
+            .option("recursiveFileLookup", "true")
+            .option("maxFilesPerTrigger", batch_files)
+            .load(folder)
+        )
     return once(listed.select("path", *_keys(F.col("path"))), kept_for)
 
 
@@ -55,14 +56,12 @@ def _literal(path: str) -> str:
     return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
 
 
-def batch_sections(batch: DataFrame, folder: str) -> DataFrame | None:
-    """Named sections of a batch's files; their names go through the driver, bounded by the
-    number of files of a batch."""
+def batch_diffs(batch: DataFrame, folder: str) -> tuple[DataFrame, DataFrame | None] | None:
+    """Diffs of a batch's files, see ``read_diff_files``; their names go through the driver, bounded
+    by the number of files of a batch."""
     spark = batch.sparkSession
     paths = [_literal(r.path) for r in batch.select("path").collect()]
-    if not paths:
-        return None
-    return name_sections(read_diff_sections(spark, paths, base=folder))
+    return read_diff_files(spark, paths, base=folder) if paths else None
 
 
 def scan_files(
@@ -77,13 +76,19 @@ def scan_files(
     """Append the scan (sections and findings) of every new diff file to ``out``.
 
     ``arrivals.read_scan`` reads it, and files, scores, reports and fixes are the batch operators
-    on that."""
+    on that. The stream lists files by the settings of ``spark`` at the time, so a folder of very
+    many files wants ``small_files`` to hold while it runs."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         with small_files(batch.sparkSession):
-            sections = batch_sections(batch, folder)
+            diffs = batch_diffs(batch, folder)
+            if diffs is None:
+                return
+            whole, sections = diffs
+            none = batch.sparkSession.createDataFrame([], SNAPSHOTS)
+            scanned = scan(whole, none, settings)
             if sections is not None:
-                none = batch.sparkSession.createDataFrame([], SNAPSHOTS)
-                scan(sections, none, settings).write.mode("overwrite").parquet(batch_folder(batch, out, batch_id))
+                scanned = scanned.unionByName(scan(name_sections(sections), none, settings))
+            scanned.write.mode("overwrite").parquet(batch_folder(batch, out, batch_id))
 
     return appended(arriving_files(spark, folder, kept_for, batch_files), checkpoint, write)
