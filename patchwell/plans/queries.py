@@ -584,8 +584,7 @@ def published_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _split_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The merge variant's diffs as files, read back section by section."""
     folder = f"{scratch_folder(spark)}/diffs-{uuid.uuid4().hex}"
-    diffs = derived.merge_raw_diffs(spark, sf_dir)
-    diffs.write.partitionBy("repo", "review_id", "channel").text(f"{folder}/files")
+    write_diff_files(derived.merge_raw_diffs(spark, sf_dir), f"{folder}/files")
     return store_sections(spark, f"{folder}/files", f"{folder}/sections", "all")
 
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchwell.operators.diff import name_sections
+from patchwell.operators.diff import diff_sections, name_sections
 from patchwell.operators.findings import (
     number_findings,
     reviewable_lines,
@@ -29,7 +29,7 @@ from patchwell.operators.scoring import (
     severity_tallies,
 )
 from patchwell.settings import DEFAULTS, ReviewSettings
-from patchwell.sources.tables import SECTIONS, read_diff_sections, small_files, stored, write_findings, write_history
+from patchwell.sources.tables import SECTIONS, read_diff_files, small_files, stored, write_findings, write_history
 
 SECTION_COLUMNS = [c.split()[0] for c in SECTIONS.split(", ")]
 
@@ -148,9 +148,14 @@ def run_review(
 
 def store_sections(spark: SparkSession, diff_files: str, out: str, run_id: str) -> DataFrame:
     """Diff files of any size as a stored table of named sections, which takes the place of
-    ``raw_diffs`` everywhere: the files are split and their sections named once."""
+    ``raw_diffs`` everywhere: the files are split and their sections named once. Small files are
+    split in their rows, larger ones by Spark."""
     with small_files(spark):
-        return stored(name_sections(read_diff_sections(spark, diff_files)).select(*SECTION_COLUMNS), out, run_id)
+        whole, larger = read_diff_files(spark, diff_files)
+        sections = diff_sections(whole).withColumn("section_seq", F.col("section_seq").cast("bigint"))
+        if larger is not None:
+            sections = sections.unionByName(larger)
+        return stored(name_sections(sections).select(*SECTION_COLUMNS), out, run_id)
 
 
 def _reject_shared_ids(reviews: DataFrame) -> None:

@@ -7,6 +7,8 @@ import re
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import reduce
+from operator import and_
 from urllib.parse import unquote, urlsplit
 
 from pyspark import TaskContext
@@ -57,6 +59,8 @@ def read_diff_texts(spark: SparkSession, path: str) -> DataFrame:
     return texts.select(*_diff_keys(texts), F.col("value").alias("raw_diff"))
 
 
+#: columns that tell diffs apart
+KEYS = ("repo", "review_id", "channel")
 #: where one section of a diff ends and the next begins
 SECTION_START = "diff --git "
 SECTIONS = (
@@ -66,10 +70,12 @@ SECTIONS = (
 
 
 #: Spark lists a folder a task and takes a file for 4 MB when it deals files to tasks; diffs are small,
-#: and opening one was measured to take about as long as the rules take for 8 KB of text
+#: and opening one was measured to take about as long as the rules take for 8 KB of text. Smaller splits
+#: leave what is stored in even parts.
 SMALL_FILES = {
     "spark.sql.sources.parallelPartitionDiscovery.parallelism": "32",
     "spark.sql.files.openCostInBytes": "16k",
+    "spark.sql.files.maxPartitionBytes": "32m",
 }
 
 
@@ -87,6 +93,10 @@ def small_files(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(k)
 
 
+#: Keys are taken from a file's name, in tasks. Where Spark takes folders for partitions, its driver tries
+#: types on each key (``007`` becomes 7) and then walks a linked list for each folder, so the time grows
+#: with the square of their number.
+BY_NAME = ("recursiveFileLookup", "true")
 #: files up to this size are read whole: a row holds a section or a small file
 WHOLE_FILE = 1 << 20
 #: Spark's text reader unpacks these, so they are left to it
@@ -99,27 +109,22 @@ def _whole_size(spark: SparkSession) -> int:
     return min(WHOLE_FILE, int(number) << 10 * " kmgtp".index(unit or " "))
 
 
-def read_diff_files(
-    spark: SparkSession, path: str | list[str], base: str | None = None
-) -> tuple[DataFrame, DataFrame | None]:
+def read_diff_files(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame | None]:
     """Diff files of any size: small files as whole diffs (``RAW_DIFFS``), the sections of larger ones
     as ``read_diff_sections`` cuts them, or none if no file is large.
 
     A small file's first and last section are known in its row, so it is read once and nothing is
     shuffled for it. All files are listed once; larger ones once more."""
-    reader = spark.read.format("binaryFile")
-    files = (reader if base is None else reader.option("basePath", base)).load(path)
+    files = spark.read.format("binaryFile").option(*BY_NAME).load(path)
     # settled by the listing: neither side opens the other's files
     small = (F.col("_metadata.file_size") <= _whole_size(spark)) & ~F.col("_metadata.file_name").rlike(COMPRESSED)
     whole = files.where(small).select(*_diff_keys(files), F.col("content").cast("string").alias("raw_diff"))
     if files.where(~small).isEmpty():
         return whole, None
-    return whole, read_diff_sections(spark, path, base, ~small)
+    return whole, read_diff_sections(spark, path, ~small)
 
 
-def read_diff_sections(
-    spark: SparkSession, path: str | list[str], base: str | None = None, some: Column | None = None
-) -> DataFrame:
+def read_diff_sections(spark: SparkSession, path: str | list[str], some: Column | None = None) -> DataFrame:
     """Sections of diff files of any size: ``SECTIONS`` without path and status.
 
     Spark cuts files into splits and records at section starts, so one diff file spreads over
@@ -134,10 +139,9 @@ def read_diff_sections(
     a section.
 
     Files lie as ``<repo>/<review>/<channel>.diff``, or in folders that name ``repo``,
-    ``review_id`` and ``channel`` as Spark partitions them; ``base`` is the folder above those,
-    needed where ``path`` lists single files. ``some`` says by ``_metadata`` which files to read."""
-    reader = spark.read.option("lineSep", "\n" + SECTION_START)
-    texts = (reader if base is None else reader.option("basePath", base)).text(path)
+    ``review_id`` and ``channel`` as Spark partitions them. ``some`` says by ``_metadata`` which
+    files to read."""
+    texts = spark.read.option("lineSep", "\n" + SECTION_START).option(*BY_NAME).text(path)
     if some is not None:
         texts = texts.where(some)
     records = texts.select(
@@ -167,19 +171,31 @@ def read_diff_sections(
 
 
 def _diff_keys(texts: DataFrame) -> list[Column]:
-    """Repository, review and channel of a diff file, from its folders."""
-    if {"repo", "review_id", "channel"} <= set(texts.columns):
-        return [F.col(c).cast("string").alias(c) for c in ("repo", "review_id", "channel")]
-    parts = F.split(F.col("_metadata.file_path"), "/")
+    """Repository, review and channel of a diff file, from its folders, named or not."""
+    if set(KEYS) <= set(texts.columns):
+        return [F.col(c).cast("string").alias(c) for c in KEYS]
+    path = F.col("_metadata.file_path")
+    parts = F.split(path, "/")
+
+    def decoded(name: Column) -> Column:
+        return F.coalesce(F.try_url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))), name)
 
     def from_end(i: int) -> Column:
-        return F.url_decode(F.element_at(parts, -i))
+        return decoded(F.element_at(parts, -i))
+
+    plain = (
+        from_end(3),
+        F.concat(from_end(3), F.lit("/"), from_end(2)),
+        F.regexp_replace(from_end(1), r"\.diff$", ""),
+    )
+
+    def of_name(key: str) -> Column:
+        """Escaped by Spark within the folder's name, which is encoded within the path."""
+        value = decoded(decoded(F.regexp_extract(path, f"/{key}=([^/]*)/", 1)))
+        return F.when(value != NO_VALUE, value)
 
-    return [
-        from_end(3).alias("repo"),
-        F.concat(from_end(3), F.lit("/"), from_end(2)).alias("review_id"),
-        F.regexp_replace(from_end(1), r"\.diff$", "").alias("channel"),
-    ]
+    named = reduce(and_, [path.contains(f"/{key}=") for key in KEYS])
+    return [F.when(named, of_name(key)).otherwise(value).alias(key) for key, value in zip(KEYS, plain)]
 
 
 #: characters that Spark escapes in the names of folders it partitions by
@@ -210,11 +226,10 @@ def write_diff_files(diffs: DataFrame, folder: str) -> None:
     starts a process for each of both; and one thread of the driver moves all folders at the end.
     So there tasks write files themselves. A file appears whole, and a task that is repeated
     replaces what it wrote."""
-    keys = ("repo", "review_id", "channel")
-    diffs = diffs.select(*keys, "raw_diff")
+    diffs = diffs.select(*KEYS, "raw_diff")
     root = _mounted(diffs.sparkSession, folder)
     if root is None:
-        diffs.write.partitionBy(*keys).mode("append").text(folder)
+        diffs.write.partitionBy(*KEYS).mode("append").text(folder)
         return
     name = f"part-{uuid.uuid4().hex}.txt"
 
@@ -225,7 +240,7 @@ def write_diff_files(diffs: DataFrame, folder: str) -> None:
         for batch in batches:
             for row in zip(*batch.columns):
                 *values, text = row
-                at = os.path.join(root, *[_named(k, v.as_py()) for k, v in zip(keys, values)])
+                at = os.path.join(root, *[_named(k, v.as_py()) for k, v in zip(KEYS, values)])
                 os.makedirs(at, exist_ok=True)
                 part = os.path.join(at, f".{name}.{attempt}")
                 with open(part, "wb") as file:

@@ -56,12 +56,12 @@ def _literal(path: str) -> str:
     return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
 
 
-def batch_diffs(batch: DataFrame, folder: str) -> tuple[DataFrame, DataFrame | None] | None:
+def batch_diffs(batch: DataFrame) -> tuple[DataFrame, DataFrame | None] | None:
     """Diffs of a batch's files, see ``read_diff_files``; their names go through the driver, bounded
     by the number of files of a batch."""
     spark = batch.sparkSession
     paths = [_literal(r.path) for r in batch.select("path").collect()]
-    return read_diff_files(spark, paths, base=folder) if paths else None
+    return read_diff_files(spark, paths) if paths else None
 
 
 def scan_files(
@@ -81,7 +81,7 @@ def scan_files(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         with small_files(batch.sparkSession):
-            diffs = batch_diffs(batch, folder)
+            diffs = batch_diffs(batch)
             if diffs is None:
                 return
             whole, sections = diffs

@@ -4,9 +4,20 @@ from __future__ import annotations
 
 import os
 
+from patchwell.operators import merge
 from patchwell.operators.findings import scan, scanned_findings
 from patchwell.plans.review import store_sections
-from patchwell.sources.tables import RAW_DIFFS, SMALL_FILES, SNAPSHOTS, read_diff_files, read_diff_texts, small_files, write_diff_files
+from patchwell.sources.tables import (
+    KEYS,
+    RAW_DIFFS,
+    SMALL_FILES,
+    SNAPSHOTS,
+    read_diff_files,
+    read_diff_sections,
+    read_diff_texts,
+    small_files,
+    write_diff_files,
+)
 from patchwell.streaming import arrivals, files
 from tests.tables import added, rows
 
@@ -87,6 +98,33 @@ def test_small_and_large_files_of_a_batch(spark, tmp_path):
         spark.conf.set(size, before)
 
 
+def test_keys_that_folders_name_are_texts(spark, tmp_path):
+    keys = [("007", "1e3", "staged"), ("008", "2024-1-2", "unstaged"), ("c++", "r 1/é: 100%41", "staged"), ("x", None, "staged")]
+    diffs = spark.createDataFrame([(*k, added("a.ts", "debugger")) for k in keys], RAW_DIFFS)
+    write_diff_files(diffs, f"file://{tmp_path}/in")
+    for sections in (
+        store_sections(spark, f"{tmp_path}/in", f"{tmp_path}/out", "one"),
+        read_diff_sections(spark, f"{tmp_path}/in"),
+    ):
+        assert rows(sections, *KEYS) == sorted(keys, key=repr)
+
+
+def test_sections_are_stored_by_one_read_without_a_shuffle(spark, tmp_path):
+    texts = [added(f"f{i}.ts", "x") + "\n" for i in range(6)]
+    folder = put(tmp_path, **{f"r{i}": x + texts[i] for i, x in enumerate(reversed(texts))})
+    store_sections(spark, f"{folder}/*/*/*.diff", f"{tmp_path}/warm", "one")
+    spark.sparkContext.setJobGroup("stored", "sections stored")
+    sections = store_sections(spark, f"{folder}/*/*/*.diff", f"{tmp_path}/out", "one")
+    spark.sparkContext._jsc.clearJobGroup()
+    tracker = spark.sparkContext.statusTracker()
+    jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup("stored")]
+    assert jobs and all(len(j.stageIds) == 1 for j in jobs)
+    none = spark.createDataFrame([], SNAPSHOTS)
+    columns = ("review_id", "path", "status", "additions")
+    want = merge.changed_files(read_diff_texts(spark, f"{folder}/*/*/*.diff"), none)
+    assert rows(merge.changed_files(sections, none), *columns) == rows(want, *columns)
+
+
 def contents(folder) -> dict[str, bytes]:
     """Texts by the names of their folders."""
     found = {}
